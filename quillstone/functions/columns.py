@@ -96,6 +96,18 @@ def money(c: str | Column, digits: int = 2) -> Column:
     return F.round(col_or(c).cast("double"), digits)
 
 
+def avg_money(total: str, n: str) -> Column:
+    """Exact average of a money sum over a count, rounded half-up (away from zero) to cents.
+
+    Integer division on cents, so the result does not depend on binary
+    floating-point rounding (an average ending in exactly half a cent rounds up).
+    Null when ``n`` is 0.
+    """
+    return F.expr(
+        f"CAST(CASE WHEN {total} < 0 THEN -1 ELSE 1 END * "
+        f"((abs(CAST({total} * 100 AS DECIMAL(38,0))) * 2 + {n}) div (nullif({n}, 0) * 2)) AS DOUBLE) / 100.0")
+
+
 def day_of(ts: str | Column) -> Column:
     """Calendar day."""
     return F.to_date(col_or(ts))

@@ -61,11 +61,11 @@ VALIDATION_RUNS = _s(
 )
 
 # star model
-DIM_CUSTOMERS = _s(("customer_id", T.LongType()), ("age", T.IntegerType()), ("occupation", T.StringType()),
+DIM_CUSTOMERS = _s(("customer_id", T.StringType()), ("age", T.IntegerType()), ("occupation", T.StringType()),
                    ("segment", T.StringType()))
-DIM_MERCHANTS = _s(("merchant_id", T.LongType()), ("merchant_category", T.StringType()))
+DIM_MERCHANTS = _s(("merchant_id", T.StringType()), ("merchant_category", T.StringType()))
 FACT_TRANSACTIONS = _s(
-    ("transaction_id", T.LongType()), ("customer_id", T.LongType()), ("merchant_id", T.LongType()),
+    ("transaction_id", T.StringType()), ("customer_id", T.StringType()), ("merchant_id", T.StringType()),
     ("transaction_amount", T.DoubleType()), ("transaction_date", T.TimestampNTZType()),
     ("transaction_type", T.StringType()), ("location", T.StringType()), ("device_id", T.StringType()),
     ("ip_address", T.StringType()), ("channel", T.StringType()), ("transaction_duration", T.IntegerType()),

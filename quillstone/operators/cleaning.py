@@ -4,11 +4,12 @@ Statistics are computed with aggregates and fed back as *scalar subqueries*
 (``DataFrame.scalar()``), so no join or cross join is needed to apply them and
 Catalyst merges the per-column subqueries of one pass into a single aggregate.
 
-* K1 / K2: ``exact=True`` uses ``percentile`` (exact, linear interpolation,
-  like pandas). ``exact=False`` uses ``percentile_approx`` with
-  ``accuracy`` (bounded memory: recommended for very large inputs). Exact
-  percentile keeps a value->count map per aggregate buffer, so its memory
-  grows with the number of distinct values.
+* K1 / K2: quantiles are exact with linear interpolation (as pandas) but never
+  hold a whole column in one buffer (``exact_quantiles``): one pass computes
+  the count and a ``percentile_approx`` bracket around each wanted rank, a
+  second pass counts the values below each bracket and collects the few values
+  inside it; the exact order statistics are picked from those. Both passes
+  cover all columns at once. ``exact=False`` stops after the approximate pass.
 * K3: the mode is a distributed ``groupBy(value).count()`` followed by a
   ``min_by`` on (-count, value): the lowest value wins a tie, as in pandas.
   Its memory does not grow with the number of distinct values.
@@ -31,11 +32,67 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
 
 
-def _quantile(c: str, p, exact: bool, accuracy: int) -> Column:
-    x = F.col(c).cast("double")
-    if exact:
-        return F.percentile(x, p)
-    return F.percentile_approx(x, p, accuracy)
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 1_000_000,
+                    exact: bool = True) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of several columns (pandas ``quantile``), exact.
+
+    Pass 1: per column the non-null count and approximate quantiles at
+    ``p -/+ 2/accuracy`` (the rank error of ``percentile_approx`` is at most
+    n/accuracy, so the true order statistics lie inside [lo, hi]). Pass 2: per
+    column and probability, the count of values below ``lo`` and the sorted
+    values inside [lo, hi] (about 4n/accuracy values). Should a bracket miss,
+    it is widened and pass 2 repeats. Only small scalars reach the driver.
+    ``exact=False`` returns the approximate quantiles of pass 1.
+    """
+    if not cols:
+        return {}
+    x = {c: F.col(c).cast("double") for c in cols}
+    if not exact:
+        row = df.agg(*[F.percentile_approx(x[c], F.array(*[F.lit(p) for p in probs]), accuracy).alias(f"a{i}")
+                       for i, c in enumerate(cols)]).first()
+        return {c: list(row[f"a{i}"]) if row[f"a{i}"] else [None] * len(probs) for i, c in enumerate(cols)}
+    eps, widen = 2.0 / accuracy, 1.0
+    while True:
+        lows = [max(0.0, p - eps * widen) for p in probs]
+        highs = [min(1.0, p + eps * widen) for p in probs]
+        aggs = []
+        for i, c in enumerate(cols):
+            aggs.append(F.count(x[c]).alias(f"n{i}"))
+            aggs.append(F.percentile_approx(x[c], F.array(*[F.lit(v) for v in lows + highs]), accuracy).alias(f"a{i}"))
+        row1 = df.agg(*aggs).first()
+        aggs2, plan = [], []
+        for i, c in enumerate(cols):
+            n, approx = row1[f"n{i}"], row1[f"a{i}"]
+            for j, p in enumerate(probs):
+                if not n:
+                    continue
+                lo, hi = approx[j], approx[len(probs) + j]
+                k = len(plan)
+                aggs2.append(F.count_if(x[c] < F.lit(lo)).alias(f"b{k}"))
+                aggs2.append(F.sort_array(F.collect_list(F.when((x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi)), x[c])))
+                             .alias(f"w{k}"))
+                plan.append((c, j, n, p))
+        row2 = df.agg(*aggs2).first() if aggs2 else None
+        out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+        missed = False
+        for k, (c, j, n, p) in enumerate(plan):
+            below, window = row2[f"b{k}"], row2[f"w{k}"]
+            pos = p * (n - 1)
+            r_lo = int(pos)
+            r_hi = min(r_lo + 1, n - 1)
+            i_lo, i_hi = r_lo - below, r_hi - below
+            if i_lo < 0 or i_hi >= len(window):
+                missed = True
+                break
+            v_lo, v_hi = window[i_lo], window[i_hi]
+            out[c][j] = v_lo + (v_hi - v_lo) * (pos - r_lo)
+        if not missed:
+            return out
+        widen *= 16
+
+
+def _quantile_map(df: DataFrame, cols: list[str], probs: list[float], exact: bool, accuracy: int):
+    return exact_quantiles(df, cols, probs, accuracy=accuracy, exact=exact)
 
 
 def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
@@ -47,7 +104,7 @@ def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
 
 
 def impute_median(df: DataFrame, cols: list[str] | None = None, exact: bool = True,
-                  accuracy: int = 100000) -> DataFrame:
+                  accuracy: int = 1_000_000) -> DataFrame:
     """K1: nulls in each column -> the column median (one stats pass).
 
     Every listed column is cast to double, as a pandas fill makes it float;
@@ -57,24 +114,26 @@ def impute_median(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
     todo = columns_with_nulls(df, cols)
     if not todo:
         return df.withColumns({c: F.col(c).cast("double") for c in cols})
-    stats = df.select(*[_quantile(c, 0.5, exact, accuracy).alias(c) for c in todo])
-    fill = {c: F.coalesce(F.col(c).cast("double"), stats.select(c).scalar()) if c in todo
+    med = _quantile_map(df, todo, [0.5], exact, accuracy)
+    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c][0]).cast("double")) if c in todo
             else F.col(c).cast("double") for c in cols}
     return df.withColumns(fill)
 
 
 def clip_iqr(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, exact: bool = True,
-             accuracy: int = 100000) -> DataFrame:
-    """K2: clip to [Q1 - k IQR, Q3 + k IQR]; quartiles of the given (already imputed) frame."""
+             accuracy: int = 1_000_000) -> DataFrame:
+    """K2: clip to [Q1 - k IQR, Q3 + k IQR]; quartiles of the given (already imputed) frame.
+    Values are replaced, no row is dropped."""
     cols = numeric_columns(df) if cols is None else cols
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    stats = df.select(*[_quantile(c, probs, exact, accuracy).alias(c) for c in cols])
+    qs = _quantile_map(df, cols, [0.25, 0.75], exact, accuracy)
     out = {}
     for c in cols:
-        q = stats.select(c).scalar()
-        q1, q3 = q.getItem(0), q.getItem(1)
+        q1, q3 = qs[c]
+        if q1 is None:
+            out[c] = F.col(c).cast("double")
+            continue
         iqr = q3 - q1
-        lo, hi = q1 - F.lit(k) * iqr, q3 + F.lit(k) * iqr
+        lo, hi = F.lit(q1 - k * iqr).cast("double"), F.lit(q3 + k * iqr).cast("double")
         out[c] = F.least(F.greatest(F.col(c).cast("double"), lo), hi)
     return df.withColumns(out)
 

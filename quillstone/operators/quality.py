@@ -79,30 +79,45 @@ def _bucket_roles(cfg: RuleConfig) -> tuple[Column, Column]:
 
 def rule_features(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
                   cfg: RuleConfig = DEFAULT_RULES) -> DataFrame:
-    """Per raw row: lookup columns, duplicate group size/rank, previous timestamp,
-    and the first-match tag. Ghost rows are removed before returning."""
-    looked_up = raw.join(home_states(accounts, customers), "account_id", "left")
+    """Per raw row: duplicate group size/rank, previous timestamp, lookup columns
+    and the first-match tag of rules 1-4 plus the rapid flag.
+
+    The ordered windows run first, on one exchange by (account, bucket). The
+    account lookup is joined afterwards: whether an account is known is the
+    same for every row of a window partition, so
+    ``hit = known AND hit_without_lookup`` and the same holds for ``lead(hit)``.
+    One sort serves all windows: rows are ordered by (ts, amount, type, id),
+    which keeps each duplicate group contiguous; equal timestamps are ordered
+    by amount, type and id (a deterministic tie-break).
+    """
     _, roles = _bucket_roles(cfg)
-    x = looked_up.select("*", F.explode(roles).alias("_r")).select(
+    x = raw.select("*", F.explode(roles).alias("_r")).select(
         "*", F.col("_r.pb").alias("_pb"), F.col("_r.role").alias("_role")).drop("_r")
-    # one exchange serves every window below: both specs are clustered by it
     x = x.repartition("account_id", "_pb")
 
-    seq = Window.partitionBy("account_id", "_pb").orderBy(F.col(TS), F.col("transaction_id"))
+    order = [F.col(TS), F.col("amount"), F.col("transaction_type"), F.col("transaction_id")]
+    seq = Window.partitionBy("account_id", "_pb").orderBy(*order)
     grp = Window.partitionBy("account_id", "_pb", TS, "amount", "transaction_type")
 
     x = x.withColumn("_prev_ts", F.lag(TS).over(seq))
     x = x.withColumn("_dup_n", F.count(F.lit(1)).over(grp)).withColumn(
         "_dup_rank", F.row_number().over(grp.orderBy("transaction_id")))
+    row_ok = ~F.coalesce(F.col("amount") > F.lit(cfg.high_amount), F.lit(False)) & \
+        ~F.coalesce(F.col("balance_after") < 0, F.lit(False)) & (F.col("_dup_n") <= 1)
+    within = F.col(TS) <= F.timestamp_add("SECOND", F.lit(cfg.rapid_seconds), F.col("_prev_ts"))
+    hit = F.coalesce(row_ok & (F.col(TS) > F.col("_prev_ts")) & within, F.lit(False))
+    x = x.withColumn("_hit0", hit).withColumn("_within", F.coalesce(within, F.lit(False)))
+    x = x.withColumn("_next_hit0", F.coalesce(F.lead("_hit0").over(seq), F.lit(False)))
+    x = x.where(F.col("_role") == "R").drop("_role", "_pb")
+
+    # account lookup after the windows (broadcast when small, else sort-merge with AQE skew split)
+    x = x.join(home_states(accounts, customers), "account_id", "left")
+    known = F.coalesce(F.col("_known"), F.lit(False))
     t4 = (F.when(F.col("amount") > F.lit(cfg.high_amount), "HIGH_AMOUNT")
-          .when(F.col("_known").isNull(), "INVALID_ACCOUNT")
+          .when(~known, "INVALID_ACCOUNT")
           .when(F.col("balance_after") < 0, "NEGATIVE_BALANCE")
           .when(F.col("_dup_n") > 1, "DUPLICATE"))
-    within = F.col(TS) <= F.timestamp_add("SECOND", F.lit(cfg.rapid_seconds), F.col("_prev_ts"))
-    hit = F.coalesce(t4.isNull() & (F.col(TS) > F.col("_prev_ts")) & within, F.lit(False))
-    x = x.withColumn("_t4", t4).withColumn("_hit", hit).withColumn("_within", F.coalesce(within, F.lit(False)))
-    x = x.withColumn("_rapid", F.col("_hit") | F.coalesce(F.lead("_hit").over(seq), F.lit(False)))
-    return x.where(F.col("_role") == "R").drop("_role", "_pb")
+    return x.withColumn("_t4", t4).withColumn("_rapid", known & (F.col("_hit0") | F.col("_next_hit0")))
 
 
 def _location_mismatch(strict_blank: bool) -> Column:

@@ -30,7 +30,7 @@ from ..schemas import BRANCHES, TRANSACTION_COLUMNS
 from ..session import scratch_path
 from ..sources.fixtures import CLEANING_NUMERIC, CLEANING_TEXT, driver_table
 from ..sources.tables import read_csv, read_table, table_exists, to_raw_schema
-from .context import Ledger
+from .context import Ledger, session_ledger
 from .reports import executive_brief, report_manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,8 @@ def query(key: str):
 
 
 def L(spark: SparkSession, sf_dir: str) -> Ledger:
-    return Ledger(spark, sf_dir)
+    """The session's materialized ledger for ``sf_dir`` (built on first use)."""
+    return session_ledger(spark, sf_dir)
 
 
 # ============================================================ sources (SRC)

@@ -8,6 +8,7 @@ registered query reads the given tables and its work grows with them.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +16,39 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import DEFAULT_RULES, RuleConfig
 from ..operators import quality as Q
 from ..operators.segments import segment_customers
-from ..operators.star import Star
+from ..operators.star import build_dim_customers, build_dim_merchants, build_fact, clean_wide
+from ..session import scratch_path
 from ..sources.fixtures import Fixtures
 
 RUN_TS = _dt.datetime(2024, 1, 1, 0, 0, 0)
 
 
 class Ledger:
+    """Derived tables over one driver directory.
+
+    With ``materialize=True`` the two expensive intermediates (the tagged raw
+    transactions and the cleaned star input) are written once as Parquet below
+    the shared ``spark.checkpoint.dir`` and read back: later queries get column
+    pruning and predicate pushdown on them, the lineage is cut, and a lost
+    executor does not lose them. ``materialize=False`` keeps everything lazy.
+    """
+
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: RuleConfig = DEFAULT_RULES,
-                 run_ts: _dt.datetime = RUN_TS):
+                 run_ts: _dt.datetime = RUN_TS, materialize: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir
         self.cfg = cfg
         self.run_ts = run_ts
+        self.materialize = materialize
         self.fx = Fixtures(spark, sf_dir)
+        self._run_dir = f"ledger-{uuid.uuid4().hex}"
+
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        path = scratch_path(self.spark, "quillstone", self._run_dir, name)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     # masters
     @cached_property
@@ -54,7 +74,7 @@ class Ledger:
     # quality
     @cached_property
     def tagged(self) -> DataFrame:
-        return Q.tag_first_match(self.raw, self.accounts, self.customers, self.cfg)
+        return self._stored("tagged", Q.tag_first_match(self.raw, self.accounts, self.customers, self.cfg))
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -75,17 +95,31 @@ class Ledger:
 
     # star model
     @cached_property
-    def star(self) -> Star:
-        return Star(self.fx.star_wide())
+    def star_wide(self) -> DataFrame:
+        """The cleaned wide star input (median, IQR clip, mode)."""
+        return self._stored("star_wide", clean_wide(self.fx.star_wide()))
 
     @cached_property
     def fact(self) -> DataFrame:
-        return self.star.fact()
+        return build_fact(self.star_wide)
 
     @cached_property
     def dim_customers(self) -> DataFrame:
-        return self.star.dim_customers()
+        return build_dim_customers(self.star_wide)
 
     @cached_property
     def dim_merchants(self) -> DataFrame:
-        return self.star.dim_merchants()
+        return build_dim_merchants(self.star_wide)
+
+
+_SESSION_LEDGERS: dict[tuple[str, str], Ledger] = {}
+
+
+def session_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """One materialized ledger per (session, data directory)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    led = _SESSION_LEDGERS.get(key)
+    if led is None:
+        led = Ledger(spark, sf_dir, materialize=True)
+        _SESSION_LEDGERS[key] = led
+    return led

@@ -583,8 +583,8 @@ def _qa15(spark, sf):
 
 def _trend_out(t: DataFrame) -> DataFrame:
     return t.select(X.month_label("month").alias("month"), "segment",
-                    F.round("total_spent", 2).alias("total_spent"), F.round("rolling_mean", 2).alias("rolling_mean"),
-                    F.round("rolling_std", 2).alias("rolling_std"), F.round("z_score", 4).alias("z_score"), "flag")
+                    F.round("total_spent", 2).alias("total_spent"), F.round("rolling_mean", 4).alias("rolling_mean"),
+                    F.round("rolling_std", 4).alias("rolling_std"), F.round("z_score", 4).alias("z_score"), "flag")
 
 
 @query("spend_trend")
@@ -646,3 +646,51 @@ def _r1(spark, sf):
 @query("executive_brief")
 def _r2(spark, sf):
     return executive_brief(spark, L(spark, sf))
+
+
+# ============================================================ streaming (S)
+
+def _stream_dirs(spark, name):
+    base = scratch_path(spark, "stream", f"{name}-{uuid.uuid4().hex}")
+    return f"{base}/in", f"{base}/out", f"{base}/checkpoint"
+
+
+def _landed(spark, sf, name):
+    from ..streaming.rules import land_files, read_transaction_stream
+    src, out, ck = _stream_dirs(spark, name)
+    land_files(L(spark, sf).fx.stream_input(), src, n_files=6)
+    return read_transaction_stream(spark, src, files_per_batch=1), out, ck
+
+
+@query("stream_row_rules")
+def _s1(spark, sf):
+    from ..streaming.rules import row_rule_stream, run_available_now
+    led = L(spark, sf)
+    stream, out, ck = _landed(spark, sf, "s1")
+    run_available_now(row_rule_stream(stream, led.accounts, led.customers), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_first_match")
+def _s2(spark, sf):
+    from ..streaming.rules import first_match_stream, run_available_now
+    led = L(spark, sf)
+    stream, out, ck = _landed(spark, sf, "s2")
+    run_available_now(first_match_stream(stream, led.accounts, led.customers, watermark="1 minute"), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_channel_volume")
+def _s3(spark, sf):
+    from ..streaming.rules import channel_volume_stream, run_available_now
+    stream, out, ck = _landed(spark, sf, "s3")
+    run_available_now(channel_volume_stream(stream, "1 day", None, "1 hour"), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_channel_volume_sliding")
+def _s3b(spark, sf):
+    from ..streaming.rules import channel_volume_stream, run_available_now
+    stream, out, ck = _landed(spark, sf, "s3b")
+    run_available_now(channel_volume_stream(stream, "1 day", "12 hours", "1 hour"), out, ck)
+    return spark.read.parquet(out)

@@ -221,21 +221,25 @@ def cleaning_input(lineitem: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- stream input
 
-def stream_input(events: DataFrame) -> DataFrame:
-    """Events as transactions: planted rapid (+2 s) and duplicate copies included.
+def stream_input(events: DataFrame, customer: DataFrame) -> DataFrame:
+    """Events as raw transactions (user = account), with planted rule hits.
 
-    Column set is the raw transaction schema, so the batch rules apply unchanged.
+    Planted: rapid copies (+2 s) and duplicate copies, unknown accounts,
+    high amounts, negative balances and state shifts on ATM/BRANCH rows. The
+    column set is the raw transaction schema, so the batch rules apply unchanged.
     """
     k = F.col("event_id")
     copies = F.array_compact(F.array(F.lit(0), F.when(k % 97 == 1, F.lit(1)), F.when(k % 97 == 2, F.lit(2))))
-    e = events.select("event_id", "ts", "user_id", "event_type", "value", F.explode(copies).alias("_copy"))
+    c = customer.select(F.col("c_custkey").alias("user_id"), "c_nationkey")
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", F.explode(copies).alias("_copy")) \
+        .join(c, "user_id", "left")
     copy = F.col("_copy")
     channel = _pick(CHANNELS, k % 6)
     amount = _money(F.col("value") * 1000)
     return e.select(
         (k + F.when(copy == 1, RAPID_COPY_OFFSET).when(copy == 2, DUPLICATE_COPY_OFFSET).otherwise(0))
         .alias("transaction_id"),
-        F.col("user_id").alias("account_id"),
+        F.when(k % 89 == 7, -F.col("user_id") - 1).otherwise(F.col("user_id")).alias("account_id"),
         F.when(channel.isin("ATM", "BRANCH"), F.lit(None)).otherwise((k * 31) % 200).alias("merchant_id"),
         F.when(copy == 1, F.timestamp_add("SECOND", F.lit(2), F.col("ts"))).otherwise(F.col("ts"))
         .alias("transaction_timestamp"),
@@ -244,7 +248,7 @@ def stream_input(events: DataFrame) -> DataFrame:
         F.when(k % 211 == 4, amount * 1000).otherwise(amount).cast(schemas.MONEY).alias("amount"),
         F.when(k % 113 == 3, -amount).otherwise(amount).cast(schemas.MONEY).alias("balance_after"),
         F.lit(None).cast("string").alias("city"),
-        F.lit(None).cast("string").alias("state"),
+        F.when(k % 83 == 5, _state(F.col("c_nationkey") + 1)).otherwise(_state(F.col("c_nationkey"))).alias("state"),
         F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCESS").alias("status"),
         F.lit(None).cast("string").alias("device_id"),
         F.lit(None).cast("string").alias("ip_address"),
@@ -286,4 +290,4 @@ class Fixtures:
         return cleaning_input(self.table("lineitem"))
 
     def stream_input(self) -> DataFrame:
-        return stream_input(self.table("events"))
+        return stream_input(self.table("events"), self.table("customer"))

@@ -48,7 +48,35 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    """Previous row's columns within each key (``lag``; no self join)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols})
+def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
+                  bucket: Column | None = None) -> DataFrame:
+    """The previous row's columns within each key (``lag``; no self join).
+
+    Without ``bucket`` this is one window partition per key. With ``bucket``
+    (an expression of the first order column that preserves the order, e.g.
+    ``date_trunc('day', ts)``) a key is split into one window partition per
+    bucket, so a hot key spreads over many tasks:
+
+    1. ``lag`` inside (key, bucket) is right for every row but a bucket's first;
+    2. the last row of every (key, bucket) comes from an aggregate
+       (``max_by`` on the order, combined map-side, so hot keys are cheap);
+    3. a window over those per-bucket rows (one row per bucket of a key) gives
+       each bucket the last row of the previous non-empty bucket;
+    4. that row is joined on (key, bucket), which the window already
+       partitioned the big side by, and used for the bucket's first row.
+    """
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols})
+    b = df.withColumn("_bkt", bucket)
+    w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    b = b.withColumns({f"_lag_{c}": F.lag(c).over(w) for c in cols}).withColumn(
+        "_first", F.row_number().over(w) == 1)
+    okey = F.struct(*[F.col(o) for o in order])
+    last = b.groupBy(*keys, "_bkt").agg(*[F.max_by(F.col(c), okey).alias(f"_last_{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy("_bkt")
+    carry = last.select(*keys, "_bkt", *[F.lag(f"_last_{c}").over(wb).alias(f"_carry_{c}") for c in cols])
+    out = b.join(carry, [*keys, "_bkt"], "left")
+    return out.withColumns({f"prev_{c}": F.when(F.col("_first"), F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}"))
+                            for c in cols}).drop("_bkt", "_first", *[f"_lag_{c}" for c in cols],
+                                                 *[f"_carry_{c}" for c in cols])

@@ -176,7 +176,7 @@ def _e4(spark, sf):
 @query("seconds_between")
 def _e5(spark, sf):
     r = J.with_previous(L(spark, sf).raw, ["account_id"], ["transaction_timestamp", "transaction_id"],
-                        ["transaction_timestamp"])
+                        ["transaction_timestamp"], bucket=F.date_trunc("day", "transaction_timestamp"))
     return r.select("transaction_id", "prev_transaction_timestamp",
                     X.seconds_between("prev_transaction_timestamp", "transaction_timestamp").alias("seconds"))
 
@@ -256,7 +256,7 @@ def _j6(spark, sf):
 @query("adjacent_row")
 def _j7(spark, sf):
     r = J.with_previous(L(spark, sf).raw, ["account_id"], ["transaction_timestamp", "transaction_id"],
-                        ["transaction_timestamp", "amount"])
+                        ["transaction_timestamp", "amount"], bucket=F.date_trunc("day", "transaction_timestamp"))
     return r.select("transaction_id", "prev_transaction_timestamp", "prev_amount")
 
 

@@ -32,8 +32,8 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 1_000_000,
-                    exact: bool = True) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10_000,
+                    exact: bool = True, max_window: int = 1_000_000) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns (pandas ``quantile``), exact.
 
     Pass 1: per column the non-null count and approximate quantiles at
@@ -42,6 +42,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     column and probability, the count of values below ``lo`` and the sorted
     values inside [lo, hi] (about 4n/accuracy values). Should a bracket miss,
     it is widened and pass 2 repeats. Only small scalars reach the driver.
+    The accuracy starts at ``accuracy`` and is raised when a bracket would hold
+    more than ``max_window`` values (about 4n/accuracy), so pass 2 stays bounded
+    for any n while small inputs keep a small sketch.
     ``exact=False`` returns the approximate quantiles of pass 1.
     """
     if not cols:
@@ -51,8 +54,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
         row = df.agg(*[F.percentile_approx(x[c], F.array(*[F.lit(p) for p in probs]), accuracy).alias(f"a{i}")
                        for i, c in enumerate(cols)]).first()
         return {c: list(row[f"a{i}"]) if row[f"a{i}"] else [None] * len(probs) for i, c in enumerate(cols)}
-    eps, widen = 2.0 / accuracy, 1.0
+    widen = 1.0
     while True:
+        eps = 2.0 / accuracy
         lows = [max(0.0, p - eps * widen) for p in probs]
         highs = [min(1.0, p + eps * widen) for p in probs]
         aggs = []
@@ -60,6 +64,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
             aggs.append(F.count(x[c]).alias(f"n{i}"))
             aggs.append(F.percentile_approx(x[c], F.array(*[F.lit(v) for v in lows + highs]), accuracy).alias(f"a{i}"))
         row1 = df.agg(*aggs).first()
+        n_max = max((row1[f"n{i}"] or 0) for i in range(len(cols)))
+        if 4.0 * widen * n_max / accuracy > max_window:
+            accuracy = int(4.0 * widen * n_max / max_window) + 1
+            continue
         aggs2, plan = [], []
         for i, c in enumerate(cols):
             n, approx = row1[f"n{i}"], row1[f"a{i}"]
@@ -104,7 +112,7 @@ def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
 
 
 def impute_median(df: DataFrame, cols: list[str] | None = None, exact: bool = True,
-                  accuracy: int = 1_000_000) -> DataFrame:
+                  accuracy: int = 10_000) -> DataFrame:
     """K1: nulls in each column -> the column median (one stats pass).
 
     Every listed column is cast to double, as a pandas fill makes it float;
@@ -121,7 +129,7 @@ def impute_median(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
 
 
 def clip_iqr(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, exact: bool = True,
-             accuracy: int = 1_000_000) -> DataFrame:
+             accuracy: int = 10_000) -> DataFrame:
     """K2: clip to [Q1 - k IQR, Q3 + k IQR]; quartiles of the given (already imputed) frame.
     Values are replaced, no row is dropped."""
     cols = numeric_columns(df) if cols is None else cols

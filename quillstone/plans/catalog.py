@@ -656,10 +656,11 @@ def _stream_dirs(spark, name):
 
 
 def _landed(spark, sf, name):
-    from ..streaming.rules import land_files, read_transaction_stream
-    src, out, ck = _stream_dirs(spark, name)
-    land_files(L(spark, sf).fx.stream_input(), src, n_files=6)
-    return read_transaction_stream(spark, src, files_per_batch=1), out, ck
+    """The stream input, landed once per session and data directory as 4 time-ordered
+    files (read-only, shared by the streaming queries); fresh output and checkpoint dirs."""
+    from ..streaming.rules import read_transaction_stream
+    _, out, ck = _stream_dirs(spark, name)
+    return read_transaction_stream(spark, L(spark, sf).stream_landing, files_per_batch=1), out, ck
 
 
 @query("stream_row_rules")

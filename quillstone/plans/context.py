@@ -111,6 +111,14 @@ class Ledger:
     def dim_merchants(self) -> DataFrame:
         return build_dim_merchants(self.star_wide)
 
+    # streaming input
+    @cached_property
+    def stream_landing(self) -> str:
+        """A landing folder with the stream input as 4 files in event-time order."""
+        from ..streaming.rules import land_files
+        return land_files(self.fx.stream_input(), scratch_path(self.spark, "quillstone", self._run_dir, "landing"),
+                          n_files=4)
+
 
 _SESSION_LEDGERS: dict[tuple[str, str], Ledger] = {}
 

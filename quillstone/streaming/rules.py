@@ -8,8 +8,8 @@ event time is ``transaction_timestamp`` read as a session-zone TIMESTAMP
 * S1 ``row_rule_stream``: the four row-level rules (HIGH_AMOUNT,
   INVALID_ACCOUNT, NEGATIVE_BALANCE, LOCATION_MISMATCH) - stateless
   expressions plus a stream-static join with the account lookup; append.
-* S2 ``first_match_stream``: the full first-match tagging, keyed by account
-  with ``applyInPandasWithState``. A row is decided once the watermark has
+* S2 ``first_match_stream``: the full first-match tagging with
+  ``applyInPandasWithState``, keyed by a hash slot of the account. A row is decided once the watermark has
   passed its timestamp + the rapid gap (every row that can change its tag has
   then arrived); rows stay in state one more gap as predecessor context.
 * S3 ``channel_volume_stream``: tumbling or sliding event-time windows per
@@ -103,20 +103,28 @@ def channel_volume_stream(stream: DataFrame, window: str = "1 day", slide: str |
 # ---------------------------------------------------------------- S2
 
 S2_OUT = "transaction_id long, account_id long, transaction_timestamp timestamp_ntz, anomaly_type string"
-S2_STATE = ("transaction_id array<long>, ts array<timestamp_ntz>, amount array<double>, "
+S2_STATE = ("account_id array<long>, transaction_id array<long>, ts array<timestamp_ntz>, amount array<double>, "
             "tx_type array<string>, row_tag array<string>, state array<string>, channel array<string>, "
             "home array<string>, emitted array<boolean>")
-_STATE_COLS = ["transaction_id", "ts", "amount", "tx_type", "row_tag", "state", "channel", "home", "emitted"]
+_STATE_COLS = ["account_id", "transaction_id", "ts", "amount", "tx_type", "row_tag", "state", "channel", "home",
+               "emitted"]
+_ORDER = ["account_id", "ts", "amount", "tx_type", "transaction_id"]
 
 
 def _decide(buf: pd.DataFrame, gap: pd.Timedelta) -> pd.Series:
-    """First-match tags of one account's buffered rows (sorted), rules 4-6 on top of row rules."""
-    key = [buf.ts, buf.amount, buf.tx_type]
-    dup = buf.groupby(key, dropna=False)["transaction_id"].transform("size") > 1
-    t4 = buf.row_tag.where(buf.row_tag.notna(), pd.Series(["DUPLICATE" if d else None for d in dup], index=buf.index))
+    """First-match tags of buffered rows sorted by (account, ts, amount, type, id).
+
+    Row rules come in as ``row_tag``; duplicate, rapid and location are decided
+    here, per account, with vectorised shifts.
+    """
+    size = buf.groupby(["account_id", "ts", "amount", "tx_type"], dropna=False)["transaction_id"].transform("size")
+    t4 = buf.row_tag.where(buf.row_tag.notna(), pd.Series(["DUPLICATE" if n > 1 else None for n in size],
+                                                          index=buf.index, dtype=object))
+    same_prev = buf.account_id.eq(buf.account_id.shift(1))
+    same_next = buf.account_id.eq(buf.account_id.shift(-1))
     d = buf.ts - buf.ts.shift(1)
-    hit = t4.isna() & (d > pd.Timedelta(0)) & (d <= gap)
-    rapid = hit | hit.shift(-1, fill_value=False)
+    hit = t4.isna() & same_prev & (d > pd.Timedelta(0)) & (d <= gap)
+    rapid = hit | (hit.shift(-1, fill_value=False).astype(bool) & same_next)
     loc = (buf.channel.isin(C.PHYSICAL_CHANNELS) & buf.state.notna() & buf.home.notna()
            & (buf.state != "") & (buf.home != "") & (buf.state != buf.home))
     tag = t4.copy()
@@ -125,64 +133,68 @@ def _decide(buf: pd.DataFrame, gap: pd.Timedelta) -> pd.Series:
     return tag
 
 
-def _tag_account(cfg: RuleConfig):
+def _tag_slot(cfg: RuleConfig):
     gap = pd.Timedelta(seconds=cfg.rapid_seconds)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (account_id,) = key
         frames = []
         if state.exists:
-            s = state.get
-            frames.append(pd.DataFrame({c: list(v) for c, v in zip(_STATE_COLS, s)}))
+            frames.append(pd.DataFrame({c: list(v) for c, v in zip(_STATE_COLS, state.get)}))
         for pdf in pdfs:
-            frames.append(pd.DataFrame({
-                "transaction_id": pdf.transaction_id, "ts": pdf.transaction_timestamp,
-                "amount": pdf.amount.astype(float), "tx_type": pdf.transaction_type, "row_tag": pdf._row_tag,
-                "state": pdf.state, "channel": pdf.channel, "home": pdf.home_state, "emitted": False}))
-        frames = [f for f in frames if len(f)]
+            if len(pdf):
+                frames.append(pd.DataFrame({
+                    "account_id": pdf.account_id, "transaction_id": pdf.transaction_id,
+                    "ts": pdf.transaction_timestamp, "amount": pdf.amount.astype(float),
+                    "tx_type": pdf.transaction_type, "row_tag": pdf._row_tag, "state": pdf.state,
+                    "channel": pdf.channel, "home": pdf.home_state, "emitted": False}))
         if not frames:
             return
-        buf = pd.concat(frames, ignore_index=True)
+        buf = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
         buf["ts"] = pd.to_datetime(buf["ts"])
-        buf = buf.sort_values(["ts", "amount", "tx_type", "transaction_id"], kind="mergesort").reset_index(drop=True)
+        buf["emitted"] = buf["emitted"].astype(bool)
+        buf = buf.sort_values(_ORDER, kind="mergesort").reset_index(drop=True)
         wm = state.getCurrentWatermarkMs()
         watermark = pd.Timestamp(wm, unit="ms") if wm and wm > 0 else pd.Timestamp.min
         tags = _decide(buf, gap)
-        final = (~buf.emitted.astype(bool)) & (buf.ts + gap < watermark)
-        out = buf[final]
-        if len(out):
-            yield pd.DataFrame({"transaction_id": out.transaction_id.astype("int64"), "account_id": account_id,
+        final = ~buf.emitted & (buf.ts + gap < watermark)
+        if final.any():
+            out = buf[final]
+            yield pd.DataFrame({"transaction_id": out.transaction_id.astype("int64"), "account_id": out.account_id,
                                 "transaction_timestamp": out.ts, "anomaly_type": tags[final].values})
         buf.loc[final, "emitted"] = True
-        keep = buf[~(buf.emitted.astype(bool) & (buf.ts + gap + gap < watermark))]
+        keep = buf[~(buf.emitted & (buf.ts + gap + gap < watermark))]
         if len(keep) == 0:
             state.remove()
             return
         state.update(tuple(list(keep[c]) for c in _STATE_COLS))
-        pending = keep[~keep.emitted.astype(bool)]
+        pending = keep[~keep.emitted]
         nxt = (pending.ts.min() if len(pending) else keep.ts.max() + gap) + gap + pd.Timedelta(milliseconds=1)
-        state.setTimeoutTimestamp(int(nxt.tz_localize("UTC").timestamp() * 1000)
-                                  if nxt.tzinfo is None else int(nxt.timestamp() * 1000))
+        state.setTimeoutTimestamp(int(nxt.tz_localize("UTC").timestamp() * 1000))
 
     return fn
 
 
 def first_match_stream(stream: DataFrame, accounts: DataFrame, customers: DataFrame,
-                       cfg: RuleConfig = DEFAULT_RULES, watermark: str = "1 minute") -> DataFrame:
-    """First-match tags (rules 1-6) as a stateful stream keyed by account.
+                       cfg: RuleConfig = DEFAULT_RULES, watermark: str = "1 minute",
+                       slots: int = 64) -> DataFrame:
+    """First-match tags (rules 1-6) as a stateful stream.
 
     Row-level rules run as expressions before the state; duplicate, rapid and
-    location decisions are made per account once the watermark passes
-    ``ts + rapid_seconds``. Rows later than the watermark are dropped by Spark
-    (route them to a late sink with a separate query if they must be kept).
+    location decisions are made once the watermark passes ``ts + rapid_seconds``.
+    State is keyed by a hash slot of the account (``slots`` groups), and each
+    call decides all of its accounts with vectorised pandas, so the Python call
+    count does not grow with the number of accounts. Rows later than the
+    watermark are dropped by Spark (route them to a late sink with a separate
+    query if they must be kept).
     """
     j = stream.join(home_states(accounts, customers), "account_id", "left")
     row_tag = (F.when(F.col("amount") > F.lit(cfg.high_amount), "HIGH_AMOUNT")
                .when(F.col("_known").isNull(), "INVALID_ACCOUNT")
                .when(F.col("balance_after") < 0, "NEGATIVE_BALANCE"))
-    j = j.withColumn("_row_tag", row_tag).withWatermark(EVENT_TIME, watermark)
-    return j.groupBy("account_id").applyInPandasWithState(
-        _tag_account(cfg), S2_OUT, S2_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    j = (j.withColumn("_row_tag", row_tag).withColumn("_slot", F.pmod(F.xxhash64("account_id"), F.lit(slots)))
+         .withWatermark(EVENT_TIME, watermark))
+    return j.groupBy("_slot").applyInPandasWithState(
+        _tag_slot(cfg), S2_OUT, S2_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- runner

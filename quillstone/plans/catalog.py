@@ -366,19 +366,19 @@ def _r6(cols):
 
 @query("impute_median")
 def _k1(spark, sf):
-    d = impute_median(L(spark, sf).fx.cleaning_input(), CLEANING_NUMERIC)
+    d = impute_median(L(spark, sf).cleaning_input, CLEANING_NUMERIC)
     return d.select(*_CLEAN_OUT, *_r6(CLEANING_NUMERIC))
 
 
 @query("clip_iqr")
 def _k2(spark, sf):
-    d = clip_iqr(impute_median(L(spark, sf).fx.cleaning_input(), CLEANING_NUMERIC), CLEANING_NUMERIC)
+    d = clip_iqr(impute_median(L(spark, sf).cleaning_input, CLEANING_NUMERIC), CLEANING_NUMERIC)
     return d.select(*_CLEAN_OUT, *_r6(CLEANING_NUMERIC))
 
 
 @query("impute_mode")
 def _k3(spark, sf):
-    d = impute_mode(L(spark, sf).fx.cleaning_input(), CLEANING_TEXT)
+    d = impute_mode(L(spark, sf).cleaning_input, CLEANING_TEXT)
     return d.select(*_CLEAN_OUT, *CLEANING_TEXT)
 
 
@@ -643,6 +643,16 @@ def _r1(spark, sf):
     return report_manifest(L(spark, sf))
 
 
+def _report(name):
+    def fn(spark, sf):
+        return report_manifest(L(spark, sf)).where(F.col("report") == F.lit(name)).select("sheet", "row_count")
+    return fn
+
+
+for _name in ["report_monthly", "report_segments", "report_anomalies", "report_data_quality"]:
+    query(_name)(_report(_name))
+
+
 @query("executive_brief")
 def _r2(spark, sf):
     return executive_brief(spark, L(spark, sf))

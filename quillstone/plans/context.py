@@ -47,6 +47,9 @@ class Ledger:
         if not self.materialize:
             return df
         path = scratch_path(self.spark, "quillstone", self._run_dir, name)
+        par = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:  # e.g. one input file: spread the later passes
+            df = df.repartition(par)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
@@ -111,6 +114,11 @@ class Ledger:
     def dim_merchants(self) -> DataFrame:
         return build_dim_merchants(self.star_wide)
 
+    @cached_property
+    def cleaning_input(self) -> DataFrame:
+        """The cleaning input (several statistics passes read it)."""
+        return self._stored("cleaning_input", self.fx.cleaning_input())
+
     # streaming input
     @cached_property
     def stream_landing(self) -> str:

@@ -246,7 +246,7 @@ def test_rules_use_one_window_exchange_and_one_sort(spark):
     led = Ledger(spark, "/root/testdata/sf0.001")
     f = Q.rule_features(led.raw, led.accounts, led.customers)
     plan = f._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Window [") == 3
+    assert plan.count("Window [") == 3, plan
     bucket_exchanges = re.findall(r"Exchange hashpartitioning\(account_id#\d+L, _pb#\d+L", plan)
     bucket_sorts = re.findall(r"Sort \[account_id#\d+L ASC NULLS FIRST, _pb#", plan)
-    assert len(bucket_exchanges) == 1 and len(bucket_sorts) == 1
+    assert len(bucket_exchanges) == 1 and len(bucket_sorts) == 1, plan

@@ -91,3 +91,17 @@ def test_ledger_written_by_month(spark):
     assert back.count() == led.tx.count()
     plan = back.where(F.col("month") == "1996-01")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_run_ledger_publishes_one_consistent_run(spark):
+    import datetime as dt
+    from quillstone.plans.ledger_run import run_ledger
+    root = _tmp()
+    led = Ledger(spark, SF)
+    rec = run_ledger(spark, led.raw, led.accounts, led.customers, root, run_id=7, now=dt.datetime(2024, 1, 1))
+    assert (rec["source_record_count"], rec["valid_record_count"], rec["anomaly_count"]) == (1508, 1476, 32)
+    assert rec["breakdown"]["DUPLICATE"] == 8
+    cur = S.current_run_path(spark, root)
+    assert spark.read.parquet(f"{cur}/core/transactions").count() == 1476
+    assert spark.read.parquet(f"{cur}/dq/anomalies").count() == 32
+    assert spark.read.parquet(f"{root}/analytics/customer_segments").count() == 150

@@ -19,9 +19,9 @@ Physical design (both variants share it, see ``rule_features``):
    ``(account_id, time bucket)``. A row within ``rapid_seconds`` of a bucket
    edge is also copied into the neighbour bucket as a *ghost*, so lag/lead
    at the edges see the true neighbour. Ghosts are dropped afterwards;
-3. the duplicate count uses a window on (account, bucket, ts, amount, type),
-   which the same (account, bucket) exchange already satisfies: one shuffle
-   of the raw table for all windows.
+3. copy groups (duplicates) are pre-aggregated on their key before any
+   shuffle of rows; only one representative per group enters the windows, so
+   a group holding a large share of all rows never lands in one task.
 """
 
 from __future__ import annotations
@@ -77,39 +77,78 @@ def _bucket_roles(cfg: RuleConfig) -> tuple[Column, Column]:
     return b, roles
 
 
+COPY_KEY = ["account_id", TS, "amount", "transaction_type"]
+
+
 def rule_features(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
-                  cfg: RuleConfig = DEFAULT_RULES) -> DataFrame:
+                  cfg: RuleConfig = DEFAULT_RULES, copy_lag: bool = False) -> DataFrame:
     """Per raw row: duplicate group size/rank, previous timestamp, lookup columns
     and the first-match tag of rules 1-4 plus the rapid flag.
 
-    The ordered windows run first, on one exchange by (account, bucket). The
-    account lookup is joined afterwards: whether an account is known is the
-    same for every row of a window partition, so
-    ``hit = known AND hit_without_lookup`` and the same holds for ``lead(hit)``.
-    One sort serves all windows: rows are ordered by (ts, amount, type, id),
-    which keeps each duplicate group contiguous; equal timestamps are ordered
-    by amount, type and id (a deterministic tie-break).
+    1. Copy groups (same account, timestamp, amount, type; nulls equal) are
+       found with an aggregate over the four key columns; the partial step
+       collapses a group map-side, so a group holding a large share of all rows
+       costs one row after the combine. Usually few groups have copies.
+    2. Rows outside copy groups, plus one representative per copy group, go
+       through the ordered windows on one exchange by (account, time bucket)
+       and one sort (order: ts, amount, type, id - equal timestamps are ordered
+       by amount, type and id, a deterministic tie-break). A copy row is always
+       tagged DUPLICATE or by an earlier rule, so for its neighbours only its
+       timestamp matters, which the representative carries.
+    3. Copy rows get their group size from the aggregate through a join on the
+       copy key (broadcast when small, else sort-merge that AQE can split), with
+       no window over the group. Only the independent variant needs the
+       previous timestamp of a group's first row (``copy_lag=True``); it then
+       reads it from the representative, a second (narrow) consumer of the
+       window stage.
+    4. The account lookup is joined last: whether an account is known is the
+       same for every row of a window partition, so
+       ``hit = known AND hit_without_lookup`` and likewise for ``lead(hit)``.
     """
+    groups = (raw.groupBy(*COPY_KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("transaction_id").alias("_first_id"))
+              .where(F.col("_n") > 1))
+    gkeys = groups.select(*[F.col(k).alias(f"_g_{k}") for k in COPY_KEY])
+    singles = raw.join(gkeys, [raw[k].eqNullSafe(gkeys[f"_g_{k}"]) for k in COPY_KEY], "left_anti")
+    reps = groups.select(*COPY_KEY, F.col("_first_id").alias("transaction_id"), "_n", F.lit(True).alias("_rep"))
+    w_in = singles.withColumns({"_n": F.lit(1).cast("long"), "_rep": F.lit(False)}) \
+        .unionByName(reps, allowMissingColumns=True)
+
     _, roles = _bucket_roles(cfg)
-    x = raw.select("*", F.explode(roles).alias("_r")).select(
+    x = w_in.select("*", F.explode(roles).alias("_r")).select(
         "*", F.col("_r.pb").alias("_pb"), F.col("_r.role").alias("_role")).drop("_r")
     x = x.repartition("account_id", "_pb")
-
-    order = [F.col(TS), F.col("amount"), F.col("transaction_type"), F.col("transaction_id")]
-    seq = Window.partitionBy("account_id", "_pb").orderBy(*order)
-    grp = Window.partitionBy("account_id", "_pb", TS, "amount", "transaction_type")
-
+    seq = Window.partitionBy("account_id", "_pb").orderBy(
+        F.col(TS), F.col("amount"), F.col("transaction_type"), F.col("transaction_id"))
     x = x.withColumn("_prev_ts", F.lag(TS).over(seq))
-    x = x.withColumn("_dup_n", F.count(F.lit(1)).over(grp)).withColumn(
-        "_dup_rank", F.row_number().over(grp.orderBy("transaction_id")))
     row_ok = ~F.coalesce(F.col("amount") > F.lit(cfg.high_amount), F.lit(False)) & \
-        ~F.coalesce(F.col("balance_after") < 0, F.lit(False)) & (F.col("_dup_n") <= 1)
+        ~F.coalesce(F.col("balance_after") < 0, F.lit(False)) & ~F.col("_rep")
     within = F.col(TS) <= F.timestamp_add("SECOND", F.lit(cfg.rapid_seconds), F.col("_prev_ts"))
     hit = F.coalesce(row_ok & (F.col(TS) > F.col("_prev_ts")) & within, F.lit(False))
     x = x.withColumn("_hit0", hit).withColumn("_within", F.coalesce(within, F.lit(False)))
     x = x.withColumn("_next_hit0", F.coalesce(F.lead("_hit0").over(seq), F.lit(False)))
     x = x.where(F.col("_role") == "R").drop("_role", "_pb")
 
+    base_cols = raw.columns
+    single_out = x.where(~F.col("_rep")).select(
+        *base_cols, "_prev_ts", "_within", "_hit0", "_next_hit0",
+        F.lit(1).cast("long").alias("_dup_n"), F.lit(1).alias("_dup_rank"))
+    if copy_lag:
+        grp = x.where(F.col("_rep")).select(*[F.col(k).alias(f"_g_{k}") for k in COPY_KEY],
+                                            F.col("_n").alias("_g_n"), F.col("transaction_id").alias("_g_first"),
+                                            F.col("_prev_ts").alias("_g_prev"), F.col("_within").alias("_g_within"))
+    else:
+        grp = groups.select(*[F.col(k).alias(f"_g_{k}") for k in COPY_KEY], F.col("_n").alias("_g_n"),
+                            F.col("_first_id").alias("_g_first"), F.lit(None).cast("timestamp_ntz").alias("_g_prev"),
+                            F.lit(False).alias("_g_within"))
+    first = F.col("transaction_id") == F.col("_g_first")
+    copy_out = raw.join(grp, [raw[k].eqNullSafe(grp[f"_g_{k}"]) for k in COPY_KEY], "inner").select(
+        *base_cols,
+        F.when(first, F.col("_g_prev")).otherwise(F.col(TS)).alias("_prev_ts"),
+        F.when(first, F.col("_g_within")).otherwise(F.lit(True)).alias("_within"),
+        F.lit(False).alias("_hit0"), F.lit(False).alias("_next_hit0"),
+        F.col("_g_n").alias("_dup_n"), F.when(first, 1).otherwise(2).alias("_dup_rank"))
+    x = single_out.unionByName(copy_out)
+
     # account lookup after the windows (broadcast when small, else sort-merge with AQE skew split)
     x = x.join(home_states(accounts, customers), "account_id", "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
@@ -173,7 +212,7 @@ def tag_first_match(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
 def independent_anomalies(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
                           cfg: RuleConfig = DEFAULT_RULES) -> DataFrame:
     """Q1: union of the six independent rules, read in one pass (array of hits + explode)."""
-    f = rule_features(raw, accounts, customers, cfg)
+    f = rule_features(raw, accounts, customers, cfg, copy_lag=True)
 
     def hit(cond: Column, name: str, desc: Column) -> Column:
         return F.when(F.coalesce(cond, F.lit(False)), F.struct(

@@ -241,12 +241,31 @@ def test_fixture_counts_sf001(spark):
 # ---------------------------------------------------------------- plan shape
 
 def test_rules_use_one_window_exchange_and_one_sort(spark):
+    """First-match rules after execution: one shuffle and one sort by (account,
+    bucket), copy groups found by a partial (map-side) aggregate."""
     import re
     from quillstone.plans.context import Ledger
     led = Ledger(spark, "/root/testdata/sf0.001")
-    f = Q.rule_features(led.raw, led.accounts, led.customers)
+    f = Q.tag_first_match(led.raw, led.accounts, led.customers)
+    f.collect()
     plan = f._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Window [") == 3, plan
-    bucket_exchanges = re.findall(r"Exchange hashpartitioning\(account_id#\d+L, _pb#\d+L", plan)
-    bucket_sorts = re.findall(r"Sort \[account_id#\d+L ASC NULLS FIRST, _pb#", plan)
-    assert len(bucket_exchanges) == 1 and len(bucket_sorts) == 1, plan
+    final = plan.split("== Final Plan ==")[1].split("== Initial Plan ==")[0]
+    bucket_exchanges = re.findall(r"Exchange hashpartitioning\(account_id#\d+L, _pb#\d+L", final)
+    assert len(bucket_exchanges) == 1, final
+    assert re.search(r"HashAggregate\(keys=\[account_id#\d+L, transaction_timestamp#\d+, amount#\d+, "
+                     r"transaction_type#\d+\], functions=\[partial_count", final), final
+    # every window sort is on (account, bucket, ts, amount, type, id): one sort per window consumer
+    sorts = re.findall(r"Sort \[account_id#\d+L ASC NULLS FIRST, _pb#\d+L ASC NULLS FIRST, transaction_timestamp", final)
+    assert len(sorts) == 1, final
+
+
+def test_hot_copy_group_is_one_window_row(spark):
+    """A copy group of 3,000 rows on one account enters the window stage as one row."""
+    rows = [_row(i, 1, s(50), amount=10) for i in range(1, 3001)]
+    rows += [_row(5001, 1, s(47)), _row(5002, 1, s(53)), _row(5003, 1, s(58))]
+    homes = {1: "S1"}
+    got = _spark_first_match(spark, rows, homes)
+    assert got == first_match_reference(rows, homes)
+    assert got[5001] is None and got[5002] == got[5003] == "RAPID_TRANSACTIONS"
+    assert sum(1 for v in got.values() if v == "DUPLICATE") == 3000
+    assert _spark_independent(spark, rows, homes) == independent_reference(rows, homes)

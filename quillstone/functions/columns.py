@@ -96,16 +96,42 @@ def money(c: str | Column, digits: int = 2) -> Column:
     return F.round(col_or(c).cast("double"), digits)
 
 
-def avg_money(total: str, n: str) -> Column:
-    """Exact average of a money sum over a count, rounded half-up (away from zero) to cents.
+MICRO = "decimal(20,6)"
+
+
+def exact_sum(c: str | Column) -> Column:
+    """Exact sum of money held as doubles (amounts have at most 6 decimals)."""
+    return F.sum(col_or(c).cast(MICRO))
+
+
+def money_exact(c: str | Column, digits: int = 2) -> Column:
+    """A decimal rounded half-up (away from zero) to ``digits``, as a double."""
+    return F.round(col_or(c), digits).cast("double")
+
 
-    Integer division on cents, so the result does not depend on binary
-    floating-point rounding (an average ending in exactly half a cent rounds up).
+def money_dec(c: str | Column) -> Column:
+    """A double money value rounded half-up to cents through its decimal value."""
+    return money_exact(col_or(c).cast(MICRO))
+
+
+def avg_exact(total: str, n: str, scale: int = 6, digits: int = 2) -> Column:
+    """Exact ``total / n`` rounded half-up (away from zero) to ``digits``.
+
+    ``total`` is a sum with at most ``scale`` decimals. Integer division on
+    ``total * 10^scale``, so the result does not depend on binary rounding.
     Null when ``n`` is 0.
     """
+    unit = 10 ** scale
+    div = 10 ** (scale - digits)
     return F.expr(
         f"CAST(CASE WHEN {total} < 0 THEN -1 ELSE 1 END * "
-        f"((abs(CAST({total} * 100 AS DECIMAL(38,0))) * 2 + {n}) div (nullif({n}, 0) * 2)) AS DOUBLE) / 100.0")
+        f"((abs(CAST({total} * {unit} AS DECIMAL(38,0))) * 2 + {n} * {div}) div (nullif({n}, 0) * {2 * div}))"
+        f" AS DOUBLE) / {10 ** digits}.0")
+
+
+def avg_money(total: str, n: str) -> Column:
+    """Exact average of a money sum (2 decimals) over a count, half-up to cents."""
+    return avg_exact(total, n, 2, 2)
 
 
 def day_of(ts: str | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SEARCH_COLUMNS, SORTABLE_COLUMNS, STAR_CREDIT_TYPE
-from ..functions.columns import money, month_label, month_start, text_match
+from ..functions.columns import avg_exact, exact_sum, money_exact, month_label, month_start, text_match
 from .rolling import rolling_rows
 
 AMOUNT = "transaction_amount"
@@ -20,8 +20,8 @@ def monthly_spend_by_segment(fact: DataFrame, dim: DataFrame) -> DataFrame:
     the monthly series (and the z-scores on it) do not depend on summation order.
     """
     j = fact.select("customer_id", DATE, AMOUNT).join(dim.select("customer_id", "segment"), "customer_id")
-    return j.groupBy(month_start(DATE).alias("month"), "segment").agg(
-        F.sum(F.col(AMOUNT).cast("decimal(20,6)")).cast("double").alias("total_spent"))
+    return j.groupBy(month_start(DATE).alias("month"), "segment").agg(exact_sum(AMOUNT).alias("total_spent_exact")) \
+        .withColumn("total_spent", F.col("total_spent_exact").cast("double"))
 
 
 def rolling_rate(fact: DataFrame, rows: int = 7, unit: str = "day") -> DataFrame:
@@ -56,21 +56,22 @@ def latest_rows_rate(fact: DataFrame, rows: int = 7) -> DataFrame:
 def kpi_latest_month(spark: SparkSession, fact: DataFrame, rows: int = 7) -> DataFrame:
     """A4: newest month's total and average, plus the latest rolling rate; 0.0 when empty."""
     newest = (fact.groupBy(month_start(DATE).alias("m"))
-              .agg(F.sum(AMOUNT).alias("s"), F.avg(AMOUNT).alias("a"))
-              .orderBy(F.desc("m")).limit(1))
+              .agg(exact_sum(AMOUNT).alias("_s"), F.count(AMOUNT).alias("_n"))
+              .orderBy(F.desc("m")).limit(1)
+              .select("m", money_exact("_s").alias("s"), avg_exact("_s", "_n").alias("a")))
     rate = latest_rows_rate(fact, rows)
     return spark.range(1).select(
         F.date_format(newest.select("m").scalar(), "yyyy-MM").alias("month"),
-        F.round(F.coalesce(newest.select("s").scalar(), F.lit(0.0)), 2).alias("total_spend"),
-        F.round(F.coalesce(newest.select("a").scalar(), F.lit(0.0)), 2).alias("avg_transaction_amount"),
+        F.coalesce(newest.select("s").scalar(), F.lit(0.0)).alias("total_spend"),
+        F.coalesce(newest.select("a").scalar(), F.lit(0.0)).alias("avg_transaction_amount"),
         F.round(F.coalesce(rate.scalar(), F.lit(0.0)), 2).alias("fraud_rate_percent"),
     )
 
 
 def channel_distribution(fact: DataFrame) -> DataFrame:
     """A5."""
-    return (fact.groupBy("channel").agg(F.count(F.lit(1)).alias("count"), F.sum(AMOUNT).alias("_t"))
-            .select("channel", "count", money("_t").alias("total_amount"))
+    return (fact.groupBy("channel").agg(F.count(F.lit(1)).alias("count"), exact_sum(AMOUNT).alias("_t"))
+            .select("channel", "count", money_exact("_t").alias("total_amount"))
             .orderBy(F.desc("count"), "channel"))
 
 
@@ -83,8 +84,8 @@ def channel_share(distribution: DataFrame) -> DataFrame:
 def monthly_volume(fact: DataFrame) -> DataFrame:
     """A7."""
     return (fact.groupBy(month_label(DATE).alias("month"))
-            .agg(F.count(F.lit(1)).alias("txn_count"), F.sum(AMOUNT).alias("_t"), F.avg(AMOUNT).alias("_a"))
-            .select("month", "txn_count", money("_t").alias("total_spend"), money("_a").alias("avg_amount"))
+            .agg(F.count(F.lit(1)).alias("txn_count"), exact_sum(AMOUNT).alias("_t"), F.count(AMOUNT).alias("_n"))
+            .select("month", "txn_count", money_exact("_t").alias("total_spend"), avg_exact("_t", "_n").alias("avg_amount"))
             .orderBy("month"))
 
 
@@ -96,8 +97,8 @@ def total_volume(monthly: DataFrame, flagged: DataFrame) -> DataFrame:
 
 def top_locations(fact: DataFrame, n: int = 10) -> DataFrame:
     """Top ``n`` locations by count (ties: location)."""
-    return (fact.groupBy("location").agg(F.count(F.lit(1)).alias("txn_count"), F.sum(AMOUNT).alias("_t"))
-            .select("location", "txn_count", money("_t").alias("total_amount"))
+    return (fact.groupBy("location").agg(F.count(F.lit(1)).alias("txn_count"), exact_sum(AMOUNT).alias("_t"))
+            .select("location", "txn_count", money_exact("_t").alias("total_amount"))
             .orderBy(F.desc("txn_count"), "location").limit(n))
 
 
@@ -110,10 +111,10 @@ def location_intensity(top: DataFrame) -> DataFrame:
 def segment_overview(fact: DataFrame, dim: DataFrame) -> DataFrame:
     """Per age band; the average age is weighted by transactions."""
     j = fact.select("customer_id", AMOUNT).join(dim.select("customer_id", "segment", "age"), "customer_id")
-    return (j.groupBy("segment").agg(F.count(F.lit(1)).alias("txn_count"), F.sum(AMOUNT).alias("_t"),
-                                     F.avg(AMOUNT).alias("_a"), F.avg("age").alias("_g"))
-            .select("segment", "txn_count", money("_t").alias("total_spend"), money("_a").alias("avg_amount"),
-                    F.round("_g", 1).alias("avg_age"))
+    return (j.groupBy("segment").agg(F.count(F.lit(1)).alias("txn_count"), exact_sum(AMOUNT).alias("_t"),
+                                     F.count(AMOUNT).alias("_n"), F.sum("age").alias("_g"), F.count("age").alias("_gn"))
+            .select("segment", "txn_count", money_exact("_t").alias("total_spend"),
+                    avg_exact("_t", "_n").alias("avg_amount"), avg_exact("_g", "_gn", 1, 1).alias("avg_age"))
             .orderBy(F.desc("total_spend"), "segment"))
 
 
@@ -125,7 +126,7 @@ def segment_history(fact: DataFrame, dim: DataFrame, segment: str, require_rows:
     """Monthly spend of one band. ``require_rows`` raises for an unknown band
     (one small ``isEmpty`` job), like the 404 of the reference endpoint."""
     h = (monthly_spend_by_segment(fact, dim).where(F.col("segment") == F.lit(segment))
-         .select(month_label("month").alias("month"), money("total_spent").alias("total_spent"))
+         .select(month_label("month").alias("month"), money_exact("total_spent_exact").alias("total_spent"))
          .orderBy("month"))
     if require_rows and h.isEmpty():
         raise UnknownSegment(f"Segment '{segment}' not found")

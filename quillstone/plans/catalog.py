@@ -400,8 +400,8 @@ def _k6(spark, sf):
 @query("fact_transactions")
 def _k7(spark, sf):
     f = L(spark, sf).fact
-    return f.withColumns({"transaction_amount": X.money("transaction_amount"),
-                          "account_balance": X.money("account_balance")})
+    return f.withColumns({"transaction_amount": X.money_dec("transaction_amount"),
+                          "account_balance": X.money_dec("account_balance")})
 
 
 # ============================================================ segments (G)
@@ -492,7 +492,7 @@ def _a1(led: Ledger) -> DataFrame:
 
 @query("monthly_spend_by_segment")
 def _qa1(spark, sf):
-    return _a1(L(spark, sf)).withColumn("total_spent", X.money("total_spent"))
+    return _a1(L(spark, sf)).select("month", "segment", X.money_exact("total_spent_exact").alias("total_spent"))
 
 
 @query("rolling_rate")
@@ -557,8 +557,8 @@ def _qa12(spark, sf):
 def _qa13(spark, sf):
     p = A.transaction_page(L(spark, sf).fact, search="NATION_1", page=2, per_page=15,
                            sort_by="transaction_amount", sort_dir="desc")
-    return p.withColumns({"transaction_amount": X.money("transaction_amount"),
-                          "account_balance": X.money("account_balance")})
+    return p.withColumns({"transaction_amount": X.money_dec("transaction_amount"),
+                          "account_balance": X.money_dec("account_balance")})
 
 
 @query("transaction_page_info")
@@ -570,8 +570,8 @@ def _qa13b(spark, sf):
 def _qa14(spark, sf):
     p = A.transaction_page(L(spark, sf).fact, search="", page=3, per_page=20, sort_by="account_balance",
                            sort_dir="asc", channel="ATM")
-    return p.withColumns({"transaction_amount": X.money("transaction_amount"),
-                          "account_balance": X.money("account_balance")})
+    return p.withColumns({"transaction_amount": X.money_dec("transaction_amount"),
+                          "account_balance": X.money_dec("account_balance")})
 
 
 @query("high_login_flag")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import avg_exact, exact_sum, money_exact
 from ..operators import analytics as A
 from ..operators import quality as Q
 from ..operators import trends as T
@@ -72,14 +73,16 @@ def executive_brief(spark: SparkSession, led: Ledger, rows: int = 7) -> DataFram
     """Latest month: total spend, average amount, latest rolling rate, flagged segments."""
     monthly = A.monthly_spend_by_segment(led.fact, led.dim_customers)
     latest = monthly.agg(F.max("month")).scalar()
-    total = monthly.where(F.col("month") == latest).agg(F.sum("total_spent")).scalar()
-    avg = led.fact.where(F.date_trunc("month", "transaction_date") == latest).agg(F.avg("transaction_amount")).scalar()
+    total = monthly.where(F.col("month") == latest).agg(money_exact(F.sum("total_spent_exact"))).scalar()
+    avg = (led.fact.where(F.date_trunc("month", "transaction_date") == latest)
+           .agg(exact_sum("transaction_amount").alias("_s"), F.count("transaction_amount").alias("_n"))
+           .select(avg_exact("_s", "_n")).scalar())
     rate = A.latest_rows_rate(led.fact, rows).scalar()
     flagged = (T.spend_trend(monthly).where(F.col("flag") & (F.col("month") == latest))
                .agg(F.concat_ws(",", F.sort_array(F.collect_list("segment")))).scalar())
     return spark.range(1).select(
         F.date_format(latest, "yyyy-MM").alias("latest_month"),
-        F.round(F.coalesce(total, F.lit(0.0)), 2).alias("total_spend"),
-        F.round(F.coalesce(avg, F.lit(0.0)), 2).alias("avg_transaction"),
+        F.coalesce(total, F.lit(0.0)).alias("total_spend"),
+        F.coalesce(avg, F.lit(0.0)).alias("avg_transaction"),
         F.round(F.coalesce(rate, F.lit(0.0)), 2).alias("fraud_rate_percent"),
         F.coalesce(flagged, F.lit("")).alias("flagged_segments"))

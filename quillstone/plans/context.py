@@ -26,11 +26,13 @@ RUN_TS = _dt.datetime(2024, 1, 1, 0, 0, 0)
 class Ledger:
     """Derived tables over one driver directory.
 
-    With ``materialize=True`` the two expensive intermediates (the tagged raw
-    transactions and the cleaned star input) are written once as Parquet below
-    the shared ``spark.checkpoint.dir`` and read back: later queries get column
-    pruning and predicate pushdown on them, the lineage is cut, and a lost
-    executor does not lose them. ``materialize=False`` keeps everything lazy.
+    With ``materialize=True`` the input tables derived from the driver data
+    (raw transactions, the wide star input, the cleaning input) and the two
+    expensive intermediates (tagged transactions, cleaned star input) are
+    written once as Parquet below the shared ``spark.checkpoint.dir`` and read
+    back: multi-pass steps and later queries get parallel scans with column
+    pruning and predicate pushdown, the lineage is cut, and a lost executor
+    does not lose them. ``materialize=False`` keeps everything lazy.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: RuleConfig = DEFAULT_RULES,
@@ -43,13 +45,22 @@ class Ledger:
         self.fx = Fixtures(spark, sf_dir)
         self._run_dir = f"ledger-{uuid.uuid4().hex}"
 
-    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+    def _stored(self, name: str, df: DataFrame, spread: bool = False) -> DataFrame:
+        """Write ``df`` below the checkpoint dir and read it back.
+
+        ``spread`` (for tables derived by plain scans): when the inputs are
+        fewer files than the session's parallelism (one driver file is one row
+        group, hence one task), the rows are spread before writing so later
+        passes run in parallel. Large inputs are many files and are written as
+        they are (no extra shuffle). The check lists files only.
+        """
         if not self.materialize:
             return df
         path = scratch_path(self.spark, "quillstone", self._run_dir, name)
-        par = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:  # e.g. one input file: spread the later passes
-            df = df.repartition(par)
+        if spread:
+            par = self.spark.sparkContext.defaultParallelism
+            if len(df.inputFiles()) < par:
+                df = df.repartition(par)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
@@ -72,7 +83,8 @@ class Ledger:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return self.fx.raw_transactions()
+        """Raw transactions (an input table: stored once, read by the rules and the raw-level queries)."""
+        return self._stored("raw", self.fx.raw_transactions(), spread=True)
 
     # quality
     @cached_property
@@ -100,7 +112,7 @@ class Ledger:
     @cached_property
     def star_wide(self) -> DataFrame:
         """The cleaned wide star input (median, IQR clip, mode)."""
-        return self._stored("star_wide", clean_wide(self.fx.star_wide()))
+        return self._stored("star_wide", clean_wide(self._stored("star_input", self.fx.star_wide(), spread=True)))
 
     @cached_property
     def fact(self) -> DataFrame:
@@ -117,7 +129,7 @@ class Ledger:
     @cached_property
     def cleaning_input(self) -> DataFrame:
         """The cleaning input (several statistics passes read it)."""
-        return self._stored("cleaning_input", self.fx.cleaning_input())
+        return self._stored("cleaning_input", self.fx.cleaning_input(), spread=True)
 
     # streaming input
     @cached_property

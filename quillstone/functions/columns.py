@@ -140,8 +140,9 @@ def day_of(ts: str | Column) -> Column:
 
 
 def month_start(ts: str | Column) -> Column:
-    """First instant of the month (keeps timestamp_ntz)."""
-    return F.date_trunc("month", col_or(ts))
+    """First instant of the month, as timestamp_ntz (``date_trunc`` alone returns a
+    session-zone timestamp, which clients outside UTC would read shifted)."""
+    return F.date_trunc("month", col_or(ts)).cast("timestamp_ntz")
 
 
 def month_label(ts: str | Column) -> Column:

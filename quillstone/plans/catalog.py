@@ -36,9 +36,21 @@ from .reports import executive_brief, report_manifest
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def _decimals_as_double(df: DataFrame) -> DataFrame:
+    """Results leave as doubles where the engine keeps decimals (exact for money and
+    scores, and compared the same way by every client)."""
+    from pyspark.sql import types as T
+    dec = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
+    return df.withColumns({c: F.col(c).cast("double") for c in dec}) if dec else df
+
+
 def query(key: str):
     def deco(fn):
-        QUERIES[key] = fn
+        def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _decimals_as_double(fn(spark, sf_dir))
+        registered.__name__ = key
+        registered.__doc__ = fn.__doc__
+        QUERIES[key] = registered
         return fn
     return deco
 

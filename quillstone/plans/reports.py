@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import avg_exact, exact_sum, money_exact
+from ..functions.columns import avg_exact, exact_sum, money_exact, month_start
 from ..operators import analytics as A
 from ..operators import quality as Q
 from ..operators import trends as T
@@ -74,7 +74,7 @@ def executive_brief(spark: SparkSession, led: Ledger, rows: int = 7) -> DataFram
     monthly = A.monthly_spend_by_segment(led.fact, led.dim_customers)
     latest = monthly.agg(F.max("month")).scalar()
     total = monthly.where(F.col("month") == latest).agg(money_exact(F.sum("total_spent_exact"))).scalar()
-    avg = (led.fact.where(F.date_trunc("month", "transaction_date") == latest)
+    avg = (led.fact.where(month_start("transaction_date") == latest)
            .agg(exact_sum("transaction_amount").alias("_s"), F.count("transaction_amount").alias("_n"))
            .select(avg_exact("_s", "_n")).scalar())
     rate = A.latest_rows_rate(led.fact, rows).scalar()

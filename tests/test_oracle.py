@@ -32,3 +32,20 @@ def test_entry_smoke(spark):
     assert df.columns == ["anomaly_type", "severity", "count"]
     assert {r.anomaly_type for r in rows} == {
         "HIGH_AMOUNT", "INVALID_ACCOUNT", "NEGATIVE_BALANCE", "DUPLICATE", "RAPID_TRANSACTIONS", "LOCATION_MISMATCH"}
+
+
+def _spark_type_name(dt):
+    from pyspark.sql import types as T
+    names = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR",
+             T.BooleanType: "BOOLEAN", T.DateType: "DATE", T.TimestampNTZType: "TIMESTAMP"}
+    return names.get(type(dt), dt.simpleString())
+
+
+@pytest.mark.parametrize("key", sorted(k for k in QUERIES if not k.startswith("stream_")))
+def test_query_types_match_oracle(spark, duck, key):
+    """Column types agree (no session-zone timestamps, decimals or wide integers leak out)."""
+    sdf = QUERIES[key](spark, SF_SMALL)
+    s_types = {f.name: _spark_type_name(f.dataType) for f in sdf.schema.fields}
+    rel = duck.sql(SQL[key])
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert s_types == d_types

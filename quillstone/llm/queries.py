@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontamination, exact_dedup, language_id, packing, simhash
+from quillstone.llm import decontamination, exact_dedup, language_id, license_scan, packing, simhash
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_language_id": language_id.op2_language_id,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": license_scan.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontamination, exact_dedup, language_id, license_scan, packing, simhash
+from quillstone.llm import decontamination, exact_dedup, language_id, license_scan, packing, privacy, simhash
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_language_id": language_id.op2_language_id,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_pii": privacy.op5_pii,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,

@@ -29,6 +29,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` below the shared folder of spark.checkpoint.dir and read it back.
 
@@ -62,8 +70,9 @@ def attach_groups(rows: DataFrame, key: str, salt: str, partial: dict[str, Colum
 
 def keep_rows(docs: DataFrame, keepers: DataFrame, on: str, ids: str) -> DataFrame:
     """The rows of `docs` whose `on` (null-safe) is among `ids` of `keepers`, all columns as they are."""
-    wanted = keepers.select(F.col(ids).alias("_keep_id"))
-    return docs.join(wanted, docs[on].eqNullSafe(wanted["_keep_id"]), "left_semi")
+    name = free_name(docs, "_keep_id")
+    wanted = keepers.select(F.col(ids).alias(name))
+    return docs.join(wanted, docs[on].eqNullSafe(wanted[name]), "left_semi")
 
 
 by_value(__name__)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillstone.llm.common import by_value, read, small_batches
+from quillstone.llm.common import by_value, free_name, read, small_batches
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -197,7 +197,8 @@ def predicted(docs: DataFrame) -> Column:
 def identified_only(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told, all columns as they are; those with `und` go."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("_lang_pred", predicted(docs)["lang"]).where(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred")
+    name = free_name(docs, "_lang_pred")
+    return docs.withColumn(name, predicted(docs)["lang"]).where(F.col(name) != UNKNOWN).drop(name)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from quillstone.llm import decontamination, exact_dedup, language_id, license_scan, packing, privacy, simhash
+from quillstone.llm import (
+    chat_format,
+    decontamination,
+    exact_dedup,
+    language_id,
+    license_scan,
+    packing,
+    privacy,
+    quality,
+    sharding,
+    simhash,
+)
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_language_id": language_id.op2_language_id,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_sharding": sharding.op4_sharding,
     "op5_pii": privacy.op5_pii,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
+    "op8_chat_format": chat_format.op8_chat_format,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
+#: The others have no SQL: learned models, a tokenizer, XXH64 and code-point places; tests hold them against brute force.
 ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
+    "op4_sharding": sharding.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillstone.llm.common import by_value, read, small_batches, stored
+from quillstone.llm.common import by_value, free_name, read, small_batches, stored
 
 #: Hashed words: the size of the term space, and so of all that is summed over it.
 TERMS = 1 << 16
@@ -49,19 +49,16 @@ WINDOW, STEP, PASSAGE = 24, 12, 48
 MIN_COSINE = 0.3
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Words of a document that are searched at once, and words a worker remembers.
-SPAN, REMEMBERED = 1 << 15, 200_000
+SPAN, REMEMBERED = 1 << 15, 800_000
 
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: What is no part of a word at its edges: ASCII and common typographic marks.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026"
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def plain(word: str) -> str:
-    return EDGES.sub("", word)
-
-
 def words_of(text: str | None) -> list[str]:
     """Lower-case words without punctuation at their edges."""
-    return [w for w in map(plain, (text or "").lower().split()) if w]
+    return [w for w in (w.strip(EDGES) for w in (text or "").lower().split()) if w]
 
 
 class Terms(dict):
@@ -70,7 +67,7 @@ class Terms(dict):
     def __missing__(self, raw: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        word = plain(raw)
+        word = raw.strip(EDGES)
         self[raw] = term = zlib.crc32(word.encode("utf-8", "surrogatepass")) % TERMS if word else -1
         return term
 
@@ -235,9 +232,6 @@ def answer_of(text: str) -> list[str]:
 
 def confirmed(item: list[str], answer: list[str], near: list[str]) -> tuple[float, bool]:
     """The share of the item's words found in order near a window, and whether that is a leak."""
-    have = set(near)
-    if sum(w in have for w in item) < PARAPHRASE * len(item):
-        return 0.0, False
     share = lcs(item, near) / len(item)
     leak = share >= VERBATIM or share >= PARAPHRASE and bool(answer) and lcs(answer, near) >= ANSWER * len(answer)
     return share, leak
@@ -276,6 +270,7 @@ def search(text: Column, block: list[tuple[int, str]], index: list[tuple[int, li
     @pandas_udf("item_id long, cosine double, lcs double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         terms_of, items = Terms(), {i: (words_of(t), answer_of(t)) for i, t in texts.items()}
+        wanted = {i: terms_of.of(words).tolist() for i, (words, _) in items.items()}
         for batch in batches:
             found: list[tuple] = []
             for text_ in batch:
@@ -292,12 +287,14 @@ def search(text: Column, block: list[tuple[int, str]], index: list[tuple[int, li
                     for k in np.argsort(-cosine, kind="stable").tolist():
                         item_id = int(owners[passage[k]])
                         item, answer = items[item_id]
-                        first = max(0, int(start[k]) - len(item))
+                        first, last = max(0, int(start[k]) - len(item)), int(start[k]) + WINDOW + len(item)
                         spot = (item_id, int(start[k]) // max(len(item), WINDOW))
                         if spot in done:
                             continue
-                        near = [plain(w) for w in raw[first:int(start[k]) + WINDOW + len(item)]]
-                        share, leak = confirmed(item, answer, near)
+                        have = set(whole[first:last].tolist())  # too few words in any order: no leak
+                        if sum(map(have.__contains__, wanted[item_id])) < PARAPHRASE * len(item):
+                            continue
+                        share, leak = confirmed(item, answer, [w.strip(EDGES) for w in raw[first:last]])
                         if leak:
                             done.add(spot)
                             if best is None or (-share, item_id) < (-best[2], best[0]):
@@ -329,9 +326,9 @@ def verdicts(docs: DataFrame, items: DataFrame) -> list[Column]:
 
 def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, all columns as they are."""
-    names = docs.columns
+    name = free_name(docs, "_leak")
     for column in verdicts(docs, items):
-        docs = docs.withColumn("_leak", column["item_id"]).where(F.col("_leak").isNull()).select(*names)
+        docs = docs.withColumn(name, column["item_id"]).where(F.col(name).isNull()).drop(name)
     return docs
 
 

@@ -19,9 +19,9 @@ Words outside all templates cannot be shared and are left out of the blocks. The
 index of template prefixes is broadcast; it has at most MAX_TEMPLATES templates of
 BLOCK / 2 words. Everything is DataFrame functions; the words of a text stay in its row.
 
-In a block, a template whose shared words are all among those of another one that is
-contained as well or better, and shares more, gives no label (a GPL line is also mostly a line
-of another GPL version). Phrases, searched over the whole text, give the base columns.
+A template whose shared words are all among those of another one that, in the same block
+or one beside it, is contained as well or better, and shares more, gives no label (a GPL line
+is also mostly a line of another GPL version). Phrases, searched over the whole text, give the base columns.
 
 Defined results: null and empty texts have no words, no labels and score 0. Repeated
 rows give equal rows, an empty table an empty result. Columns beside doc_id and text
@@ -161,10 +161,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
 
 
 def labelled(matches: DataFrame) -> DataFrame:
-    """For each row its labels and its best containment; a block has few matches, at most one a template."""
-    block = matches.groupBy("_row", "start").agg(F.collect_list(F.struct("label", "shared", "containment")).alias("m"))
+    """For each row its labels and its best containment; a block and its neighbours have at most three matches a template."""
+    half = BLOCK // 2
+    near = matches.withColumn("at", F.explode(F.array(F.col("start") - half, F.col("start"), F.col("start") + half)))
+    block = near.groupBy("_row", "at").agg(F.collect_list(F.struct("label", "shared", "containment", (F.col("at") == F.col("start")).alias("own"))).alias("m"))
     beaten = lambda a: F.exists("m", lambda b: (b["containment"] >= a["containment"]) & (F.size(b["shared"]) > F.size(a["shared"])) & (F.size(F.array_except(a["shared"], b["shared"])) == 0))
-    best = block.select("_row", F.explode(F.filter("m", lambda a: ~beaten(a))).alias("a"))
+    best = block.select("_row", F.explode(F.filter("m", lambda a: a["own"] & ~beaten(a))).alias("a"))
     return best.groupBy("_row").agg(F.collect_set("a.label").alias("_labels"), F.max("a.containment").alias("_best"))
 
 
@@ -209,7 +211,7 @@ pairs AS (
   WHERE len(list_filter(t_words, lambda w: list_contains(b_words, w))) >= {CONTAINMENT} * len(t_words) - 1e-9),
 best AS (
   SELECT * FROM pairs a WHERE NOT EXISTS (
-    SELECT 1 FROM pairs b WHERE b.r = a.r AND b.s = a.s AND len(b.shared) / b.n >= len(a.shared) / a.n
+    SELECT 1 FROM pairs b WHERE b.r = a.r AND abs(b.s - a.s) <= {BLOCK // 2} AND len(b.shared) / b.n >= len(a.shared) / a.n
       AND len(b.shared) > len(a.shared) AND len(list_filter(a.shared, lambda w: NOT list_contains(b.shared, w))) = 0)),
 found AS (SELECT r, list(DISTINCT label) AS labels, max(len(shared) / n) AS best FROM best GROUP BY r),
 named AS (SELECT *, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM based LEFT JOIN found USING (r))

@@ -135,7 +135,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", gram: int = G
                 total = sums.setdefault(name, np.zeros(dimensions))
                 for at in range(0, len(codes), 8192):
                     total += counts[at:at + 8192] @ gram_vectors(codes[at:at + 8192], gram, dimensions).astype(np.float32)
-        yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     parts = labelled.mapInPandas(bundle, "lang string, vector array<double>")

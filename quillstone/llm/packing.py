@@ -320,7 +320,7 @@ def sequences(packed: DataFrame) -> DataFrame:
     """sequence_id, ids, doc_ids: whole sequences of a packed table that still has `ids`; a sequence has at most `capacity` ids."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids", "doc_id")))
     return packed.groupBy("sequence_id").agg(parts.alias("p")).select(
-        "sequence_id", F.aggregate("p.ids", F.unhex(F.lit("")), F.concat).alias("ids"), F.col("p.doc_id").alias("doc_ids")
+        "sequence_id", F.aggregate("p.ids", F.unhex(F.lit("")), lambda a, b: F.concat(a, b)).alias("ids"), F.col("p.doc_id").alias("doc_ids")
     )
 
 

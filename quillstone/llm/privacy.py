@@ -128,8 +128,9 @@ def named(kind: str):
 
 
 def outside(text: Column) -> Column:
-    """The text without what the patterns match: its terms are not parts of an entity."""
-    return F.when(F.regexp_like(text, F.lit("[0-9@]")), reduce(lambda t, p: F.regexp_replace(t, p, " "), PATTERNS.values(), text)).otherwise(text)
+    """The text without what may be an entity: its terms are not parts of one. A number is one from 16 digits on."""
+    numbers = {**PATTERNS, "card": r"[0-9](?:[\x20-]?[0-9]){15,}+"}
+    return F.when(F.regexp_like(text, F.lit("[0-9@]")), reduce(lambda t, p: F.regexp_replace(t, p, " "), numbers.values(), text)).otherwise(text)
 
 
 def words_of(text: Column) -> Column:

@@ -119,7 +119,8 @@ def passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
                     norm = float(np.sqrt((value * value).sum()))
                     if norm > 0:
                         rows.append((item, term.tolist(), (value / norm).tolist()))
-            yield pd.DataFrame(rows, columns=["item_id", "terms", "values"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_id", "terms", "values"])
 
     known = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
     return known.mapInPandas(cut, "item_id long, terms array<int>, values array<float>")
@@ -173,7 +174,8 @@ def back(rows: DataFrame, right: np.ndarray) -> np.ndarray:
                 y = v @ right[t]
                 for term, value in zip(t.tolist(), v, strict=True):
                     total[term] = total.get(term, 0) + value * y
-        yield pd.DataFrame({"term": list(total), "x": [x.tolist() for x in total.values()]})
+        if total:
+            yield pd.DataFrame({"term": list(total), "x": [x.tolist() for x in total.values()]})
 
     summed = rows.mapInPandas(part, "term int, x array<float>").groupBy("term").applyInPandas(add_up("term"), "term int, x array<float>")
     out = np.zeros_like(right)
@@ -194,13 +196,12 @@ def latent_space(rows: DataFrame, dimensions: int = DIMENSIONS, power_steps: int
     spark = rows.sparkSession
     width = dimensions + OVERSAMPLE
     probe = np.random.default_rng(7).standard_normal((TERMS, width)).astype(np.float32)
-    for _ in range(power_steps):
+    for _ in range(power_steps + 1):
         factor = on_worker(spark, orthonormal, times(rows, probe))
+        if not factor.size:
+            return np.zeros((TERMS, 0), np.float32)
         probe = back(rows, np.einsum("ij,jk->ik", probe, factor).astype(np.float32))
-    factor = on_worker(spark, orthonormal, times(rows, probe))
-    if not factor.size:
-        return np.zeros((TERMS, 0), np.float32)
-    spread = back(rows, np.einsum("ij,jk->ik", probe, factor).astype(np.float32))  # A'Q, Q orthonormal
+    spread = probe  # A'Q, Q orthonormal
 
     def right_vectors(b: np.ndarray) -> np.ndarray:
         value, vector = np.linalg.eigh(b)

@@ -44,9 +44,9 @@ MSG_RAPID = "Rapid velocity burst on account {account_id} within {seconds}s"
 MSG_LOCATION = "Transaction state '{state}' mismatches customer home state '{home_state}'"
 
 # independent ("SQL script") message formats
-IND_MSG_HIGH_AMOUNT = "Transaction amount {amount} exceeds maximum single transaction threshold of 500,000"
+IND_MSG_HIGH_AMOUNT = "Transaction amount {amount} exceeds maximum single transaction threshold of {threshold}"
 IND_MSG_INVALID_ACCOUNT = "Account ID {account_id} does not exist in core banking accounts ledger"
-IND_MSG_RAPID = "Rapid velocity transaction detected within 5 seconds of previous activity"
+IND_MSG_RAPID = "Rapid velocity transaction detected within {seconds} seconds of previous activity"
 IND_MSG_NEGATIVE_BALANCE = "Balance after transaction is negative ({balance_after}) or mathematically impossible"
 IND_MSG_DUPLICATE = "Duplicate transaction detected with identical account, timestamp, amount, and type"
 IND_MSG_LOCATION = "Transaction location state ({state}) mismatches customer registered home state ({home_state})"

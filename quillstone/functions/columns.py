@@ -92,8 +92,8 @@ def zero_if_null(c: str | Column) -> Column:
 
 
 def money(c: str | Column, digits: int = 2) -> Column:
-    """Money as a double rounded half-up to ``digits``."""
-    return F.round(col_or(c).cast("double"), digits)
+    """Money rounded half-up to ``digits``; it stays a decimal, so sums of it are exact."""
+    return F.round(col_or(c).cast("decimal(38,6)"), digits)
 
 
 MICRO = "decimal(20,6)"

@@ -14,21 +14,23 @@ DATE = "transaction_date"
 
 
 def monthly_spend_by_segment(fact: DataFrame, dim: DataFrame) -> DataFrame:
-    """A1: (month start, age band, total spent). The dim side is small and joined by size.
+    """A1: (month start, age band, total spent). The rows are summed by customer and month
+    before the join, so a customer with many rows is one row a month there.
 
     The sum is an exact decimal sum of the amounts at micro-unit precision, so
     the monthly series (and the z-scores on it) do not depend on summation order.
     """
-    j = fact.select("customer_id", DATE, AMOUNT).join(dim.select("customer_id", "segment"), "customer_id")
-    return j.groupBy(month_start(DATE).alias("month"), "segment").agg(exact_sum(AMOUNT).alias("total_spent_exact")) \
+    per_customer = fact.groupBy("customer_id", month_start(DATE).alias("month")).agg(exact_sum(AMOUNT).alias("_t"))
+    j = per_customer.join(dim.select("customer_id", "segment"), "customer_id")
+    return j.groupBy("month", "segment").agg(F.sum("_t").alias("total_spent_exact")) \
         .withColumn("total_spent", F.col("total_spent_exact").cast("double"))
 
 
-def rolling_rate(fact: DataFrame, rows: int = 7, unit: str = "day") -> DataFrame:
+def rolling_rate(fact: DataFrame, rows: int = 7, parts: int | None = None) -> DataFrame:
     """A2: share (%) of ``Credit`` rows among this row and the ``rows - 1`` before it,
-    by (date, id). Distributed calendar-bucket form (see ``rolling``)."""
+    by (date, id). Distributed over ranges of that order (see ``rolling``)."""
     r = rolling_rows(fact.select("transaction_id", DATE, "transaction_type"), [DATE, "transaction_id"],
-                     {"credit": (F.col("transaction_type") == STAR_CREDIT_TYPE).cast("long")}, rows - 1, unit)
+                     {"credit": (F.col("transaction_type") == STAR_CREDIT_TYPE).cast("long")}, rows - 1, parts)
     return r.select("transaction_id", DATE,
                     (F.lit(100.0) * F.col("_sum_credit") / F.col("_rows")).alias("fraud_rate_percent"))
 
@@ -109,10 +111,13 @@ def location_intensity(top: DataFrame) -> DataFrame:
 
 
 def segment_overview(fact: DataFrame, dim: DataFrame) -> DataFrame:
-    """Per age band; the average age is weighted by transactions."""
-    j = fact.select("customer_id", AMOUNT).join(dim.select("customer_id", "segment", "age"), "customer_id")
-    return (j.groupBy("segment").agg(F.count(F.lit(1)).alias("txn_count"), exact_sum(AMOUNT).alias("_t"),
-                                     F.count(AMOUNT).alias("_n"), F.sum("age").alias("_g"), F.count("age").alias("_gn"))
+    """Per age band; the average age is weighted by transactions. Summed by customer before the join."""
+    per_customer = fact.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("_c"), exact_sum(AMOUNT).alias("_s"), F.count(AMOUNT).alias("_a"))
+    j = per_customer.join(dim.select("customer_id", "segment", "age"), "customer_id")
+    return (j.groupBy("segment").agg(F.sum("_c").alias("txn_count"), F.sum("_s").alias("_t"), F.sum("_a").alias("_n"),
+                                     F.sum(F.col("age") * F.col("_c")).alias("_g"),
+                                     F.sum(F.when(F.col("age").isNotNull(), F.col("_c"))).alias("_gn"))
             .select("segment", "txn_count", money_exact("_t").alias("total_spend"),
                     avg_exact("_t", "_n").alias("avg_amount"), avg_exact("_g", "_gn", 1, 1).alias("avg_age"))
             .orderBy(F.desc("total_spend"), "segment"))
@@ -161,9 +166,12 @@ def transaction_page(fact: DataFrame, search: str = "", page: int = 1, per_page:
     df = _page_filter(fact, search, channel)
     key = F.col(sort_by)
     if after is not None:
-        v, i = F.lit(after[0]), F.lit(after[1])
-        beyond = (key < v) | ((key == v) & (F.col("transaction_id") > i)) if sort_dir == "desc" else \
-            (key > v) | ((key == v) & (F.col("transaction_id") > i))
+        later = F.col("transaction_id") > F.lit(after[1])
+        if after[0] is None:  # nulls come last (desc) or first (asc)
+            beyond = key.isNull() & later if sort_dir == "desc" else key.isNotNull() | later
+        else:
+            v = F.lit(after[0])
+            beyond = ((key == v) & later) | ((key < v) | key.isNull() if sort_dir == "desc" else key > v)
         df = df.where(beyond)
     ordered = df.orderBy(key.desc_nulls_last() if sort_dir == "desc" else key.asc_nulls_first(),
                          F.col("transaction_id"))

@@ -1,15 +1,11 @@
 """Column cleaning (K1-K3): median imputation, IQR clipping, mode imputation.
 
-Statistics are computed with aggregates and fed back as *scalar subqueries*
-(``DataFrame.scalar()``), so no join or cross join is needed to apply them and
-Catalyst merges the per-column subqueries of one pass into a single aggregate.
-
-* K1 / K2: quantiles are exact with linear interpolation (as pandas) but never
-  hold a whole column in one buffer (``exact_quantiles``): one pass computes
-  the count and a ``percentile_approx`` bracket around each wanted rank, a
-  second pass counts the values below each bracket and collects the few values
-  inside it; the exact order statistics are picked from those. Both passes
-  cover all columns at once. ``exact=False`` stops after the approximate pass.
+Statistics are a few numbers for each column, computed with aggregates in jobs
+that cover all columns at once, and applied as literals: no join is needed.
+
+* K1 / K2: quantiles are exact with linear interpolation (as pandas) and never
+  hold a list of values (``exact_quantiles``): a few counting passes, each over
+  all columns at once, narrow the interval of values that holds a wanted rank.
 * K3: the mode is a distributed ``groupBy(value).count()`` followed by a
   ``min_by`` on (-count, value): the lowest value wins a tie, as in pandas.
   Its memory does not grow with the number of distinct values.
@@ -32,75 +28,65 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10_000,
-                    exact: bool = True, max_window: int = 1_000_000) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = 4096) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns (pandas ``quantile``), exact.
 
-    Pass 1: per column the non-null count and approximate quantiles at
-    ``p -/+ 2/accuracy`` (the rank error of ``percentile_approx`` is at most
-    n/accuracy, so the true order statistics lie inside [lo, hi]). Pass 2: per
-    column and probability, the count of values below ``lo`` and the sorted
-    values inside [lo, hi] (about 4n/accuracy values). Should a bracket miss,
-    it is widened and pass 2 repeats. Only small scalars reach the driver.
-    The accuracy starts at ``accuracy`` and is raised when a bracket would hold
-    more than ``max_window`` values (about 4n/accuracy), so pass 2 stays bounded
-    for any n while small inputs keep a small sketch.
-    ``exact=False`` returns the approximate quantiles of pass 1.
+    Each wanted rank is found by narrowing an interval of values. One job counts,
+    for all intervals at once, the values in each of ``bins`` equal parts and takes
+    each part's smallest and largest value; the part that holds the rank becomes the
+    next interval, and a part with a single distinct value is the answer. So ties
+    cost nothing, no list of values exists anywhere, and a job returns at most
+    ``bins`` rows for each interval, whatever the data. Nulls and NaN are left out.
     """
     if not cols:
         return {}
-    x = {c: F.col(c).cast("double") for c in cols}
-    if not exact:
-        row = df.agg(*[F.percentile_approx(x[c], F.array(*[F.lit(p) for p in probs]), accuracy).alias(f"a{i}")
-                       for i, c in enumerate(cols)]).first()
-        return {c: list(row[f"a{i}"]) if row[f"a{i}"] else [None] * len(probs) for i, c in enumerate(cols)}
-    widen = 1.0
-    while True:
-        eps = 2.0 / accuracy
-        lows = [max(0.0, p - eps * widen) for p in probs]
-        highs = [min(1.0, p + eps * widen) for p in probs]
-        aggs = []
-        for i, c in enumerate(cols):
-            aggs.append(F.count(x[c]).alias(f"n{i}"))
-            aggs.append(F.percentile_approx(x[c], F.array(*[F.lit(v) for v in lows + highs]), accuracy).alias(f"a{i}"))
-        row1 = df.agg(*aggs).first()
-        n_max = max((row1[f"n{i}"] or 0) for i in range(len(cols)))
-        if 4.0 * widen * n_max / accuracy > max_window:
-            accuracy = int(4.0 * widen * n_max / max_window) + 1
-            continue
-        aggs2, plan = [], []
-        for i, c in enumerate(cols):
-            n, approx = row1[f"n{i}"], row1[f"a{i}"]
-            for j, p in enumerate(probs):
-                if not n:
-                    continue
-                lo, hi = approx[j], approx[len(probs) + j]
-                k = len(plan)
-                aggs2.append(F.count_if(x[c] < F.lit(lo)).alias(f"b{k}"))
-                aggs2.append(F.sort_array(F.collect_list(F.when((x[c] >= F.lit(lo)) & (x[c] <= F.lit(hi)), x[c])))
-                             .alias(f"w{k}"))
-                plan.append((c, j, n, p))
-        row2 = df.agg(*aggs2).first() if aggs2 else None
-        out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-        missed = False
-        for k, (c, j, n, p) in enumerate(plan):
-            below, window = row2[f"b{k}"], row2[f"w{k}"]
-            pos = p * (n - 1)
-            r_lo = int(pos)
-            r_hi = min(r_lo + 1, n - 1)
-            i_lo, i_hi = r_lo - below, r_hi - below
-            if i_lo < 0 or i_hi >= len(window):
-                missed = True
-                break
-            v_lo, v_hi = window[i_lo], window[i_hi]
-            out[c][j] = v_lo + (v_hi - v_lo) * (pos - r_lo)
-        if not missed:
-            return out
-        widen *= 16
-
-
-def _quantile_map(df: DataFrame, cols: list[str], probs: list[float], exact: bool, accuracy: int):
-    return exact_quantiles(df, cols, probs, accuracy=accuracy, exact=exact)
+    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    first = df.agg(*[f(x[c]).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    ranks = {c: sorted({r for p in probs for r in _ranks(p, counts[c])}) for c in cols if counts[c]}
+    found: dict[tuple[str, int], float] = {}
+    # interval -> (wanted rank, rank within the interval)
+    todo = {(c, first[f"lo{i}"], first[f"hi{i}"]): [(r, r) for r in ranks[c]] for i, c in enumerate(cols) if counts[c]}
+    while todo:
+        for interval in [t for t in todo if t[1] == t[2]]:
+            found.update({(interval[0], r): interval[1] for r, _ in todo.pop(interval)})
+        if not todo:
+            break
+        intervals = list(todo)
+        parts = F.array_compact(F.array(*[
+            F.when(x[c].between(lo, hi), F.struct(F.lit(k).alias("k"), _part(x[c], lo, hi, bins).alias("part"), x[c].alias("x")))
+            for k, (c, lo, hi) in enumerate(intervals)]))
+        rows = (df.select(F.explode(parts).alias("v")).groupBy("v.k", "v.part")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("v.x").alias("lo"), F.max("v.x").alias("hi")).collect())
+        rows.sort(key=lambda r: (r["k"], r["part"]))
+        after: dict[tuple[str, float, float], list[tuple[int, int]]] = {}
+        for k, interval in enumerate(intervals):
+            below = 0
+            for r in (r for r in rows if r["k"] == k):
+                inside = [(w, at - below) for w, at in todo[interval] if below <= at < below + r["n"]]
+                if inside:
+                    after[(interval[0], r["lo"], r["hi"])] = inside
+                below += r["n"]
+        todo = after
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        n = counts[c]
+        out[c] = [None] * len(probs)
+        for j, p in enumerate(probs if n else []):
+            lo, hi = (found[(c, r)] for r in _ranks(p, n))
+            out[c][j] = lo + (hi - lo) * (p * (n - 1) - int(p * (n - 1)))
+    return out
+
+
+def _ranks(p: float, n: int) -> tuple[int, int]:
+    low = int(p * (n - 1))
+    return low, min(low + 1, n - 1)
+
+
+def _part(x: Column, lo: float, hi: float, bins: int) -> Column:
+    """Which of the equal parts of [lo, hi] a value falls into (halved, so that the width is finite)."""
+    share = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+    return F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))
 
 
 def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
@@ -111,9 +97,8 @@ def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if row[c]]
 
 
-def impute_median(df: DataFrame, cols: list[str] | None = None, exact: bool = True,
-                  accuracy: int = 10_000) -> DataFrame:
-    """K1: nulls in each column -> the column median (one stats pass).
+def impute_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """K1: nulls in each column -> the column median.
 
     Every listed column is cast to double, as a pandas fill makes it float;
     medians are only computed for columns that actually hold nulls.
@@ -122,18 +107,17 @@ def impute_median(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
     todo = columns_with_nulls(df, cols)
     if not todo:
         return df.withColumns({c: F.col(c).cast("double") for c in cols})
-    med = _quantile_map(df, todo, [0.5], exact, accuracy)
+    med = exact_quantiles(df, todo, [0.5])
     fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(med[c][0]).cast("double")) if c in todo
             else F.col(c).cast("double") for c in cols}
     return df.withColumns(fill)
 
 
-def clip_iqr(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, exact: bool = True,
-             accuracy: int = 10_000) -> DataFrame:
+def clip_iqr(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> DataFrame:
     """K2: clip to [Q1 - k IQR, Q3 + k IQR]; quartiles of the given (already imputed) frame.
     Values are replaced, no row is dropped."""
     cols = numeric_columns(df) if cols is None else cols
-    qs = _quantile_map(df, cols, [0.25, 0.75], exact, accuracy)
+    qs = exact_quantiles(df, cols, [0.25, 0.75])
     out = {}
     for c in cols:
         q1, q3 = qs[c]
@@ -162,19 +146,14 @@ def impute_mode(df: DataFrame, cols: list[str] | None = None, missing: str = "UN
     todo = columns_with_nulls(df, cols)
     if not todo:
         return df
-    modes = column_modes(df, todo)
-    fill = {}
-    for c in todo:
-        m = modes.where(F.col("column_name") == c).select("mode").scalar()
-        fill[c] = F.coalesce(F.col(c).cast("string"), m, F.lit(missing))
-    return df.withColumns(fill)
+    modes = {r["column_name"]: r["mode"] for r in column_modes(df, todo).collect()}  # one row a column
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c, missing))) for c in todo})
 
 
-def clean_columns(df: DataFrame, numeric: list[str] | None = None, text: list[str] | None = None,
-                  exact: bool = True) -> DataFrame:
-    """K1 + K2 + K3 in the reference order: impute, then clip (second stats pass), then modes."""
+def clean_columns(df: DataFrame, numeric: list[str] | None = None, text: list[str] | None = None) -> DataFrame:
+    """K1 + K2 + K3 in this order: impute, then clip (of the imputed values), then modes."""
     numeric = numeric_columns(df) if numeric is None else numeric
     text = text_columns(df) if text is None else text
-    out = impute_median(df, numeric, exact=exact) if numeric else df
-    out = clip_iqr(out, numeric, exact=exact) if numeric else out
+    out = impute_median(df, numeric) if numeric else df
+    out = clip_iqr(out, numeric) if numeric else out
     return impute_mode(out, text) if text else out

@@ -19,10 +19,17 @@ def join_inner(left: DataFrame, right: DataFrame, keys: list[str] | str) -> Data
 def left_join_where(left: DataFrame, right: DataFrame, keys: list[str] | str, right_pred: Column) -> DataFrame:
     """LEFT JOIN ... ON keys AND <predicate on the right side>.
 
-    Filtering the right side first is equivalent (unmatched left rows are kept)
-    and pushes the predicate into the right scan.
+    The predicate goes into the right scan (unmatched left rows are kept). The right
+    side may have hot keys, which a left outer join cannot split; so the matches are an
+    inner join, whose skewed partitions AQE splits on either side, and the left rows
+    without a match an anti join with the right side's distinct keys, which are
+    aggregated before they are shuffled.
     """
-    return left.join(right.where(right_pred), keys, "left")
+    names = [keys] if isinstance(keys, str) else list(keys)
+    right = right.where(right_pred)
+    matched = left.join(right, names, "inner")
+    alone = left.join(right.select(*names).distinct(), names, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def join_left(left: DataFrame, *rights: tuple[DataFrame, list[str] | str]) -> DataFrame:
@@ -43,11 +50,6 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_semi")
 
 
-def drop_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Drop rows whose id is in ``ids`` (anti join)."""
-    return df.join(ids.select(key), key, "left_anti")
-
-
 def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
                   bucket: Column | None = None) -> DataFrame:
     """The previous row's columns within each key (``lag``; no self join).

@@ -27,6 +27,7 @@ Physical design (both variants share it, see ``rule_features``):
 from __future__ import annotations
 
 import datetime as _dt
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,21 +170,26 @@ def _location_mismatch(strict_blank: bool) -> Column:
 
 # ---------------------------------------------------------------- Q2 first match
 
+def _message(template: str, **values: Column | str) -> Column:
+    """A message format with its {names} filled in from columns (or fixed text); null if a value is null."""
+    pieces = []
+    for text, name, _, _ in Formatter().parse(template):
+        pieces += [F.lit(text)] if text else []
+        if name:
+            pieces.append(F.lit(values[name]) if isinstance(values[name], str) else values[name])
+    return F.concat(*pieces)
+
+
 def _first_match_description(tag: Column, cfg: RuleConfig) -> Column:
     acct = F.col("account_id").cast("string")
     return (
-        F.when(tag == "HIGH_AMOUNT", F.concat(F.lit("Transaction amount ₹"), format_money("amount"),
-                                              F.lit(" exceeds threshold ₹"), format_money(F.lit(cfg.high_amount))))
-        .when(tag == "INVALID_ACCOUNT", F.concat(F.lit("Account reference "), F.coalesce(acct, F.lit("nan")),
-                                                 F.lit(" does not exist in core banking master ledger")))
-        .when(tag == "NEGATIVE_BALANCE", F.concat(F.lit("Balance after transaction is negative: ₹"),
-                                                  format_money("balance_after")))
+        F.when(tag == "HIGH_AMOUNT", _message(C.MSG_HIGH_AMOUNT, amount=format_money("amount"),
+                                              threshold=format_money(F.lit(cfg.high_amount))))
+        .when(tag == "INVALID_ACCOUNT", _message(C.MSG_INVALID_ACCOUNT, account_id=F.coalesce(acct, F.lit("nan"))))
+        .when(tag == "NEGATIVE_BALANCE", _message(C.MSG_NEGATIVE_BALANCE, balance_after=format_money("balance_after")))
         .when(tag == "DUPLICATE", F.lit(C.MSG_DUPLICATE))
-        .when(tag == "RAPID_TRANSACTIONS", F.concat(F.lit("Rapid velocity burst on account "), acct,
-                                                    F.lit(f" within {cfg.rapid_seconds}s")))
-        .when(tag == "LOCATION_MISMATCH", F.concat(F.lit("Transaction state '"), F.col("state"),
-                                                   F.lit("' mismatches customer home state '"),
-                                                   F.col("home_state"), F.lit("'")))
+        .when(tag == "RAPID_TRANSACTIONS", _message(C.MSG_RAPID, account_id=acct, seconds=str(cfg.rapid_seconds)))
+        .when(tag == "LOCATION_MISMATCH", _message(C.MSG_LOCATION, state=F.col("state"), home_state=F.col("home_state")))
     )
 
 
@@ -222,19 +228,15 @@ def independent_anomalies(raw: DataFrame, accounts: DataFrame, customers: DataFr
     amount_s = F.col("amount").cast("string")
     hits = F.array_compact(F.array(
         hit(F.col("amount") > F.lit(cfg.high_amount), "HIGH_AMOUNT",
-            F.concat(F.lit("Transaction amount "), amount_s,
-                     F.lit(" exceeds maximum single transaction threshold of 500,000"))),
+            _message(C.IND_MSG_HIGH_AMOUNT, amount=amount_s, threshold=f"{cfg.high_amount:,.0f}")),
         hit(F.col("_known").isNull(), "INVALID_ACCOUNT",
-            F.concat(F.lit("Account ID "), F.col("account_id").cast("string"),
-                     F.lit(" does not exist in core banking accounts ledger"))),
-        hit(F.col("_prev_ts").isNotNull() & F.col("_within"), "RAPID_TRANSACTIONS", F.lit(C.IND_MSG_RAPID)),
+            _message(C.IND_MSG_INVALID_ACCOUNT, account_id=F.col("account_id").cast("string"))),
+        hit(F.col("_prev_ts").isNotNull() & F.col("_within"), "RAPID_TRANSACTIONS", F.lit(C.IND_MSG_RAPID.format(seconds=cfg.rapid_seconds))),
         hit(F.col("balance_after") < 0, "NEGATIVE_BALANCE",
-            F.concat(F.lit("Balance after transaction is negative ("), F.col("balance_after").cast("string"),
-                     F.lit(") or mathematically impossible"))),
+            _message(C.IND_MSG_NEGATIVE_BALANCE, balance_after=F.col("balance_after").cast("string"))),
         hit(F.col("_dup_rank") > 1, "DUPLICATE", F.lit(C.IND_MSG_DUPLICATE)),
         hit(_location_mismatch(strict_blank=False) & F.col("_known"), "LOCATION_MISMATCH",
-            F.concat(F.lit("Transaction location state ("), F.col("state"),
-                     F.lit(") mismatches customer registered home state ("), F.col("home_state"), F.lit(")"))),
+            _message(C.IND_MSG_LOCATION, state=F.col("state"), home_state=F.col("home_state"))),
     ))
     return (f.select("transaction_id", "account_id", F.explode(hits).alias("_h"))
             .select("transaction_id", "account_id", "_h.anomaly_type", "_h.severity", "_h.description"))
@@ -243,7 +245,8 @@ def independent_anomalies(raw: DataFrame, accounts: DataFrame, customers: DataFr
 # ---------------------------------------------------------------- Q3 / Q4 / Q5
 
 def anomalies(tagged: DataFrame, run_ts: _dt.datetime | None = None) -> DataFrame:
-    """Q3: quarantined rows. ``anomaly_id`` is a deterministic hash, not a global counter."""
+    """Q3: quarantined rows. ``anomaly_id`` is a deterministic hash, not a global counter: two
+    tagged rows with one transaction id and type share it, so anomalies are counted by row."""
     detected = F.lit(run_ts or _dt.datetime(2000, 1, 1)).cast("timestamp_ntz")
     return tagged.where(F.col("anomaly_type").isNotNull()).select(
         F.xxhash64("transaction_id", "anomaly_type").alias("anomaly_id"),

@@ -1,56 +1,59 @@
 """Row-count rolling windows over a *global* order without a single partition (A2).
 
 ``SUM(...) OVER (ORDER BY d ROWS BETWEEN k PRECEDING AND CURRENT ROW)`` with no
-PARTITION BY makes Spark move every row into one partition. The calendar
-bucket form keeps the work distributed and gives the same numbers:
+PARTITION BY makes Spark move every row into one partition. Here the rows are
+range-partitioned by the whole order key once and written with their partition's
+number, so that equal dates are no limit and every later step keeps the order:
 
-1. bucket each row by a calendar unit of its order key (day by default);
-2. the last ``k`` rows of every bucket (``row_number`` desc <= k) form a
-   small *tail* set: at most ``k`` rows per bucket, so its size is bounded by
-   ``k * number_of_buckets`` - independent of the row count;
+1. rows are dealt into ``parts`` ranges of the order key, of about equal size;
+2. the last ``k`` rows of every range form a small *tail* set: at most ``k * parts``
+   rows, whatever the row count;
 3. over the tails only, number them globally; the ``k`` rows preceding a
-   bucket are the ``k`` tail rows just before the bucket's own tail. Each
-   tail row is offered to the (at most ``k``) buckets whose tail starts within
+   range are the ``k`` tail rows just before the range's own tail. Each
+   tail row is offered to the (at most ``k``) ranges whose tail starts within
    ``k`` positions after it - an equi join on the position, no range join;
-4. those copies join their bucket as ghosts, the window runs
-   ``partitionBy(bucket)``, ghosts are dropped.
-
-A bucket holding most rows is still one task: choose a finer ``unit``
-('hour', 'minute') for data whose rows concentrate in one day.
+4. those copies join their range as ghosts, the window runs
+   ``partitionBy(range)``, ghosts are dropped.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def rolling_rows(df: DataFrame, order_cols: list[str], values: dict[str, Column], k: int,
-                 unit: str = "day", time_col: str | None = None) -> DataFrame:
+                 parts: int | None = None) -> DataFrame:
     """For each row: the sum of each value expression over this row and the ``k`` rows
     before it in ``order_cols`` order, plus ``_rows`` (the number of rows in the frame).
 
-    ``order_cols[0]`` (or ``time_col``) must be a timestamp/date; the bucket is
-    ``date_trunc(unit, it)`` which preserves the global order.
+    ``parts`` ranges (default: the session's shuffle partitions) are windowed independently.
     """
-    tcol = time_col or order_cols[0]
-    base = df.select("*", F.date_trunc(unit, F.col(tcol)).alias("_bucket"),
-                     *[v.alias(f"_v_{n}") for n, v in values.items()])
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "quillstone", f"rolling-{uuid.uuid4().hex}")
+    (df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()]).repartitionByRange(parts, *order_cols)
+     .withColumn("_bucket", F.spark_partition_id()).write.parquet(path))
+    base = spark.read.parquet(path)
     order = [F.col(c) for c in order_cols]
 
-    # (2) tails: last k rows of every bucket
+    # (2) tails: last k rows of every range
     desc = Window.partitionBy("_bucket").orderBy(*[F.col(c).desc() for c in order_cols])
     vcols = [f"_v_{n}" for n in values]
     tails = base.select("_bucket", *order_cols, *vcols).withColumn("_rd", F.row_number().over(desc)) \
         .where(F.col("_rd") <= k).drop("_rd")
-    # (3) global position over the tails only (bounded by k * buckets rows)
+    # (3) global position over the tails only (at most k * parts rows)
     tails = tails.withColumn("_tp", F.row_number().over(Window.orderBy(*order)))
     starts = tails.groupBy("_bucket").agg(F.min("_tp").alias("_start"))
     offers = tails.select(F.explode(F.sequence(F.col("_tp") + 1, F.col("_tp") + k)).alias("_start"),
                           *order_cols, *vcols)
     ghosts = offers.join(starts, "_start").drop("_start").withColumn("_ghost", F.lit(True))
 
-    # (4) bucket-local window
+    # (4) window within a range
     real = base.withColumn("_ghost", F.lit(False))
     both = real.unionByName(ghosts, allowMissingColumns=True)
     w = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(-k, 0)

@@ -23,9 +23,10 @@ def normalise_columns(df: DataFrame, mapping: dict[str, str] | None = None) -> D
     return df.withColumnsRenamed(present)
 
 
-def clean_wide(wide: DataFrame, exact: bool = True) -> DataFrame:
-    """Numeric columns: median + IQR clip; text columns: mode. Timestamps untouched."""
-    return clean_columns(wide, numeric_columns(wide), text_columns(wide), exact=exact)
+def clean_wide(wide: DataFrame) -> DataFrame:
+    """Numeric columns: median + IQR clip; text columns: mode. Timestamps stay as they are:
+    they arrive typed here, while a reader of untyped text would give null dates the mode."""
+    return clean_columns(wide, numeric_columns(wide), text_columns(wide))
 
 
 def build_dim_customers(wide: DataFrame) -> DataFrame:
@@ -51,19 +52,3 @@ def build_fact(wide: DataFrame) -> DataFrame:
         "transaction_duration": F.col("transaction_duration").cast("int"),
         "login_attempts": F.col("login_attempts").cast("int"),
     })
-
-
-class Star:
-    """fact + dims from one (cleaned) wide frame."""
-
-    def __init__(self, wide: DataFrame, clean: bool = True, exact: bool = True):
-        self.wide = clean_wide(wide, exact=exact) if clean else wide
-
-    def fact(self) -> DataFrame:
-        return build_fact(self.wide)
-
-    def dim_customers(self) -> DataFrame:
-        return build_dim_customers(self.wide)
-
-    def dim_merchants(self) -> DataFrame:
-        return build_dim_merchants(self.wide)

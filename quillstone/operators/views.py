@@ -213,8 +213,8 @@ def anomaly_summary(anomalies_df: DataFrame) -> DataFrame:
 
 def customer_risk_summary(customers: DataFrame, segments: DataFrame, accounts: DataFrame, tx: DataFrame,
                           anomalies_df: DataFrame) -> DataFrame:
-    """Every customer. Anomalies reach a customer through its accounts only."""
-    anom_per_acc = anomalies_df.groupBy("account_id").agg(F.count_distinct("anomaly_id").alias("n_anom"))
+    """Every customer. Anomalies reach a customer through its accounts only; each row is one."""
+    anom_per_acc = anomalies_df.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_anom"))
     acc = (accounts.select("account_id", "customer_id")
            .join(account_stats(tx).select("account_id", "n_all", "n_failed"), "account_id", "left")
            .join(anom_per_acc, "account_id", "left"))

@@ -31,7 +31,7 @@ from ..session import scratch_path
 from ..sources.fixtures import CLEANING_NUMERIC, CLEANING_TEXT, driver_table
 from ..sources.tables import read_csv, read_table, table_exists, to_raw_schema
 from .context import Ledger, session_ledger
-from .reports import executive_brief, report_manifest
+from .reports import executive_brief, report_manifest, risk_tiering
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -315,7 +315,11 @@ def _q7(spark, sf):
 
 @query("dq_latest_run")
 def _q8(spark, sf):
-    return Q.latest_run(L(spark, sf).runs)
+    """Over three published runs, the last two begun at the same time."""
+    first = L(spark, sf).runs
+    later = [first.withColumns({"run_id": F.lit(i).cast("long"), "run_started_at": F.col("run_started_at") + F.expr("INTERVAL 1 DAY")})
+             for i in (2, 3)]
+    return Q.latest_run(first.unionByName(later[0]).unionByName(later[1]))
 
 
 @query("dq_recent_anomalies")
@@ -349,12 +353,14 @@ def _c3(spark, sf):
 
 @query("check_domain")
 def _c4(spark, sf):
-    return CK.domain_profile(L(spark, sf).segments, "segment", C.SEGMENTS)
+    """Customer types outside the four that hold accounts of their own (STUDENT is planted)."""
+    return CK.domain_profile(L(spark, sf).customers, "customer_type", ["BUSINESS", "HIGH_NET_WORTH", "RETAIL", "SALARIED"])
 
 
 @query("check_range")
 def _c5(spark, sf):
-    return CK.check_range(L(spark, sf).tx, {
+    """On the raw rows, where violations are planted."""
+    return CK.check_range(L(spark, sf).raw, {
         "amount_positive": F.col("amount") > 0,
         "balance_not_negative": F.col("balance_after") >= 0,
         "amount_within_threshold": F.col("amount") <= C.HIGH_AMOUNT_THRESHOLD,
@@ -363,8 +369,11 @@ def _c5(spark, sf):
 
 @query("check_unassigned")
 def _c6(spark, sf):
+    """Some customers are left out of the segments, some have a null segment (planted)."""
     led = L(spark, sf)
-    return CK.check_unassigned(led.customers.select("customer_id"), led.segments)
+    key = F.col("customer_id")
+    segments = led.segments.where(key % 17 != 3).withColumn("segment", F.when(key % 13 != 5, F.col("segment")))
+    return CK.check_unassigned(led.customers.select("customer_id"), segments)
 
 
 # ============================================================ cleaning, star (K)
@@ -540,7 +549,7 @@ def _qa7(spark, sf):
 @query("total_volume")
 def _qa8(spark, sf):
     led = L(spark, sf)
-    return A.total_volume(A.monthly_volume(led.fact), T.trend_flagged(T.spend_trend(_a1(led))))
+    return A.total_volume(A.monthly_volume(led.fact), T.trend_flagged(T.spend_trend_prior(_a1(led))))
 
 
 @query("top_locations")
@@ -642,6 +651,16 @@ def _d3(spark, sf):
     return D.distinct_values(L(spark, sf).tx, "state")
 
 
+@query("distinct_channels")
+def _d3b(spark, sf):
+    return D.distinct_values(L(spark, sf).tx, "channel")
+
+
+@query("distinct_transaction_types")
+def _d3c(spark, sf):
+    return D.distinct_values(L(spark, sf).tx, "transaction_type")
+
+
 @query("top_merchant_categories")
 def _d4(spark, sf):
     led = L(spark, sf)
@@ -665,6 +684,11 @@ for _name in ["report_monthly", "report_segments", "report_anomalies", "report_d
     query(_name)(_report(_name))
 
 
+@query("report_risk_tiering")
+def _r2b(spark, sf):
+    return risk_tiering(L(spark, sf))
+
+
 @query("executive_brief")
 def _r2(spark, sf):
     return executive_brief(spark, L(spark, sf))
@@ -678,11 +702,11 @@ def _stream_dirs(spark, name):
 
 
 def _landed(spark, sf, name):
-    """The stream input, landed once per session and data directory as 4 time-ordered
-    files (read-only, shared by the streaming queries); fresh output and checkpoint dirs."""
+    """The stream input, landed once per session and data directory in 4 time-ordered
+    slices (read-only, shared by the streaming queries); fresh output and checkpoint dirs."""
     from ..streaming.rules import read_transaction_stream
     _, out, ck = _stream_dirs(spark, name)
-    return read_transaction_stream(spark, L(spark, sf).stream_landing, files_per_batch=1), out, ck
+    return read_transaction_stream(spark, L(spark, sf).stream_landing), out, ck
 
 
 @query("stream_row_rules")

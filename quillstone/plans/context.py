@@ -36,31 +36,28 @@ class Ledger:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: RuleConfig = DEFAULT_RULES,
-                 run_ts: _dt.datetime = RUN_TS, materialize: bool = False):
+                 run_ts: _dt.datetime = RUN_TS, materialize: bool = False, spread: int | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.cfg = cfg
         self.run_ts = run_ts
         self.materialize = materialize
+        self.spread = spread
         self.fx = Fixtures(spark, sf_dir)
         self._run_dir = f"ledger-{uuid.uuid4().hex}"
 
     def _stored(self, name: str, df: DataFrame, spread: bool = False) -> DataFrame:
         """Write ``df`` below the checkpoint dir and read it back.
 
-        ``spread`` (for tables derived by plain scans): when the inputs are
-        fewer files than the session's parallelism (one driver file is one row
-        group, hence one task), the rows are spread before writing so later
-        passes run in parallel. Large inputs are many files and are written as
-        they are (no extra shuffle). The check lists files only.
+        ``spread`` marks tables derived by plain scans: with the ledger's own ``spread``
+        their rows are dealt into that many files before they are written, for inputs
+        of a few large row groups; without it they are written as they are read.
         """
         if not self.materialize:
             return df
         path = scratch_path(self.spark, "quillstone", self._run_dir, name)
-        if spread:
-            par = self.spark.sparkContext.defaultParallelism
-            if len(df.inputFiles()) < par:
-                df = df.repartition(par)
+        if spread and self.spread:
+            df = df.repartition(self.spread)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
@@ -134,10 +131,10 @@ class Ledger:
     # streaming input
     @cached_property
     def stream_landing(self) -> str:
-        """A landing folder with the stream input as 4 files in event-time order."""
+        """A landing folder with the stream input in event-time order, and the end-of-input row."""
         from ..streaming.rules import land_files
-        return land_files(self.fx.stream_input(), scratch_path(self.spark, "quillstone", self._run_dir, "landing"),
-                          n_files=4)
+        stored = self._stored("stream_input", self.fx.stream_input(), spread=True)
+        return land_files(stored, scratch_path(self.spark, "quillstone", self._run_dir, "landing"))
 
 
 _SESSION_LEDGERS: dict[tuple[str, str], Ledger] = {}
@@ -148,6 +145,7 @@ def session_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     led = _SESSION_LEDGERS.get(key)
     if led is None:
-        led = Ledger(spark, sf_dir, materialize=True)
+        local = spark.sparkContext.master.startswith("local")  # one driver file is one row group, hence one task
+        led = Ledger(spark, sf_dir, materialize=True, spread=spark.sparkContext.defaultParallelism if local else None)
         _SESSION_LEDGERS[key] = led
     return led

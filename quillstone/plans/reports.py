@@ -25,6 +25,27 @@ def risk_tiering(led: Ledger, n: int = 200) -> DataFrame:
     return v12.orderBy(order, "customer_id").limit(n)
 
 
+def register_views(spark: SparkSession, led: Ledger) -> list[str]:
+    """The twelve views as names that SQL can select from in this session."""
+    views = {
+        "v_daily_transaction_summary": V.daily_summary(led.tx),
+        "v_monthly_transaction_summary": V.monthly_summary(led.tx),
+        "v_branch_performance": V.branch_performance(led.branches, led.accounts, led.tx),
+        "v_customer_segment_performance": V.segment_performance(led.segments, led.customers, led.accounts, led.tx),
+        "v_merchant_category_performance": V.merchant_category_performance(led.merchants, led.tx),
+        "v_channel_performance": V.channel_performance(led.tx),
+        "v_debit_credit_summary": V.debit_credit_summary(led.accounts, led.customers, led.tx),
+        "v_active_accounts_summary": V.active_accounts_summary(led.accounts),
+        "v_top_customers": V.top_customers(led.customers, led.segments, led.accounts, led.tx),
+        "v_failed_transactions_summary": V.failed_transactions_summary(led.tx),
+        "v_anomaly_summary": V.anomaly_summary(led.anomalies),
+        "v_customer_risk_summary": V.customer_risk_summary(led.customers, led.segments, led.accounts, led.tx, led.anomalies),
+    }
+    for name, view in views.items():
+        view.createOrReplaceTempView(name)
+    return list(views)
+
+
 def report_sheets(led: Ledger) -> dict[str, dict[str, DataFrame]]:
     return {
         "report_monthly": {
@@ -70,7 +91,8 @@ def write_reports(spark: SparkSession, led: Ledger, out_dir: str, fmt: str = "pa
 
 
 def executive_brief(spark: SparkSession, led: Ledger, rows: int = 7) -> DataFrame:
-    """Latest month: total spend, average amount, latest rolling rate, flagged segments."""
+    """Latest month: total spend, average amount, latest rolling rate, spend of each segment, flagged segments
+    (against the months before)."""
     monthly = A.monthly_spend_by_segment(led.fact, led.dim_customers)
     latest = monthly.agg(F.max("month")).scalar()
     total = monthly.where(F.col("month") == latest).agg(money_exact(F.sum("total_spent_exact"))).scalar()
@@ -78,11 +100,15 @@ def executive_brief(spark: SparkSession, led: Ledger, rows: int = 7) -> DataFram
            .agg(exact_sum("transaction_amount").alias("_s"), F.count("transaction_amount").alias("_n"))
            .select(avg_exact("_s", "_n")).scalar())
     rate = A.latest_rows_rate(led.fact, rows).scalar()
-    flagged = (T.spend_trend(monthly).where(F.col("flag") & (F.col("month") == latest))
+    spend = (monthly.where(F.col("month") == latest)
+             .select(F.concat("segment", F.lit("="), F.format_number(F.round("total_spent_exact", 2), 2)).alias("s"))
+             .agg(F.concat_ws("; ", F.sort_array(F.collect_list("s")))).scalar())
+    flagged = (T.spend_trend_prior(monthly).where(F.col("flag") & (F.col("month") == latest))
                .agg(F.concat_ws(",", F.sort_array(F.collect_list("segment")))).scalar())
     return spark.range(1).select(
         F.date_format(latest, "yyyy-MM").alias("latest_month"),
         F.coalesce(total, F.lit(0.0)).alias("total_spend"),
         F.coalesce(avg, F.lit(0.0)).alias("avg_transaction"),
         F.round(F.coalesce(rate, F.lit(0.0)), 2).alias("fraud_rate_percent"),
+        F.coalesce(spend, F.lit("")).alias("segment_spend"),
         F.coalesce(flagged, F.lit("")).alias("flagged_segments"))

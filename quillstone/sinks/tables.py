@@ -32,11 +32,16 @@ def write_table(df: DataFrame, root: str, layer: str, name: str, mode: str = "ap
 
 
 def write_ledger(tx: DataFrame, root: str, layer: str = "core", name: str = "transactions",
-                 mode: str = "overwrite") -> str:
+                 mode: str = "overwrite", files_per_month: int = 64) -> str:
     """The clean ledger, partitioned by month and sorted by account within files,
-    so month filters prune directories and the ordered rules read sorted runs."""
+    so month filters prune directories and the ordered rules read sorted runs.
+
+    A month is dealt into ``files_per_month`` parts by account and day, so neither a
+    month nor a busy account is one task; choose it by the size of a month.
+    """
+    slot = F.pmod(F.xxhash64("account_id", F.to_date("transaction_timestamp")), F.lit(files_per_month))
     out = tx.withColumn("month", F.date_format("transaction_timestamp", "yyyy-MM"))
-    out = out.repartition("month").sortWithinPartitions("account_id", "transaction_timestamp")
+    out = out.repartition(F.col("month"), slot).sortWithinPartitions("month", "account_id", "transaction_timestamp")
     return write_table(out, root, layer, name, mode, partition_by=["month"])
 
 
@@ -50,13 +55,18 @@ def _jvm_fs(spark: SparkSession, path: str):
 def _write_small_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a tiny file through the Hadoop file system (works for any cluster FS)."""
     fs, p = _jvm_fs(spark, path)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    tmp = hadoop.Path(path + ".tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    # one rename over the old file: a reader finds the old text or the new one, never none
+    rename = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
 
 
 def _read_small_text(spark: SparkSession, path: str) -> str | None:
@@ -83,17 +93,26 @@ class RunResult:
 
 
 def publish_run(spark: SparkSession, result: RunResult, root: str, run_id: int) -> str:
-    """SNK3 / SNK4: write the run's tables, then flip the ``_CURRENT`` pointer."""
+    """SNK3 / SNK4: write the run's tables, flip the ``_CURRENT`` pointer, then log the run.
+
+    The log has one folder for each run and is written after the flip: only published
+    runs are logged, and a retry of a run replaces its record.
+    """
     base = f"{root.rstrip('/')}/runs/run_id={run_id}"
     write_ledger(result.ledger, base, "core", "transactions", mode="overwrite")
     result.anomalies.write.mode("overwrite").parquet(f"{base}/dq/anomalies")
     result.run_record.write.mode("overwrite").parquet(f"{base}/dq/validation_run")
-    # the audit log is append-only across runs
-    result.run_record.write.mode("append").parquet(f"{root.rstrip('/')}/dq/validation_runs")
     _write_small_text(spark, f"{root.rstrip('/')}/_CURRENT", json.dumps({"run_id": run_id, "path": base}))
+    result.run_record.drop("run_id").write.mode("overwrite").parquet(f"{root.rstrip('/')}/dq/validation_runs/run_id={run_id}")
     return base
 
 
+def run_log(spark: SparkSession, root: str) -> DataFrame:
+    """SNK4: the records of all published runs."""
+    log = spark.read.parquet(f"{root.rstrip('/')}/dq/validation_runs")
+    return log.select(F.col("run_id").cast("long").alias("run_id"), *[c for c in log.columns if c != "run_id"])
+
+
 def current_run_path(spark: SparkSession, root: str) -> str | None:
     text = _read_small_text(spark, f"{root.rstrip('/')}/_CURRENT")
     return json.loads(text)["path"] if text else None

@@ -176,10 +176,10 @@ def star_wide(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> Data
     return w.select(
         k.cast("string").alias("TransactionID"),
         F.col("o_custkey").cast("string").alias("AccountID"),
-        F.col("o_totalprice").cast("double").alias("TransactionAmount"),
+        F.when(k % 53 != 9, F.col("o_totalprice").cast("double") * F.when(k % 59 == 11, 40).otherwise(1)).alias("TransactionAmount"),
         ts.alias("TransactionDate"),
         F.when(k % 4 == 0, "Credit").otherwise("Debit").alias("TransactionType"),
-        F.col("n_name").alias("Location"),
+        F.when(k % 47 != 6, F.col("n_name")).alias("Location"),
         F.concat(F.lit("DEV"), (k % 997).cast("string")).alias("DeviceID"),
         F.concat_ws(".", F.lit("10"), (k % 256).cast("string"), (F.col("o_custkey") % 256).cast("string"),
                     F.lit("1")).alias("IP Address"),
@@ -188,7 +188,7 @@ def star_wide(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> Data
         (F.lit(18) + F.col("o_custkey") % 61).cast("int").alias("CustomerAge"),
         F.col("c_mktsegment").alias("CustomerOccupation"),
         (F.lit(10) + k % 290).cast("int").alias("TransactionDuration"),
-        F.when(k % 50 == 0, 2).otherwise(1).cast("int").alias("LoginAttempts"),
+        (F.lit(1) + k % 3).cast("int").alias("LoginAttempts"),
         F.col("c_acctbal").cast("double").alias("AccountBalance"),
         F.timestamp_add("DAY", -(k % 30 + 1), F.col("o_orderdate")).alias("PreviousTransactionDate"),
     )
@@ -201,12 +201,14 @@ CLEANING_TEXT = ["l_returnflag", "l_linestatus"]
 
 
 def cleaning_input(lineitem: DataFrame) -> DataFrame:
-    """``lineitem`` with nulls planted on fixed row conditions."""
+    """``lineitem`` with nulls and outliers planted on fixed row conditions."""
     k = F.col("l_orderkey")
     ln = F.col("l_linenumber")
+    far = {"l_quantity": k % 41 == 0, "l_extendedprice": k % 37 == 6}
 
     def planted(c: str, cond: Column) -> Column:
-        return F.when(cond, F.lit(None)).otherwise(F.col(c)).alias(c)
+        value = F.when(far[c], F.col(c) * 30).otherwise(F.col(c)) if c in far else F.col(c)
+        return F.when(cond, F.lit(None)).otherwise(value).alias(c)
 
     return lineitem.select(
         "l_orderkey", "l_linenumber",

@@ -18,10 +18,12 @@ event time is ``transaction_timestamp`` read as a session-zone TIMESTAMP
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,45 +33,66 @@ from ..operators.quality import home_states
 from ..schemas import TRANSACTIONS
 
 EVENT_TIME = "event_time"
+#: The end-of-input row of a landing: its status, and how long after the last row it is.
+END_OF_INPUT = "END_OF_INPUT"
+END_AFTER_DAYS = 3650
+_PHYSICAL = list(C.PHYSICAL_CHANNELS)
 
 
-def read_transaction_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
-    """File stream of raw transactions with the declared schema."""
+def read_transaction_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """File stream of raw transactions with the declared schema. ``files_per_batch``: as many as ``land_files`` made for a slice."""
     r = spark.readStream.schema(TRANSACTIONS)
+    files_per_batch = files_per_batch or slice_parts(spark)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
     return r.parquet(path).withColumn(EVENT_TIME, F.col("transaction_timestamp").cast("timestamp"))
 
 
-def land_files(df: DataFrame, path: str, n_files: int = 6) -> str:
-    """Write a batch frame into a landing folder as ``n_files`` files in event-time
-    order (one sequential write per time slice, so file order = time order).
+def slice_parts(spark: SparkSession) -> int:
+    """Files, and so tasks, of one time slice of a landing."""
+    return max(1, spark.sparkContext.defaultParallelism)
 
-    Slice bounds are approximate quantiles of the timestamp (one small
-    aggregate); a file stream with ``maxFilesPerTrigger=1`` then replays the
-    data in order, one micro-batch per file.
+
+def land_files(df: DataFrame, path: str, n_slices: int = 4, parts: int | None = None) -> str:
+    """Write a batch frame into a landing folder as ``n_slices`` time slices of ``parts`` files each.
+
+    Slice bounds are approximate quantiles of the timestamp (one small aggregate); a file
+    stream that takes ``parts`` files a trigger replays the slices in order, each in
+    parallel. The last file holds the end-of-input row, long after all others: when the
+    stream has read it, the watermark has passed every row and window, so nothing stays
+    undecided. The streams below give no result for that row itself.
     """
+    spark = df.sparkSession
+    parts = parts or slice_parts(spark)
     us = F.unix_micros(F.col("transaction_timestamp").cast("timestamp"))
-    probs = [i / n_files for i in range(1, n_files)]
-    cuts = df.agg(F.percentile_approx(us, probs, 10000)).first()[0] or []
-    bounds = [None, *sorted(set(cuts)), None]
+    probs = [i / n_slices for i in range(1, n_slices)]
+    row = df.agg(F.percentile_approx(us, probs, 10000).alias("cuts"), F.max("transaction_timestamp").alias("last")).first()
+    bounds = [None, *sorted(set(row["cuts"] or [])), None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (us >= F.lit(lo))
         if hi is not None:
             cond = cond & (us < F.lit(hi))
-        (df.where(cond).coalesce(1).sortWithinPartitions("transaction_timestamp", "transaction_id")
-         .write.mode("append").parquet(path))
+        df.where(cond).repartition(parts).write.mode("append").parquet(path)
+    if row["last"] is not None:
+        end = {c: F.lit(None).cast(t) for c, t in df.dtypes}
+        end |= {"transaction_timestamp": F.timestamp_add("DAY", F.lit(END_AFTER_DAYS), F.lit(row["last"]).cast("timestamp_ntz")),
+                "status": F.lit(END_OF_INPUT)}
+        spark.range(1, numPartitions=1).select(*[c.alias(n) for n, c in end.items()]).write.mode("append").parquet(path)
     return path
 
 
+def is_end(status: str = "status") -> Column:
+    return F.col(status).eqNullSafe(F.lit(END_OF_INPUT))
+
+
 # ---------------------------------------------------------------- S1
 
 def row_rule_stream(stream: DataFrame, accounts: DataFrame, customers: DataFrame,
                     cfg: RuleConfig = DEFAULT_RULES) -> DataFrame:
     """One output row per (transaction, row rule) hit."""
-    j = stream.join(home_states(accounts, customers), "account_id", "left")
+    j = stream.where(~is_end()).join(home_states(accounts, customers), "account_id", "left")
     st, home = F.col("state"), F.col("home_state")
 
     def hit(cond, name):
@@ -118,14 +141,14 @@ def _decide(buf: pd.DataFrame, gap: pd.Timedelta) -> pd.Series:
     here, per account, with vectorised shifts.
     """
     size = buf.groupby(["account_id", "ts", "amount", "tx_type"], dropna=False)["transaction_id"].transform("size")
-    t4 = buf.row_tag.where(buf.row_tag.notna(), pd.Series(["DUPLICATE" if n > 1 else None for n in size],
-                                                          index=buf.index, dtype=object))
+    copies = pd.Series("DUPLICATE", index=buf.index, dtype=object).where(size > 1, None)
+    t4 = buf.row_tag.astype(object).where(buf.row_tag.notna(), copies)
     same_prev = buf.account_id.eq(buf.account_id.shift(1))
     same_next = buf.account_id.eq(buf.account_id.shift(-1))
     d = buf.ts - buf.ts.shift(1)
     hit = t4.isna() & same_prev & (d > pd.Timedelta(0)) & (d <= gap)
     rapid = hit | (hit.shift(-1, fill_value=False).astype(bool) & same_next)
-    loc = (buf.channel.isin(C.PHYSICAL_CHANNELS) & buf.state.notna() & buf.home.notna()
+    loc = (buf.channel.isin(_PHYSICAL) & buf.state.notna() & buf.home.notna()
            & (buf.state != "") & (buf.home != "") & (buf.state != buf.home))
     tag = t4.copy()
     tag[tag.isna() & rapid] = "RAPID_TRANSACTIONS"
@@ -176,17 +199,19 @@ def _tag_slot(cfg: RuleConfig):
 
 def first_match_stream(stream: DataFrame, accounts: DataFrame, customers: DataFrame,
                        cfg: RuleConfig = DEFAULT_RULES, watermark: str = "1 minute",
-                       slots: int = 64) -> DataFrame:
+                       slots: int | None = None) -> DataFrame:
     """First-match tags (rules 1-6) as a stateful stream.
 
     Row-level rules run as expressions before the state; duplicate, rapid and
     location decisions are made once the watermark passes ``ts + rapid_seconds``.
-    State is keyed by a hash slot of the account (``slots`` groups), and each
-    call decides all of its accounts with vectorised pandas, so the Python call
-    count does not grow with the number of accounts. Rows later than the
+    State is keyed by a hash slot of the account (``slots`` groups, by default eight for
+    each shuffle partition, so that they grow with the cluster; a checkpoint keeps the count
+    it began with), and each call decides all of its accounts with vectorised pandas, so
+    the Python call count does not grow with the number of accounts. Rows later than the
     watermark are dropped by Spark (route them to a late sink with a separate
     query if they must be kept).
     """
+    slots = slots or 8 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     j = stream.join(home_states(accounts, customers), "account_id", "left")
     row_tag = (F.when(F.col("amount") > F.lit(cfg.high_amount), "HIGH_AMOUNT")
                .when(F.col("_known").isNull(), "INVALID_ACCOUNT")
@@ -206,3 +231,6 @@ def run_available_now(df: DataFrame, out_path: str, checkpoint: str, mode: str =
     q.awaitTermination()
     return out_path
 
+
+# the state function goes to the workers by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,6 +13,8 @@ that cover all columns at once, and applied as literals: no join is needed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +76,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
         out[c] = [None] * len(probs)
         for j, p in enumerate(probs if n else []):
             lo, hi = (found[(c, r)] for r in _ranks(p, n))
-            out[c][j] = lo + (hi - lo) * (p * (n - 1) - int(p * (n - 1)))
+            out[c][j] = _between(lo, hi, p * (n - 1) - int(p * (n - 1)))
     return out
 
 
+def _between(lo: float, hi: float, share: float) -> float:
+    if not share or lo == hi:
+        return lo
+    return lo + (hi - lo) * share if math.isfinite(hi - lo) else lo * (1 - share) + hi * share
+
+
 def _ranks(p: float, n: int) -> tuple[int, int]:
     low = int(p * (n - 1))
     return low, min(low + 1, n - 1)

@@ -92,8 +92,9 @@ def _ranks(p: float, n: int) -> tuple[int, int]:
 
 
 def _part(x: Column, lo: float, hi: float, bins: int) -> Column:
-    """Which of the equal parts of [lo, hi] a value falls into (halved, so that the width is finite)."""
-    share = (x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+    """Which of the equal parts of [lo, hi] a value falls into (halved where the width would not be finite)."""
+    half = 1.0 if math.isfinite(hi - lo) else 0.5
+    share = (x * half - F.lit(lo * half)) / F.lit(hi * half - lo * half)
     return F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))
 
 

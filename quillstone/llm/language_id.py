@@ -57,7 +57,7 @@ class Grams:
     def __init__(self, gram: int = GRAM):
         self.gram = gram
         self.letter = np.zeros(0x110000, bool)
-        known = np.array([chr(i).isalpha() for i in range(0x30000)])
+        known = np.array([chr(i).isalpha() for i in range(0x33480)])
         self.letter[:len(known)] = known
 
     def codes(self, text: str) -> np.ndarray:

@@ -45,10 +45,10 @@ def read_table(spark: SparkSession, root: str, layer: str, name: str, columns: l
     return df.select(*columns) if columns else df
 
 
-def table_exists(spark: SparkSession, root: str, layer: str, name: str) -> bool:
-    """SRC6: is the table there (catalog table or Parquet directory)?"""
-    if spark.catalog.tableExists(name):
-        return True
+def table_exists(spark: SparkSession, root: str | None, layer: str, name: str) -> bool:
+    """SRC6: is the table there: a Parquet directory below ``root``, or (``root`` None) a catalog table ``layer.name``?"""
+    if root is None:
+        return spark.catalog.tableExists(f"{layer}.{name}" if layer else name)
     try:
         spark.read.parquet(table_path(root, layer, name)).schema
         return True

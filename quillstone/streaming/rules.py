@@ -208,8 +208,7 @@ def first_match_stream(stream: DataFrame, accounts: DataFrame, customers: DataFr
     each shuffle partition, so that they grow with the cluster; a checkpoint keeps the count
     it began with), and each call decides all of its accounts with vectorised pandas, so
     the Python call count does not grow with the number of accounts. Rows later than the
-    watermark are dropped by Spark (route them to a late sink with a separate
-    query if they must be kept).
+    watermark are dropped by Spark; ``write_late_rows`` keeps them.
     """
     slots = slots or 8 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     j = stream.join(home_states(accounts, customers), "account_id", "left")
@@ -222,6 +221,33 @@ def first_match_stream(stream: DataFrame, accounts: DataFrame, customers: DataFr
         _tag_slot(cfg), S2_OUT, S2_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+# ---------------------------------------------------------------- late rows
+
+def write_late_rows(stream: DataFrame, path: str, checkpoint: str, watermark: str = "1 minute") -> str:
+    """Everything available, to a late sink: rows that a watermark of that delay drops in S2 and S3.
+
+    A batch's late rows are those more than the delay behind the newest event of the batches
+    before it. Both the rows and the batch's newest event are written by batch id, so a
+    repeated batch replaces its own files.
+    """
+    spark = stream.sparkSession
+    marks, late = f"{path}/marks", f"{path}/late"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(~is_end())
+        seen = None
+        if batch_id:
+            known = spark.read.schema("newest timestamp, batch_id long").parquet(marks)
+            seen = known.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        rows.agg(F.max(EVENT_TIME).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+        behind = F.lit(False) if seen is None else F.col(EVENT_TIME) < F.lit(seen) - F.expr(f"INTERVAL {watermark}")
+        rows.where(behind).write.mode("overwrite").parquet(f"{late}/batch_id={batch_id}")
+
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return late
+
+
 # ---------------------------------------------------------------- runner
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append") -> str:

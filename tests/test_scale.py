@@ -161,6 +161,17 @@ def test_streams_are_complete(spark):
     assert QUERIES["stream_channel_volume"](spark, SF_SMALL).agg(F.sum("transactions")).first()[0] == n
 
 
+def test_late_rows_are_kept(spark):
+    from quillstone.streaming.rules import read_transaction_stream, write_late_rows
+    base = scratch_path(spark, "test-late")
+    raw = Ledger(spark, SF_SMALL).raw.limit(1)
+    for i, seconds in enumerate((0, 600, 100, 590, 700)):  # the third is 500 s behind the second
+        raw.withColumns({"transaction_id": F.lit(i).cast("long"), "transaction_timestamp": F.timestamp_add(
+            "SECOND", F.lit(seconds), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))}).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    late = write_late_rows(read_transaction_stream(spark, f"{base}/in", files_per_batch=1), f"{base}/out", f"{base}/ck", "1 minute")
+    assert [r.transaction_id for r in spark.read.parquet(late).collect()] == [2]
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Context:
         master = "spark://somewhere:7077"

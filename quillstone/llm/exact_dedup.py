@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import attach_groups, free_name, random_salt, read, stored
+from quillstone.llm.common import attach_groups, random_salt, read, stored
 from quillstone.session import scratch_path
 
 SALTS = 64
@@ -83,13 +83,13 @@ def classify(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that stay, with all their columns: one row for each text that the index did not have."""
     index = index or new_index(docs.sparkSession)
-    name = free_name(docs, "_digest")
-    named = docs.withColumn(name, digest(docs["text"]))
-    groups = named.groupBy(F.col(name).alias("digest")).agg(F.max("doc_id").alias("keep_id"))
+    groups = docs.select(digest(docs["text"]).alias("digest"), "doc_id").groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
     fresh = stored(groups.join(index.table(), "digest", "left_anti"), "fresh")
     index.add(fresh)
-    kept = named.join(fresh, (named[name] == fresh["digest"]) & named["doc_id"].eqNullSafe(fresh["keep_id"]), "left_semi")
-    return kept.dropDuplicates([name, "doc_id"]).drop(name)
+    # one row of each text leaves a task, so that copies are not shuffled; ids are compared in a struct, where null is least
+    row = F.max_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(docs["doc_id"]))
+    chosen = docs.groupBy(digest(docs["text"]).alias("digest")).agg(row.alias("row"))
+    return chosen.join(fresh.select("digest"), "digest", "left_semi").select("row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillstone.session import scratch_path
 
-#: Rows of one Arrow batch that goes to a Python worker; texts can be long.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch that goes to a Python worker; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 256, "16m"
 
 
 def by_value(module: str) -> None:
@@ -27,6 +27,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of a Python worker: few rows, and few bytes, in a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -69,9 +70,12 @@ def attach_groups(rows: DataFrame, key: str, salt: str, partial: dict[str, Colum
 
 
 def keep_rows(docs: DataFrame, keepers: DataFrame, on: str, ids: str) -> DataFrame:
-    """The rows of `docs` whose `on` (null-safe) is among `ids` of `keepers`, all columns as they are."""
+    """The rows of `docs` whose `on` (null-safe) is among `ids` of `keepers`, all columns as they are.
+
+    Always a sort-merge join: the ids grow with the corpus, and the plan is the same at every size.
+    """
     name = free_name(docs, "_keep_id")
-    wanted = keepers.select(F.col(ids).alias(name))
+    wanted = keepers.select(F.col(ids).alias(name)).hint("merge")
     return docs.join(wanted, docs[on].eqNullSafe(wanted[name]), "left_semi")
 
 

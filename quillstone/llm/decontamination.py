@@ -26,7 +26,6 @@ have any names.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,31 +47,91 @@ BLOCK = 4096
 WINDOW, STEP, PASSAGE = 24, 12, 48
 MIN_COSINE = 0.3
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
-#: Words of a document that are searched at once, and words a worker remembers.
-SPAN, REMEMBERED = 1 << 15, 800_000
+#: Bytes of texts that are split into words at once.
+GROUP = 1 << 19
 
-#: What is no part of a word at its edges: ASCII and common typographic marks.
-EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00b7\u00bb\u00bf\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2022\u2026"
+#: Punctuation beyond ASCII that separates words; ASCII separates by IS_WORD.
+MARKS = re.compile("[\u00a1\u00ab\u00b7\u00bb\u00bf\u2010-\u2027\u2030-\u205e]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Bytes of words: lower-case letters, digits, and all of UTF-8's beyond ASCII.
+IS_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+BASE = 0x9E3779B97F4A7C15
+
+
+def lowered(text: str | None) -> bytes:
+    lower = (text or "").lower()
+    return (lower if lower.isascii() else MARKS.sub(" ", lower)).encode("utf-8", "surrogatepass")
+
+
+class Splitter:
+    """Words of texts as places in a buffer and 64-bit hashes, many at once.
+
+    A word's hash is a polynomial in its bytes: a difference of prefix sums, brought
+    to the word's beginning by the inverse power.
+    """
+
+    def __init__(self) -> None:
+        self.power = np.cumprod(np.r_[1, np.full(2 * GROUP, BASE, np.uint64)].astype(np.uint64))
+        self.inverse = np.cumprod(np.r_[1, np.full(2 * GROUP, pow(BASE, -1, 1 << 64), np.uint64)].astype(np.uint64))
+
+    def split(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last place and hash of the words of at most 2 GROUP bytes."""
+        data = np.frombuffer(buffer, np.uint8)
+        word = np.zeros(len(data) + 2, bool)
+        word[1:-1] = IS_WORD[data]
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * self.power[:len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverse[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return starts, ends, h ^ (h >> np.uint64(32))
+
+    def groups(self, texts: list[str | None]) -> Iterator[Words]:
+        """The words of all texts, in groups of whole texts."""
+        held: list[bytes] = []
+        size = at = 0
+        for i, text in enumerate(texts):
+            data = lowered(text)
+            if held and size + len(data) > GROUP:
+                yield self.words(held, at)
+                held, size, at = [], 0, i
+            held.append(data)
+            size += len(data) + 1
+        if held:
+            yield self.words(held, at)
+
+    def words(self, held: list[bytes], at: int) -> Words:
+        buffer = b"\n".join(held)
+        found, begin = [], 0
+        while begin < len(buffer) or not found:
+            end = begin + GROUP  # a long text is cut between words, a word of GROUP bytes anywhere
+            while end < min(len(buffer), begin + 2 * GROUP) and IS_WORD[buffer[end]]:
+                end += 1
+            starts, ends, hashes = self.split(buffer[begin:end])
+            found.append((starts + begin, ends + begin, hashes))
+            begin = end
+        starts, ends, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        texts = np.cumsum([0, *(len(h) + 1 for h in held)])
+        return Words(at, buffer, starts, ends, hashes, np.searchsorted(starts, texts))
+
+
+class Words:
+    """The words of some texts: text i (from `at`) has the words first[i] to first[i + 1]."""
+
+    def __init__(self, at: int, buffer: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray):
+        self.at, self.buffer, self.starts, self.ends, self.hashes, self.first = at, buffer, starts, ends, hashes, first
+        self.terms = (hashes >> np.uint64(48)).astype(np.int32)
+        self.owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+    def read(self, a: int, b: int) -> list[str]:
+        return [self.buffer[x:y].decode("utf-8", "replace") for x, y in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True)]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words without punctuation at their edges."""
-    return [w for w in (w.strip(EDGES) for w in (text or "").lower().split()) if w]
-
-
-class Terms(dict):
-    """Raw lower-case word to its term; -1 where only punctuation is left."""
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        word = raw.strip(EDGES)
-        self[raw] = term = zlib.crc32(word.encode("utf-8", "surrogatepass")) % TERMS if word else -1
-        return term
-
-    def of(self, raw: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, raw), np.int32, len(raw))
+    """Lower-case runs of letters and digits."""
+    return [w.decode("utf-8", "replace") for w in re.findall(rb"[0-9a-z\x80-\xff]+", lowered(text))]
 
 
 def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
@@ -80,12 +139,11 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, n, rows = Terms(), np.zeros(TERMS, np.int64), 0
+        splitter, n, rows = Splitter(), np.zeros(TERMS, np.int64), 0
         for batch in batches:
             rows += len(batch)
-            for text in batch["text"]:
-                got = np.unique(terms.of((text or "").lower().split()))
-                n[got[got >= 0]] += 1
+            for words in splitter.groups(batch["text"].tolist()):
+                n += np.bincount(np.unique(words.owner * TERMS + words.terms) % TERMS, minlength=TERMS)
         term = np.flatnonzero(n)
         yield pd.DataFrame({"term": np.append(term, -1), "n": np.append(n[term], rows)})
 
@@ -107,11 +165,11 @@ def passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
     """item_id, terms, values: unit TF-IDF rows of the benchmark's passages."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        splitter = Splitter()
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
-                terms = Terms().of((text or "").lower().split())
-                terms = terms[terms >= 0]
+                terms = splitter.words([lowered(text)], 0).terms
                 for at in range(0, len(terms), PASSAGE):
                     part = terms[max(0, min(at, len(terms) - PASSAGE)):at + PASSAGE]
                     term, n = np.unique(part, return_counts=True)
@@ -138,18 +196,18 @@ def on_worker(spark: SparkSession, f, *arrays: np.ndarray) -> np.ndarray:
     return np.frombuffer(row["data"], np.float64).reshape(row["shape"])
 
 
-def times(rows: DataFrame, right: np.ndarray) -> np.ndarray:
-    """(A right)' (A right) for the rows A: summed over tasks."""
+def times(rows: DataFrame, known: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(A right)' (A right) for the rows A, whose columns are the `known` terms: summed over tasks."""
     width = right.shape[1]
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
         for batch in batches:
-            y = np.array([np.asarray(v, np.float32) @ right[np.asarray(t)] for t, v in zip(batch["terms"], batch["values"], strict=True)])
+            y = np.array([np.asarray(v, np.float32) @ right[np.searchsorted(known, t)] for t, v in zip(batch["terms"], batch["values"], strict=True)])
             total += y.T.astype(np.float64) @ y
         yield pd.DataFrame({"i": np.arange(width), "x": list(total)})
 
-    got = rows.mapInPandas(gram, "i int, x array<double>").groupBy("i").applyInPandas(add_up("i"), "i int, x array<double>").collect()
+    got = rows.mapInPandas(gram, "i int, x array<double>").groupBy(F.col("i") % 16).applyInPandas(add_up("i"), "i int, x array<double>").collect()
     out = np.zeros((width, width))
     for r in got:
         out[r["i"]] = r["x"]
@@ -157,27 +215,32 @@ def times(rows: DataFrame, right: np.ndarray) -> np.ndarray:
 
 
 def add_up(key: str):
+    """Sums the vectors of each key in a group of keys."""
+
     def total(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: group[key].iloc[:1], "x": [np.sum(np.stack(group["x"].to_numpy()), axis=0)]})
+        group = group.sort_values(key)
+        keys = group[key].to_numpy()
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return pd.DataFrame({key: keys[first], "x": list(np.add.reduceat(np.stack(group["x"].to_numpy()), first, axis=0))})
 
     return total
 
 
-def back(rows: DataFrame, right: np.ndarray) -> np.ndarray:
-    """A' (A right): summed over tasks by term; at most TERMS rows of the width of `right`."""
+def back(rows: DataFrame, known: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A' (A right): summed over tasks by known term; at most TERMS rows of the width of `right`."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for t, v in zip(batch["terms"], batch["values"], strict=True):
-                t, v = np.asarray(t), np.asarray(v, np.float32)
+                t, v = np.searchsorted(known, t), np.asarray(v, np.float32)
                 y = v @ right[t]
                 for term, value in zip(t.tolist(), v, strict=True):
                     total[term] = total.get(term, 0) + value * y
         if total:
             yield pd.DataFrame({"term": list(total), "x": [x.tolist() for x in total.values()]})
 
-    summed = rows.mapInPandas(part, "term int, x array<float>").groupBy("term").applyInPandas(add_up("term"), "term int, x array<float>")
+    summed = rows.mapInPandas(part, "term int, x array<float>").groupBy(F.col("term") % 64).applyInPandas(add_up("term"), "term int, x array<float>")
     out = np.zeros_like(right)
     for r in summed.toLocalIterator():
         out[r["term"]] = r["x"]
@@ -194,13 +257,14 @@ def orthonormal(gram: np.ndarray) -> np.ndarray:
 def latent_space(rows: DataFrame, dimensions: int = DIMENSIONS, power_steps: int = POWER_STEPS) -> np.ndarray:
     """Terms by latent dimensions: the right singular vectors of the rows, by randomised SVD."""
     spark = rows.sparkSession
-    width = dimensions + OVERSAMPLE
-    probe = np.random.default_rng(7).standard_normal((TERMS, width)).astype(np.float32)
+    known = np.array(sorted(r["term"] for r in rows.select(F.explode("terms").alias("term")).distinct().collect()), np.int64)
+    space = np.zeros((TERMS, 0), np.float32)
+    probe = np.random.default_rng(7).standard_normal((len(known), dimensions + OVERSAMPLE)).astype(np.float32)
     for _ in range(power_steps + 1):
-        factor = on_worker(spark, orthonormal, times(rows, probe))
+        factor = on_worker(spark, orthonormal, times(rows, known, probe)) if len(known) else space
         if not factor.size:
-            return np.zeros((TERMS, 0), np.float32)
-        probe = back(rows, np.einsum("ij,jk->ik", probe, factor).astype(np.float32))
+            return space
+        probe = back(rows, known, np.einsum("ij,jk->ik", probe, factor).astype(np.float32))
     spread = probe  # A'Q, Q orthonormal
 
     def right_vectors(b: np.ndarray) -> np.ndarray:
@@ -210,7 +274,9 @@ def latent_space(rows: DataFrame, dimensions: int = DIMENSIONS, power_steps: int
         return vector[:, order] / np.sqrt(value[order])
 
     turn = on_worker(spark, right_vectors, np.einsum("ij,ik->jk", spread, spread, dtype=np.float64))
-    return np.einsum("ij,jk->ik", spread, turn).astype(np.float32)
+    space = np.zeros((TERMS, turn.shape[1]), np.float32)
+    space[known] = np.einsum("ij,jk->ik", spread, turn)
+    return space
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -250,58 +316,59 @@ def search(text: Column, block: list[tuple[int, str]], index: list[tuple[int, li
     latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
     square = (idf * idf).astype(np.float64)
 
-    def windows(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, passage and cosine of the candidate windows."""
-        steps = np.arange(0, len(terms), STEP)
-        place = used[terms]
-        inside = np.flatnonzero(place)
-        parts = np.zeros((len(steps), table.shape[1]), np.float32)
-        if len(inside):
-            at = np.searchsorted(inside, steps)
-            some = np.flatnonzero(np.diff(np.append(at, len(inside))))
-            parts[some] = np.add.reduceat(table[place[inside]], at[some], axis=0)
-        norms = np.add.reduceat(square[terms], steps)
-        if len(steps) > 1:
-            parts, norms = parts[:-1] + parts[1:], norms[:-1] + norms[1:]
-        parts /= np.sqrt(np.maximum(norms, 1e-9))[:, None].astype(np.float32)
-        cosine = parts @ latent.T
+    def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word, passage and cosine of the candidate windows."""
+        blocks = -(-np.diff(words.first) // STEP)
+        owner = np.repeat(np.arange(len(blocks)), blocks)
+        steps = words.first[owner] + STEP * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        place = np.append(used[words.terms], 0)
+        ends = words.first[owner + 1]
+        parts = table[place[steps]]
+        for j in range(1, STEP):
+            parts += table[place[np.where(steps + j < ends, steps + j, -1)]]  # beyond the text: the zero row
+        norms = np.add.reduceat(square[words.terms], steps)
+        # a window is two blocks of one text; a text's last block, with nothing after it, is in the window before
+        pair = owner[1:] == owner[:-1]
+        lone = np.r_[True, ~pair] & np.r_[~pair, True]
+        first = np.flatnonzero(np.r_[pair, False] | lone)
+        second = np.where(lone[first], first, first + 1)
+        both = parts[first] + np.where(lone[first, None], 0, parts[second])
+        norm = np.sqrt(np.maximum(norms[first] + np.where(lone[first], 0, norms[second]), 1e-9)).astype(np.float32)
+        # a cosine is at most the share of the window that lies in the latent space
+        able = np.flatnonzero(np.sqrt((both * both).sum(axis=1)) >= MIN_COSINE * norm)
+        cosine = (both[able] / norm[able, None]) @ latent.T
         row, passage = np.nonzero(cosine >= MIN_COSINE)
-        return row * STEP, passage, cosine[row, passage]
+        return owner[first[able[row]]], steps[first[able[row]]], passage, cosine[row, passage]
 
     @pandas_udf("item_id long, cosine double, lcs double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        terms_of, items = Terms(), {i: (words_of(t), answer_of(t)) for i, t in texts.items()}
-        wanted = {i: terms_of.of(words).tolist() for i, (words, _) in items.items()}
+        splitter = Splitter()
+        items = {i: (words_of(t), answer_of(t), splitter.words([lowered(t)], 0).hashes.tolist()) for i, t in texts.items()}
         for batch in batches:
-            found: list[tuple] = []
-            for text_ in batch:
-                best = None
-                raw = (text_ or "").lower().split()
-                whole = terms_of.of(raw) if raw else np.zeros(0, np.int32)
-                if (whole < 0).any():
-                    kept = np.flatnonzero(whole >= 0)
-                    raw, whole = [raw[i] for i in kept], whole[kept]
-                for at in range(0, len(whole), SPAN):
-                    start, passage, cosine = windows(whole[max(0, at - WINDOW):at + SPAN])
-                    start += max(0, at - WINDOW)
-                    done: set[tuple[int, int]] = set()
-                    for k in np.argsort(-cosine, kind="stable").tolist():
-                        item_id = int(owners[passage[k]])
-                        item, answer = items[item_id]
-                        first, last = max(0, int(start[k]) - len(item)), int(start[k]) + WINDOW + len(item)
-                        spot = (item_id, int(start[k]) // max(len(item), WINDOW))
-                        if spot in done:
-                            continue
-                        have = set(whole[first:last].tolist())  # too few words in any order: no leak
-                        if sum(map(have.__contains__, wanted[item_id])) < PARAPHRASE * len(item):
-                            continue
-                        share, leak = confirmed(item, answer, [w.strip(EDGES) for w in raw[first:last]])
-                        if leak:
-                            done.add(spot)
-                            if best is None or (-share, item_id) < (-best[2], best[0]):
-                                best = (item_id, float(cosine[k]), share)
-                found.append(best or (None, None, None))
-            out = pd.DataFrame(found, columns=["item_id", "cosine", "lcs"])
+            best: list[tuple] = [(None, None, None)] * len(batch)
+            for words in splitter.groups(batch.tolist()):
+                if not len(words.starts):
+                    continue
+                done: set[tuple[int, int, int]] = set()
+                text, start, passage, cosine = windows(words)
+                for k in np.argsort(-cosine, kind="stable").tolist():
+                    t, s, item_id = int(text[k]), int(start[k]), int(owners[passage[k]])
+                    item, answer, hashes = items[item_id]
+                    spot = (t, item_id, s // max(len(item), WINDOW))
+                    if spot in done:
+                        continue
+                    a = max(int(words.first[t]), s - len(item))
+                    b = min(int(words.first[t + 1]), s + WINDOW + len(item))
+                    have = set(words.hashes[a:b].tolist())  # too few words in any order: no leak
+                    if sum(map(have.__contains__, hashes)) < PARAPHRASE * len(item):
+                        continue
+                    share, leak = confirmed(item, answer, words.read(a, b))
+                    if leak:
+                        done.add(spot)
+                        old = best[words.at + t]
+                        if old[0] is None or (-share, item_id) < (-old[2], old[0]):
+                            best[words.at + t] = (item_id, float(cosine[k]), share)
+            out = pd.DataFrame(best, columns=["item_id", "cosine", "lcs"])
             yield out.astype({"item_id": "Int64", "cosine": "float64", "lcs": "float64"})
 
     return of(text)

@@ -40,7 +40,7 @@ SCREEN = 4.0
 RIDGE = 0.5
 GRADES = (0, 1, 2)
 GOOD = 2
-KEEP = 0.4
+KEEP = 0.3
 REMEMBERED = 300_000
 
 WORD = re.compile(r"\w+")

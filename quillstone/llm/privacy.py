@@ -3,9 +3,9 @@
 Patterns find e-mail addresses, IP addresses, card numbers and telephone numbers with
 their places. Each distinct value is an entity. An entity that stands in at least
 SUPPORT different texts is protected: its information content is IC(c) = log N / n(c)
-over the N different texts. A term t reveals it to the extent of their pointwise mutual
-information, log N n(c,t) / (n(c) n(t)), estimated from the texts in which both stand
-(copies of a text count once). Terms that share SUPPORT texts with an entity and whose
+over the N documents. A term t reveals it to the extent of their pointwise mutual
+information, log N n(c,t) / (n(c) n(t)), estimated from the documents in which both stand.
+Terms that share SUPPORT different texts with an entity (copies are no evidence) and whose
 information reaches DISCLOSURE of IC(c) are disclosing, wherever they stand. At the default
 of 1 these are the terms that no text without the entity has, so that texts without personal
 data are left alone; a lower share also takes terms that mostly go with an entity. Such a term
@@ -48,7 +48,7 @@ SUPPORT = 3
 DISCLOSURE = 1.0
 #: Letters of a generalised term.
 STEM = 3
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Matches whose spans are collected at once.
 CHUNK = 256
 
@@ -173,24 +173,29 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float
     entities = with_base_spans(docs.select(text.alias("text")), "text").withColumn("entities", F.array_distinct(F.flatten(F.array(*tagged))))
     entities = entities.where(F.size("entities") > 0).select(F.sha2("text", 256).alias("copy"), "entities", words_of(outside(F.col("text"))).alias("words"))
     entities = entities.select("copy", F.explode("entities").alias("entity"), with_stems(F.col("words")).alias("terms"))
-    # copies of a text count once: one row for each entity and text, its terms beside it
-    seen = stored(entities.groupBy("entity", "copy").agg(F.first("terms").alias("terms")), "entities")
-    protected = stored(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support), "protected")
-    together = seen.join(protected, "entity").select("entity", "n_c", F.explode("terms").alias("term"))
-    together = stored(together.groupBy("entity", "n_c", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support), "together")
+    # one row for each entity and text, with the text's terms and how many rows have it
+    seen = stored(entities.groupBy("entity", "copy").agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n")), "entities")
+    protected = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_c")).where(F.col("texts") >= support)
+    guarded = stored(seen.join(stored(protected.drop("texts"), "protected"), "entity"), "guarded")
+    pairs = guarded.select("entity", "n_c", "n", F.explode("terms").alias("term")).groupBy("entity", "n_c", "term")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_ct")).where(F.col("texts") >= support)
+    # a term's rows among those with any protected entity bound its rows from below: words that go with many entities are out
+    texts = guarded.groupBy("copy").agg(F.first("terms").alias("terms"), F.first("n").alias("n"))
+    within = texts.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n_w"))
+    n_rows = float(docs.count())
+    content = F.log(F.lit(n_rows) / F.col("n_c"))
+    most = F.log(F.lit(n_rows) * F.col("n_ct") / (F.col("n_c") * F.col("n_w")))
+    together = pairs.join(within, "term").where((content > 0) & (most >= disclosure * content - 1e-9))
+    together = stored(together.select("entity", "n_c", "term", "n_ct"), "together")
 
     table = bucket_table(together)
     if table is None:
         return docs.sparkSession.createDataFrame([], "term string, action string")
     may = lambda w: likely(table, w) | likely(table, stem(w))
-    copies = docs.select(F.sha2(text, 256).alias("copy"), F.filter(words_of(outside(text)), may).alias("words"))
-    copies = stored(copies.groupBy("copy").agg(F.first("words").alias("words")).select(with_stems(F.col("words")).alias("terms")), "copies")
-    n_texts = copies.count()
-    wanted = together.select("term").distinct()
-    frequency = copies.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
-    information = F.log(F.lit(float(n_texts)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    content = F.log(F.lit(float(n_texts)) / F.col("n_c"))
-    found = together.join(frequency, "term").where((content > 0) & (information >= disclosure * content - 1e-9)).select("term").distinct()
+    words = docs.select(F.explode(with_stems(F.filter(words_of(outside(text)), may))).alias("term")).where(likely(table, F.col("term")))
+    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    information = F.log(F.lit(n_rows) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    found = together.join(frequency, "term").where((information >= disclosure * content - 1e-9)).select("term").distinct()
     found = stored(found, "disclosing")
     stems = found.where(F.endswith("term", F.lit("*"))).select(F.col("term").alias("_stem"))
     words = found.where(~F.endswith("term", F.lit("*")))

@@ -111,12 +111,12 @@ def test_disclosing_terms(spark):
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitised(docs).collect()}
     assert "[EMAIL]" in clean[0] and "projectx07" not in clean[0] and "mail.com" not in clean[0]
     assert all(clean[i] == texts[i] for i in range(8, 68)) and clean[71] == ""
-    n = len({t or "" for t in texts})
-    with_it = [set(re.findall(r"\w+", (t or "").replace("jo@mail.com", " ").lower())) for t in {t or "" for t in texts}]
-    holds = [("jo@mail.com" in t) for t in {t or "" for t in texts}]
-    for w in set().union(*with_it):
-        both, alone = sum(w in s and h for s, h in zip(with_it, holds, strict=True)), sum(w in s for s in with_it)
-        full = both >= 3 and np.log(n * both / (sum(holds) * alone)) >= np.log(n / sum(holds)) - 1e-9
+    words = [set(re.findall(r"\w+", (t or "").replace("jo@mail.com", " ").lower())) for t in texts]
+    holds = ["jo@mail.com" in (t or "") for t in texts]
+    for w in set().union(*words):
+        both, alone = sum(w in s and h for s, h in zip(words, holds, strict=True)), sum(w in s for s in words)
+        different = len({t for t, s, h in zip(texts, words, holds, strict=True) if h and w in s})
+        full = different >= 3 and np.log(len(texts) * both / (sum(holds) * alone)) >= np.log(len(texts) / sum(holds)) - 1e-9
         assert (w in terms) == full, w
 
 

@@ -176,7 +176,7 @@ def star_wide(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> Data
     return w.select(
         k.cast("string").alias("TransactionID"),
         F.col("o_custkey").cast("string").alias("AccountID"),
-        F.when(k % 53 != 9, F.col("o_totalprice").cast("double") * F.when(k % 59 == 11, 40).otherwise(1)).alias("TransactionAmount"),
+        F.when(k % 53 != 9, F.col("o_totalprice").cast("double")).alias("TransactionAmount"),
         ts.alias("TransactionDate"),
         F.when(k % 4 == 0, "Credit").otherwise("Debit").alias("TransactionType"),
         F.when(k % 47 != 6, F.col("n_name")).alias("Location"),

@@ -2,8 +2,9 @@
 
 1. Document frequencies of hashed words are counted over all documents.
 2. The benchmark's passages become TF-IDF rows. A randomised SVD, whose products with
-   the matrix are Spark jobs over its rows, gives the latent space.
-3. Every window of every whole document is folded into the latent space; windows whose
+   the matrix are Spark jobs over its rows, gives a latent space for every SPACE passages,
+   of as many dimensions as passages: each keeps its whole norm, whatever the benchmark.
+3. Every window of every whole document is folded into the latent spaces; windows whose
    cosine with a benchmark passage reaches `MIN_COSINE` are candidates (the window's
    length in the cosine is that of its full TF-IDF vector, so that words which no
    passage has count against it).
@@ -38,11 +39,10 @@ from quillstone.llm.common import by_value, free_name, read, small_batches, stor
 
 #: Hashed words: the size of the term space, and so of all that is summed over it.
 TERMS = 1 << 16
-DIMENSIONS = 128
 OVERSAMPLE = 10
 POWER_STEPS = 1
-#: Benchmark passages that one search holds.
-BLOCK = 4096
+#: Benchmark passages of one latent space, and of all those that one search holds (about: dealt by hash).
+SPACE, BLOCK = 256, 1024
 #: Words of a window and of the step between windows; benchmark passages are cut to PASSAGE words.
 WINDOW, STEP, PASSAGE = 24, 12, 48
 MIN_COSINE = 0.3
@@ -254,7 +254,7 @@ def orthonormal(gram: np.ndarray) -> np.ndarray:
     return vector[:, live] / np.sqrt(value[live])
 
 
-def latent_space(rows: DataFrame, dimensions: int = DIMENSIONS, power_steps: int = POWER_STEPS) -> np.ndarray:
+def latent_space(rows: DataFrame, dimensions: int = SPACE, power_steps: int = POWER_STEPS) -> np.ndarray:
     """Terms by latent dimensions: the right singular vectors of the rows, by randomised SVD."""
     spark = rows.sparkSession
     known = np.array(sorted(r["term"] for r in rows.select(F.explode("terms").alias("term")).distinct().collect()), np.int64)
@@ -304,16 +304,23 @@ def confirmed(item: list[str], answer: list[str], near: list[str]) -> tuple[floa
     return share, leak
 
 
-def search(text: Column, block: list[tuple[int, str]], index: list[tuple[int, list[int], list[float]]], idf: np.ndarray, space: np.ndarray) -> Column:
+class Folding:
+    """What folds windows into the latent space of some passages and compares them: `index` has the passages' terms and values."""
+
+    def __init__(self, index: list[tuple[int, list[int], list[float]]], idf: np.ndarray, space: np.ndarray):
+        live = np.flatnonzero(np.abs(space).sum(axis=1) > 0)
+        self.used = np.zeros(TERMS, np.int32)
+        self.used[live] = np.arange(1, len(live) + 1)
+        self.table = np.vstack([np.zeros((1, space.shape[1]), np.float32), space[live] * idf[live, None]]).astype(np.float32)
+        self.owners = [i for i, _, _ in index]
+        latent = np.array([np.einsum("i,ij->j", np.asarray(v, np.float32), space[np.asarray(t)]) for _, t, v in index], np.float32).reshape(len(index), -1)
+        self.latent = latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def search(text: Column, block: list[tuple[int, str]], foldings: list[Folding], idf: np.ndarray) -> Column:
     """struct<item_id, cosine, lcs> of the best confirmed leak in a text; null fields if it is clean."""
     texts = dict(block)
-    used = np.zeros(TERMS, np.int32)
-    live = np.flatnonzero(np.abs(space).sum(axis=1) > 0)
-    used[live] = np.arange(1, len(live) + 1)
-    table = np.vstack([np.zeros((1, space.shape[1]), np.float32), space[live] * idf[live, None]]).astype(np.float32)
-    owners = np.array([i for i, _, _ in index])
-    latent = np.array([np.einsum("i,ij->j", np.asarray(v, np.float32), space[np.asarray(t)]) for _, t, v in index], np.float32).reshape(len(index), -1)
-    latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
+    owners = np.array([i for f in foldings for i in f.owners])
     square = (idf * idf).astype(np.float64)
 
     def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -321,24 +328,28 @@ def search(text: Column, block: list[tuple[int, str]], index: list[tuple[int, li
         blocks = -(-np.diff(words.first) // STEP)
         owner = np.repeat(np.arange(len(blocks)), blocks)
         steps = words.first[owner] + STEP * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        place = np.append(used[words.terms], 0)
         ends = words.first[owner + 1]
-        parts = table[place[steps]]
-        for j in range(1, STEP):
-            parts += table[place[np.where(steps + j < ends, steps + j, -1)]]  # beyond the text: the zero row
         norms = np.add.reduceat(square[words.terms], steps)
         # a window is two blocks of one text; a text's last block, with nothing after it, is in the window before
         pair = owner[1:] == owner[:-1]
         lone = np.r_[True, ~pair] & np.r_[~pair, True]
         first = np.flatnonzero(np.r_[pair, False] | lone)
         second = np.where(lone[first], first, first + 1)
-        both = parts[first] + np.where(lone[first, None], 0, parts[second])
         norm = np.sqrt(np.maximum(norms[first] + np.where(lone[first], 0, norms[second]), 1e-9)).astype(np.float32)
-        # a cosine is at most the share of the window that lies in the latent space
-        able = np.flatnonzero(np.sqrt((both * both).sum(axis=1)) >= MIN_COSINE * norm)
-        cosine = (both[able] / norm[able, None]) @ latent.T
-        row, passage = np.nonzero(cosine >= MIN_COSINE)
-        return owner[first[able[row]]], steps[first[able[row]]], passage, cosine[row, passage]
+        found, at = [], 0
+        for f in foldings:
+            place = np.append(f.used[words.terms], 0)
+            parts = f.table[place[steps]]
+            for j in range(1, STEP):
+                parts += f.table[place[np.where(steps + j < ends, steps + j, -1)]]  # beyond the text: the zero row
+            both = parts[first] + np.where(lone[first, None], 0, parts[second])
+            # a cosine is at most the share of the window that lies in the latent space
+            able = np.flatnonzero(np.sqrt((both * both).sum(axis=1)) >= MIN_COSINE * norm)
+            cosine = (both[able] / norm[able, None]) @ f.latent.T
+            row, passage = np.nonzero(cosine >= MIN_COSINE)
+            found.append((owner[first[able[row]]], steps[first[able[row]]], at + passage, cosine[row, passage]))
+            at += len(f.owners)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     @pandas_udf("item_id long, cosine double, lcs double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -379,16 +390,22 @@ def verdicts(docs: DataFrame, items: DataFrame) -> list[Column]:
     n_docs, frequency = document_frequency(docs)
     idf = weights(n_docs, frequency)
     rows = stored(passages(items, idf), "passages")
-    space = latent_space(rows)
     texts = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n_blocks = max(1, -(-rows.count() // BLOCK))
     out = []
     for b in range(n_blocks):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b
         block = [(r["item_id"], r["text"]) for r in texts.where(mine).orderBy("item_id", "text").collect()]
-        index = [(r["item_id"], r["terms"], r["values"]) for r in rows.where(mine).orderBy("item_id", "terms").collect()]
-        if index:
-            out.append(search(docs["text"], block, index, idf, space))
+        inside = rows.where(mine)
+        n_spaces = -(-inside.count() // SPACE)
+        foldings = []
+        for k in range(n_spaces):
+            part = inside.where(F.pmod(F.xxhash64("terms", "values"), F.lit(n_spaces)) == k)
+            index = [(r["item_id"], r["terms"], r["values"]) for r in part.orderBy("item_id", "terms").collect()]
+            if index:
+                foldings.append(Folding(index, idf, latent_space(part, len(index))))
+        if foldings:
+            out.append(search(docs["text"], block, foldings, idf))
     return out
 
 

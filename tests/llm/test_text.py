@@ -217,6 +217,17 @@ def test_leaks_and_paraphrases(spark):
     assert {d: r["item_id"] for d, r in got.items() if r["leaked"]} == leaks
 
 
+def test_every_copy_of_a_large_benchmark(spark):
+    """Each of 1,000 items is found where it is planted word for word, also when it is rare in latent directions."""
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}{c}" for a in "brtkmlsdpg" for b in ("an", "or", "il", "et", "us", "em") for c in ("do", "my", "ka", "sen", "th", "ri", "ba", "po", "ne", "lu")]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, say(rng.randrange(16, 60))) for i in range(1000)]
+    docs = spark.createDataFrame([(i, f"{say(30)} {t} {say(30)}") for i, t in items] + [(2000 + i, say(100)) for i in range(200)], "doc_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontamination.matches(docs, spark.createDataFrame(items, "item_id long, text string")).where("leaked").collect()}
+    assert got == {i: i for i in range(1000)}
+
+
 def test_leaks_match_brute_force(spark):
     """Every document against every item by plain dynamic programming over windows of words."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()

@@ -17,10 +17,11 @@ Documents are read where they are: only counts, and for each document its verdic
 leave a task. The benchmark is the stated query set; it is searched in blocks of
 `BLOCK` passages, so that what is broadcast is bounded whatever its size.
 
-Defined results: null, empty and wordless texts are clean; null or wordless benchmark
-items match nothing; with no items every document is clean, and an empty table gives an
-empty result. Of several matching items the one with the largest LCS share counts, of
-equal ones the smallest item_id. Repeated rows get equal verdicts. Other columns may
+Defined results: null, empty and wordless texts are clean; benchmark items with a null or
+wordless text match nothing; with no items every document is clean, and an empty table
+gives an empty result. Every different text of the benchmark is searched, also those that
+share an item_id or have none. Of several matching items the one with the largest LCS
+share counts, of equal ones the smallest item_id, a null one last. Repeated rows get equal verdicts. Other columns may
 have any names.
 """
 
@@ -317,9 +318,11 @@ class Folding:
         self.latent = latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def search(text: Column, block: list[tuple[int, str]], foldings: list[Folding], idf: np.ndarray) -> Column:
-    """struct<item_id, cosine, lcs> of the best confirmed leak in a text; null fields if it is clean."""
-    texts = dict(block)
+def search(text: Column, block: list[tuple[int, int | None, str]], foldings: list[Folding], idf: np.ndarray) -> Column:
+    """struct<item_id, cosine, lcs> of the best confirmed leak in a text; null fields if it is clean.
+
+    `block` has the key, item_id and text of the items; the foldings name items by their keys.
+    """
     owners = np.array([i for f in foldings for i in f.owners])
     square = (idf * idf).astype(np.float64)
 
@@ -351,10 +354,14 @@ def search(text: Column, block: list[tuple[int, str]], foldings: list[Folding],
             at += len(f.owners)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def order(item_id: int | None, cosine: float, share: float) -> tuple:
+        return -share, item_id is None, item_id or 0, -cosine
+
     @pandas_udf("item_id long, cosine double, lcs double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         splitter = Splitter()
-        items = {i: (words_of(t), answer_of(t), splitter.words([lowered(t)], 0).hashes.tolist()) for i, t in texts.items()}
+        items = {key: (words_of(t), answer_of(t), splitter.words([lowered(t)], 0).hashes.tolist()) for key, _, t in block}
+        ids = {key: i for key, i, _ in block}
         for batch in batches:
             best: list[tuple] = [(None, None, None)] * len(batch)
             for words in splitter.groups(batch.tolist()):
@@ -363,9 +370,9 @@ def search(text: Column, block: list[tuple[int, str]], foldings: list[Folding],
                 done: set[tuple[int, int, int]] = set()
                 text, start, passage, cosine = windows(words)
                 for k in np.argsort(-cosine, kind="stable").tolist():
-                    t, s, item_id = int(text[k]), int(start[k]), int(owners[passage[k]])
-                    item, answer, hashes = items[item_id]
-                    spot = (t, item_id, s // max(len(item), WINDOW))
+                    t, s, key = int(text[k]), int(start[k]), int(owners[passage[k]])
+                    item, answer, hashes = items[key]
+                    spot = (t, key, s // max(len(item), WINDOW))
                     if spot in done:
                         continue
                     a = max(int(words.first[t]), s - len(item))
@@ -377,8 +384,9 @@ def search(text: Column, block: list[tuple[int, str]], foldings: list[Folding],
                     if leak:
                         done.add(spot)
                         old = best[words.at + t]
-                        if old[0] is None or (-share, item_id) < (-old[2], old[0]):
-                            best[words.at + t] = (item_id, float(cosine[k]), share)
+                        new = (ids[key], float(cosine[k]), share)
+                        if old[2] is None or order(*new) < order(*old):
+                            best[words.at + t] = new
             out = pd.DataFrame(best, columns=["item_id", "cosine", "lcs"])
             yield out.astype({"item_id": "Int64", "cosine": "float64", "lcs": "float64"})
 
@@ -389,14 +397,15 @@ def verdicts(docs: DataFrame, items: DataFrame) -> list[Column]:
     """One search column for each block of the benchmark, over `docs`."""
     n_docs, frequency = document_frequency(docs)
     idf = weights(n_docs, frequency)
-    rows = stored(passages(items, idf), "passages")
-    texts = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    # an item_id may be repeated or null: a row's key is its own
+    texts = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    texts = stored(texts.select(F.monotonically_increasing_id().alias("key"), "item_id", "text"), "items")
+    rows = stored(passages(texts.select(F.col("key").alias("item_id"), "text"), idf), "passages")
     n_blocks = max(1, -(-rows.count() // BLOCK))
     out = []
     for b in range(n_blocks):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b
-        block = [(r["item_id"], r["text"]) for r in texts.where(mine).orderBy("item_id", "text").collect()]
-        inside = rows.where(mine)
+        block = [tuple(r) for r in texts.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == b).orderBy("key").collect()]
+        inside = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b)
         n_spaces = -(-inside.count() // SPACE)
         foldings = []
         for k in range(n_spaces):
@@ -413,7 +422,7 @@ def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, all columns as they are."""
     name = free_name(docs, "_leak")
     for column in verdicts(docs, items):
-        docs = docs.withColumn(name, column["item_id"]).where(F.col(name).isNull()).drop(name)
+        docs = docs.withColumn(name, column["lcs"]).where(F.col(name).isNull()).drop(name)
     return docs
 
 
@@ -424,7 +433,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not blocks:
         null = F.lit(None)
         return found.select("doc_id", F.lit(False).alias("leaked"), null.cast("long").alias("item_id"), null.cast("double").alias("cosine"), null.cast("double").alias("lcs"))
-    ranked = [F.when(F.col(f"{m}.item_id").isNotNull(), F.struct((-F.col(f"{m}.lcs")).alias("l"), F.col(f"{m}.item_id").alias("i"), F.col(f"{m}.cosine").alias("c"))) for m in blocks]
+    ranked = [F.when(F.col(f"{m}.lcs").isNotNull(), F.struct((-F.col(f"{m}.lcs")).alias("l"), F.col(f"{m}.item_id").isNull().alias("n"), F.col(f"{m}.item_id").alias("i"), F.col(f"{m}.cosine").alias("c"))) for m in blocks]
     best = F.least(*ranked) if len(ranked) > 1 else ranked[0]
     return found.select("doc_id", best.alias("b")).select("doc_id", F.col("b").isNotNull().alias("leaked"), F.col("b.i").alias("item_id"), F.col("b.c").alias("cosine"), (-F.col("b.l")).alias("lcs"))
 

@@ -247,6 +247,15 @@ def test_decontamination_edges(edge_docs, make, spark):
     assert decontamination.clean_only(make([]), items).count() == 0 and decontamination.matches(make([]), items).count() == 0
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    """All their texts are searched."""
+    shared = [(1, prose(21, 30)), (1, prose(22, 30)), (None, prose(23, 30)), (1, prose(22, 30))]
+    docs = spark.createDataFrame([(i, f"{prose(40 + i, 40)} {t}") for i, (_, t) in enumerate(shared[:3])] + [(3, prose(50, 60))], "doc_id long, text string")
+    benchmark = spark.createDataFrame(shared, "item_id long, text string")
+    assert [(r["leaked"], r["item_id"]) for r in decontamination.matches(docs, benchmark).orderBy("doc_id").collect()] == [(True, 1), (True, 1), (True, None), (False, None)]
+    assert [r["doc_id"] for r in decontamination.clean_only(docs, benchmark).collect()] == [3]
+
+
 # packing
 
 def check_packing(rows, capacity=1024):

@@ -8,10 +8,12 @@
    cosine with a benchmark passage reaches `MIN_COSINE` are candidates (the window's
    length in the cosine is that of its full TF-IDF vector, so that words which no
    passage has count against it).
-4. A candidate is confirmed by the longest common subsequence of words between the item
-   and the text around the window: it is a leak if it has `VERBATIM` of the item's
-   words in order, or, as a paraphrase, `PARAPHRASE` of them and `ANSWER` of the item's
-   answer (its last sentence) too.
+4. A candidate is confirmed by the longest common subsequence of words between the
+   passage, and also its whole item, and the text around the window: it is a leak if it
+   has `VERBATIM` of the words of either in order, or, as a paraphrase, `PARAPHRASE` of
+   them and `ANSWER` of the item's answer (its last sentence) too. Items of one sentence
+   have no answer apart: `PARAPHRASE` of their words is enough. Passages overlap so that
+   a quotation of PASSAGE words from anywhere in an item has VERBATIM of some passage.
 
 Documents are read where they are: only counts, and for each document its verdict,
 leave a task. The benchmark is the stated query set; it is searched in blocks of
@@ -44,8 +46,8 @@ OVERSAMPLE = 10
 POWER_STEPS = 1
 #: Benchmark passages of one latent space, and of all those that one search holds (about: dealt by hash).
 SPACE, BLOCK = 256, 1024
-#: Words of a window and of the step between windows; benchmark passages are cut to PASSAGE words.
-WINDOW, STEP, PASSAGE = 24, 12, 48
+#: Words of a window and of the step between windows; benchmark passages are cut to PASSAGE words, one every STRIDE words.
+WINDOW, STEP, PASSAGE, STRIDE = 24, 12, 48, 16
 MIN_COSINE = 0.3
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Bytes of texts that are split into words at once.
@@ -162,8 +164,13 @@ def weights(n_docs: int, frequency: np.ndarray) -> np.ndarray:
     return np.log((1 + n_docs) / (1 + frequency)).astype(np.float32)
 
 
+def starts_of(n: int) -> list[int]:
+    """First words of the passages of an item of n words; the last one ends with the item."""
+    return [*range(0, n - PASSAGE, STRIDE), max(0, n - PASSAGE)]
+
+
 def passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
-    """item_id, terms, values: unit TF-IDF rows of the benchmark's passages."""
+    """item_id, at, terms, values: first words and unit TF-IDF rows of the benchmark's passages."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = Splitter()
@@ -171,18 +178,17 @@ def passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
             rows = []
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 terms = splitter.words([lowered(text)], 0).terms
-                for at in range(0, len(terms), PASSAGE):
-                    part = terms[max(0, min(at, len(terms) - PASSAGE)):at + PASSAGE]
-                    term, n = np.unique(part, return_counts=True)
+                for at in starts_of(len(terms)):
+                    term, n = np.unique(terms[at:at + PASSAGE], return_counts=True)
                     value = n * idf[term]
                     norm = float(np.sqrt((value * value).sum()))
                     if norm > 0:
-                        rows.append((item, term.tolist(), (value / norm).tolist()))
+                        rows.append((item, at, term.tolist(), (value / norm).tolist()))
             if rows:
-                yield pd.DataFrame(rows, columns=["item_id", "terms", "values"])
+                yield pd.DataFrame(rows, columns=["item_id", "at", "terms", "values"])
 
     known = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    return known.mapInPandas(cut, "item_id long, terms array<int>, values array<float>")
+    return known.mapInPandas(cut, "item_id long, at int, terms array<int>, values array<float>")
 
 
 def on_worker(spark: SparkSession, f, *arrays: np.ndarray) -> np.ndarray:
@@ -293,28 +299,27 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 
 def answer_of(text: str) -> list[str]:
-    """The words of an item's last sentence."""
+    """The words of an item's last sentence; none if it has only one."""
     parts = [w for w in map(words_of, SENTENCE.split(text)) if w]
-    return parts[-1] if parts else []
+    return parts[-1] if len(parts) > 1 else []
 
 
-def confirmed(item: list[str], answer: list[str], near: list[str]) -> tuple[float, bool]:
-    """The share of the item's words found in order near a window, and whether that is a leak."""
-    share = lcs(item, near) / len(item)
-    leak = share >= VERBATIM or share >= PARAPHRASE and bool(answer) and lcs(answer, near) >= ANSWER * len(answer)
-    return share, leak
+def confirmed(part: list[str], answer: list[str], near: list[str], around: list[str]) -> tuple[float, bool]:
+    """The share of the words of an item, or of a passage, found in order `near` a window, and whether, with the answer `around` it, that is a leak."""
+    share = lcs(part, near) / len(part)
+    return share, share >= VERBATIM or share >= PARAPHRASE and lcs(answer, around) >= ANSWER * len(answer)
 
 
 class Folding:
-    """What folds windows into the latent space of some passages and compares them: `index` has the passages' terms and values."""
+    """What folds windows into the latent space of some passages and compares them: `index` has the passages' items, first words, terms and values."""
 
-    def __init__(self, index: list[tuple[int, list[int], list[float]]], idf: np.ndarray, space: np.ndarray):
+    def __init__(self, index: list[tuple[int, int, list[int], list[float]]], idf: np.ndarray, space: np.ndarray):
         live = np.flatnonzero(np.abs(space).sum(axis=1) > 0)
         self.used = np.zeros(TERMS, np.int32)
         self.used[live] = np.arange(1, len(live) + 1)
         self.table = np.vstack([np.zeros((1, space.shape[1]), np.float32), space[live] * idf[live, None]]).astype(np.float32)
-        self.owners = [i for i, _, _ in index]
-        latent = np.array([np.einsum("i,ij->j", np.asarray(v, np.float32), space[np.asarray(t)]) for _, t, v in index], np.float32).reshape(len(index), -1)
+        self.owners = [(i, at) for i, at, _, _ in index]
+        latent = np.array([np.einsum("i,ij->j", np.asarray(v, np.float32), space[np.asarray(t)]) for _, _, t, v in index], np.float32).reshape(len(index), -1)
         self.latent = latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
 
 
@@ -323,7 +328,7 @@ def search(text: Column, block: list[tuple[int, int | None, str]], foldings: lis
 
     `block` has the key, item_id and text of the items; the foldings name items by their keys.
     """
-    owners = np.array([i for f in foldings for i in f.owners])
+    owners = [o for f in foldings for o in f.owners]
     square = (idf * idf).astype(np.float64)
 
     def windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -370,17 +375,22 @@ def search(text: Column, block: list[tuple[int, int | None, str]], foldings: lis
                 done: set[tuple[int, int, int]] = set()
                 text, start, passage, cosine = windows(words)
                 for k in np.argsort(-cosine, kind="stable").tolist():
-                    t, s, key = int(text[k]), int(start[k]), int(owners[passage[k]])
+                    t, s, (key, at) = int(text[k]), int(start[k]), owners[passage[k]]
                     item, answer, hashes = items[key]
-                    spot = (t, key, s // max(len(item), WINDOW))
+                    spot = (t, int(passage[k]), s // max(min(len(item), PASSAGE), WINDOW))
                     if spot in done:
                         continue
-                    a = max(int(words.first[t]), s - len(item))
-                    b = min(int(words.first[t + 1]), s + WINDOW + len(item))
-                    have = set(words.hashes[a:b].tolist())  # too few words in any order: no leak
-                    if sum(map(have.__contains__, hashes)) < PARAPHRASE * len(item):
-                        continue
-                    share, leak = confirmed(item, answer, words.read(a, b))
+                    share, leak = 0.0, False
+                    for x, y in {(at, min(at + PASSAGE, len(item))), (0, len(item))}:  # the passage, and its item
+                        a = max(int(words.first[t]), s - (y - x))
+                        b = min(int(words.first[t + 1]), s + WINDOW + (y - x))
+                        have = set(words.hashes[a:b].tolist())  # too few words in any order: no leak
+                        if sum(map(have.__contains__, hashes[x:y])) < PARAPHRASE * (y - x):
+                            continue
+                        around = words.read(max(int(words.first[t]), s - len(item)), min(int(words.first[t + 1]), s + WINDOW + len(item)))
+                        of_part, is_leak = confirmed(item[x:y], answer, words.read(a, b), around)
+                        if is_leak:
+                            share, leak = max(share, of_part), True
                     if leak:
                         done.add(spot)
                         old = best[words.at + t]
@@ -410,7 +420,7 @@ def verdicts(docs: DataFrame, items: DataFrame) -> list[Column]:
         foldings = []
         for k in range(n_spaces):
             part = inside.where(F.pmod(F.xxhash64("terms", "values"), F.lit(n_spaces)) == k)
-            index = [(r["item_id"], r["terms"], r["values"]) for r in part.orderBy("item_id", "terms").collect()]
+            index = [(r["item_id"], r["at"], r["terms"], r["values"]) for r in part.orderBy("item_id", "at").collect()]
             if index:
                 foldings.append(Folding(index, idf, latent_space(part, len(index))))
         if foldings:

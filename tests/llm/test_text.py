@@ -228,6 +228,31 @@ def test_every_copy_of_a_large_benchmark(spark):
     assert got == {i: i for i in range(1000)}
 
 
+def spoken(rng):
+    vocabulary = [f"{a}{b}{c}" for a in "brtkmls" for b in ("an", "or", "il", "et") for c in ("do", "my", "ka", "sen", "th")]
+    return lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+def test_quoted_passages_and_items_of_one_sentence(spark):
+    """48 words from anywhere in an item of 200 words are a leak, and 70 % of the words of a one-sentence item."""
+    rng = random.Random(12)
+    say = spoken(rng)
+    items = [(i, f"{say(100)}. {say(100)}.") for i in range(6)] + [(10 + i, say(30)) for i in range(6)]
+    texts, leaks = [(500 + i, say(150)) for i in range(100)], {}
+    for i, (item, text) in enumerate(items):
+        words = text.split()
+        for k in range(4):
+            told = words[at:at + 48] if len(words) > 48 and (at := rng.randrange(len(words) - 47)) >= 0 else words[:]
+            if len(words) < 48:
+                for j in rng.sample(range(30), 9):
+                    told[j] = say(1)
+            texts.append((4 * i + k, f"{say(40)} {' '.join(told)} {say(40)}"))
+            leaks[4 * i + k] = item
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = decontamination.matches(docs, spark.createDataFrame(items, "item_id long, text string")).where("leaked")
+    assert {r["doc_id"]: r["item_id"] for r in got.collect()} == leaks
+
+
 def test_leaks_match_brute_force(spark):
     """Every document against every item by plain dynamic programming over windows of words."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()

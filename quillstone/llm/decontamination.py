@@ -7,7 +7,9 @@
 3. Every window of every whole document is folded into the latent spaces; windows whose
    cosine with a benchmark passage reaches `MIN_COSINE` are candidates (the window's
    length in the cosine is that of its full TF-IDF vector, so that words which no
-   passage has count against it).
+   passage has count against it; but rare words around a short or frequent passage do
+   not: no more than the passage's own length counts for the threshold). A word-for-word
+   copy stays above it: of the three windows that hold 48 words one has a third of the weight.
 4. A candidate is confirmed by the longest common subsequence of words between the
    passage, and also its whole item, and the text around the window: it is a leak if it
    has `VERBATIM` of the words of either in order, or, as a paraphrase, `PARAPHRASE` of
@@ -49,6 +51,8 @@ SPACE, BLOCK = 256, 1024
 #: Words of a window and of the step between windows; benchmark passages are cut to PASSAGE words, one every STRIDE words.
 WINDOW, STEP, PASSAGE, STRIDE = 24, 12, 48, 16
 MIN_COSINE = 0.3
+#: Least weight of a word, also of one that every document has.
+LEAST_WEIGHT = 0.01
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Bytes of texts that are split into words at once.
 GROUP = 1 << 19
@@ -161,7 +165,7 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def weights(n_docs: int, frequency: np.ndarray) -> np.ndarray:
-    return np.log((1 + n_docs) / (1 + frequency)).astype(np.float32)
+    return np.maximum(np.log((1 + n_docs) / (1 + frequency)), LEAST_WEIGHT).astype(np.float32)
 
 
 def starts_of(n: int) -> list[int]:
@@ -170,7 +174,7 @@ def starts_of(n: int) -> list[int]:
 
 
 def passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
-    """item_id, at, terms, values: first words and unit TF-IDF rows of the benchmark's passages."""
+    """item_id, at, norm, terms, values: first words, lengths and unit TF-IDF rows of the benchmark's passages."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = Splitter()
@@ -183,12 +187,12 @@ def passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
                     value = n * idf[term]
                     norm = float(np.sqrt((value * value).sum()))
                     if norm > 0:
-                        rows.append((item, at, term.tolist(), (value / norm).tolist()))
+                        rows.append((item, at, norm, term.tolist(), (value / norm).tolist()))
             if rows:
-                yield pd.DataFrame(rows, columns=["item_id", "at", "terms", "values"])
+                yield pd.DataFrame(rows, columns=["item_id", "at", "norm", "terms", "values"])
 
     known = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    return known.mapInPandas(cut, "item_id long, at int, terms array<int>, values array<float>")
+    return known.mapInPandas(cut, "item_id long, at int, norm double, terms array<int>, values array<float>")
 
 
 def on_worker(spark: SparkSession, f, *arrays: np.ndarray) -> np.ndarray:
@@ -311,15 +315,16 @@ def confirmed(part: list[str], answer: list[str], near: list[str], around: list[
 
 
 class Folding:
-    """What folds windows into the latent space of some passages and compares them: `index` has the passages' items, first words, terms and values."""
+    """What folds windows into the latent space of some passages and compares them: `index` has the passages' items, first words, lengths, terms and values."""
 
-    def __init__(self, index: list[tuple[int, int, list[int], list[float]]], idf: np.ndarray, space: np.ndarray):
+    def __init__(self, index: list[tuple[int, int, float, list[int], list[float]]], idf: np.ndarray, space: np.ndarray):
         live = np.flatnonzero(np.abs(space).sum(axis=1) > 0)
         self.used = np.zeros(TERMS, np.int32)
         self.used[live] = np.arange(1, len(live) + 1)
         self.table = np.vstack([np.zeros((1, space.shape[1]), np.float32), space[live] * idf[live, None]]).astype(np.float32)
-        self.owners = [(i, at) for i, at, _, _ in index]
-        latent = np.array([np.einsum("i,ij->j", np.asarray(v, np.float32), space[np.asarray(t)]) for _, _, t, v in index], np.float32).reshape(len(index), -1)
+        self.owners = [(i, at) for i, at, _, _, _ in index]
+        self.norms = np.array([n for _, _, n, _, _ in index], np.float32)
+        latent = np.array([np.einsum("i,ij->j", np.asarray(v, np.float32), space[np.asarray(t)]) for _, _, _, t, v in index], np.float32).reshape(len(index), -1)
         self.latent = latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
 
 
@@ -351,11 +356,11 @@ def search(text: Column, block: list[tuple[int, int | None, str]], foldings: lis
             for j in range(1, STEP):
                 parts += f.table[place[np.where(steps + j < ends, steps + j, -1)]]  # beyond the text: the zero row
             both = parts[first] + np.where(lone[first, None], 0, parts[second])
-            # a cosine is at most the share of the window that lies in the latent space
-            able = np.flatnonzero(np.sqrt((both * both).sum(axis=1)) >= MIN_COSINE * norm)
-            cosine = (both[able] / norm[able, None]) @ f.latent.T
-            row, passage = np.nonzero(cosine >= MIN_COSINE)
-            found.append((owner[first[able[row]]], steps[first[able[row]]], at + passage, cosine[row, passage]))
+            # a product is at most the part of the window that lies in the latent space
+            able = np.flatnonzero(np.sqrt((both * both).sum(axis=1)) >= MIN_COSINE * np.minimum(norm, f.norms.min()))
+            product = both[able] @ f.latent.T
+            row, passage = np.nonzero(product >= MIN_COSINE * np.minimum(norm[able, None], f.norms))
+            found.append((owner[first[able[row]]], steps[first[able[row]]], at + passage, product[row, passage] / norm[able[row]]))
             at += len(f.owners)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -420,7 +425,7 @@ def verdicts(docs: DataFrame, items: DataFrame) -> list[Column]:
         foldings = []
         for k in range(n_spaces):
             part = inside.where(F.pmod(F.xxhash64("terms", "values"), F.lit(n_spaces)) == k)
-            index = [(r["item_id"], r["at"], r["terms"], r["values"]) for r in part.orderBy("item_id", "at").collect()]
+            index = [(r["item_id"], r["at"], r["norm"], r["terms"], r["values"]) for r in part.orderBy("item_id", "at").collect()]
             if index:
                 foldings.append(Folding(index, idf, latent_space(part, len(index))))
         if foldings:

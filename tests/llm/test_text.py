@@ -253,6 +253,18 @@ def test_quoted_passages_and_items_of_one_sentence(spark):
     assert {r["doc_id"]: r["item_id"] for r in got.collect()} == leaks
 
 
+def test_short_frequent_items_among_rare_words(spark):
+    """An item of 15 words in a third of the rows, and one in all rows, are found although the words around them are rare."""
+    say = spoken(random.Random(13))
+    items = [(0, say(15)), (1, " ".join(f"w{i}" for i in range(15)))]
+    rare = lambda i, k: " ".join(f"rare{i}x{j}" for j in range(k))
+    texts = [(i, f"{rare(i, 5 + i % 24)} {items[0][1] if i % 3 == 0 else ''} {rare(i + 1000, 30)}") for i in range(300)]
+    found = lambda rows, item: {r["doc_id"] for r in decontamination.matches(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([item], "item_id long, text string")).where("leaked").collect()}
+    assert found(texts, items[0]) == set(range(0, 300, 3))
+    assert found([(i, f"{rare(i, 5 + i % 24)} {items[1][1]} {rare(i + 1000, 30)}") for i in range(48)], items[1]) == set(range(48))
+
+
 def test_leaks_match_brute_force(spark):
     """Every document against every item by plain dynamic programming over windows of words."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()

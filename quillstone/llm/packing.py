@@ -19,13 +19,16 @@ end, so that no task gets all pieces of a common length. The plan is broadcast.
 
 Defined results: null and empty texts are one piece, the end token alone. Only
 documents longer than the capacity are cut; their first piece may be shorter. Repeated rows
-are packed as often as they occur. An empty table gives an empty result. Texts of
-special tokens are ordinary text. Columns beside doc_id and text are not read.
+are packed as often as they occur. An empty table gives an empty result. A text that
+holds an added token of the tokenizer has its id there. Columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,16 +57,42 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Contents and ids of the added tokens in the .json form of a rank file; none without such a file."""
+    path = f"{path.removesuffix('.tiktoken')}.json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    for t in tokens:
+        if t["lstrip"] or t["rstrip"] or t["single_word"]:
+            raise ValueError(f"added token {t['content']!r} takes its surroundings into account")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def encoder(path: str):
-    """The byte-level BPE of a rank file, as numpy ids of a text; its .json form gives the same ids."""
+    """The byte-level BPE of a rank file, as numpy ids of a text; its .json form gives the same ids.
+
+    Texts are split at the added tokens first, the longest of those that begin at one place.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = added_tokens(path)
+    splits = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def ids(text: str) -> np.ndarray:
+        out, at = [], 0
+        for token in splits.finditer(text) if splits else ():
+            out += [*between(text[at:token.start()]), np.array([added[token[0]]], np.uint32)]
+            at = token.end()
+        out += between(text[at:])
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+    def between(text: str) -> list[np.ndarray]:
         out, at = [], 0
         while at < len(text):
             end = at + PIECE
@@ -72,7 +101,7 @@ def encoder(path: str):
                 end += 1
             out.append(bpe.encode_to_numpy(text[at:end], disallowed_special=()))
             at = end
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        return out
 
     return ids
 

@@ -363,6 +363,19 @@ def test_encoding_in_pieces(monkeypatch):
     assert np.array_equal(whole, encode(text))
 
 
+def test_added_tokens_have_their_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", end, end * 3, f"  {end}  \n{end}x", f"<|endoftext{end}|>", f"{prose(1, 300)}{end} {prose(2, 300)} \n {end}", "<|endoftext", ""]
+    encode = packing.encoder(packing.vocabulary_path())
+    for piece in (packing.PIECE, 100):
+        monkeypatch.setattr(packing, "PIECE", piece)
+        assert [encode(t).tolist() for t in texts] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_whole_sequences_round_trip(spark):
     docs = spark.createDataFrame([(i, prose(i, n)) for i, n in enumerate([5, 900, 3000, 1, 0, 200, 700])] + [(9, None)], "doc_id long, text string")
     packed = packing.pack(packing.tokenized(docs)).cache()

@@ -6,11 +6,11 @@ SUPPORT different texts is protected: its information content is IC(c) = log N /
 over the N documents. A term t reveals it to the extent of their pointwise mutual
 information, log N n(c,t) / (n(c) n(t)), estimated from the documents in which both stand.
 Terms that share SUPPORT different texts with an entity (copies are no evidence) and whose
-information reaches DISCLOSURE of IC(c) are disclosing, wherever they stand. At the default
-of 1 these are the terms that no text without the entity has, so that texts without personal
-data are left alone; a lower share also takes terms that mostly go with an entity. Such a term
-is generalised to its first letters if these do not disclose an entity themselves, and
-removed otherwise.
+information reaches DISCLOSURE of IC(c) are disclosing: a term may stand in some texts
+without the entity, the more of them the rarer the entity is, n(c,t) / n(t) being at least
+(n(c) / N) ** (1 - DISCLOSURE). Such a term is generalised to its first letters if these do
+not disclose an entity themselves, and removed otherwise, in the texts that hold an entity
+which it discloses; texts without personal data are left alone.
 
 Everything is DataFrame functions. Words are only exploded for texts with a protected
 entity; all other words pass a fixed table of BUCKETS hash buckets first, so that only
@@ -45,7 +45,7 @@ HINTS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]+"
 SUPPORT = 3
-DISCLOSURE = 1.0
+DISCLOSURE = 0.9
 #: Letters of a generalised term.
 STEM = 3
 BUCKETS = 1 << 18
@@ -166,8 +166,8 @@ def likely(table: bytearray | None, term: Column) -> Column:
     return F.substring(F.lit(table), bucket(term) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
 
 
-def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """term, action: the terms that disclose a protected entity, and the stem they become ('' if they are removed)."""
+def disclosures(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame] | None:
+    """entity, term of what discloses a protected entity; and entity, copy, terms of the texts with one. None if no term can."""
     text = F.coalesce(docs["text"], F.lit(""))
     tagged = [F.transform(k, named(k)) for k in PATTERNS]
     entities = with_base_spans(docs.select(text.alias("text")), "text").withColumn("entities", F.array_distinct(F.flatten(F.array(*tagged))))
@@ -190,23 +190,44 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float
 
     table = bucket_table(together)
     if table is None:
-        return docs.sparkSession.createDataFrame([], "term string, action string")
+        return None
     may = lambda w: likely(table, w) | likely(table, stem(w))
     words = docs.select(F.explode(with_stems(F.filter(words_of(outside(text)), may))).alias("term")).where(likely(table, F.col("term")))
     frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     information = F.log(F.lit(n_rows) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    found = together.join(frequency, "term").where((information >= disclosure * content - 1e-9)).select("term").distinct()
-    found = stored(found, "disclosing")
-    stems = found.where(F.endswith("term", F.lit("*"))).select(F.col("term").alias("_stem"))
-    words = found.where(~F.endswith("term", F.lit("*")))
+    found = together.join(frequency, "term").where((information >= disclosure * content - 1e-9)).select("entity", "term")
+    return stored(found, "disclosing"), guarded.select("entity", "copy", "terms")
+
+
+def with_actions(found: DataFrame) -> DataFrame:
+    """term, action: what the terms of `found` become, their stem or '' if they are removed."""
+    terms = found.select("term").distinct()
+    stems = terms.where(F.endswith("term", F.lit("*"))).select(F.col("term").alias("_stem"))
+    words = terms.where(~F.endswith("term", F.lit("*")))
     return words.join(stems, stem(F.col("term")) == F.col("_stem"), "left").select(
         "term", F.when(F.col("_stem").isNull(), stem(F.col("term"))).otherwise("").alias("action")
     )
 
 
+def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """term, action: the terms that disclose a protected entity, and the stem they become ('' if they are removed)."""
+    got = disclosures(docs, support, disclosure)
+    return with_actions(got[0]) if got else docs.sparkSession.createDataFrame([], "term string, action string")
+
+
+def disclosing_texts(docs: DataFrame) -> DataFrame:
+    """copy, term, action: the disclosing terms of each different text that holds an entity which they disclose."""
+    got = disclosures(docs)
+    if got is None:
+        return docs.sparkSession.createDataFrame([], "copy string, term string, action string")
+    found, guarded = got
+    held = guarded.select("entity", "copy", F.explode("terms").alias("term")).join(found, ["entity", "term"])
+    return held.select("copy", "term").distinct().join(with_actions(found), "term").select("copy", "term", "action")
+
+
 def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, the spans of each kind, and `terms`: start, end, value and action of disclosing terms. One row for every row."""
-    terms = stored(disclosing_terms(docs), "terms")
+    terms = stored(disclosing_texts(docs), "terms")
     table = bucket_table(terms)
     text = F.coalesce(docs["text"], F.lit(""))
     rows = with_base_spans(docs.select("doc_id", text.alias("text")), "text")
@@ -215,12 +236,14 @@ def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     else:
         has = F.exists(words_of(F.col("text")), lambda w: likely(table, w))
         rows = with_spans(rows, "text", TERM, "_words", has, lambda value: likely(table, F.lower(value)))
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *["text"] * keep_text, *PATTERNS, "_words"), "pii-rows")
     taken = F.flatten(F.array(*PATTERNS))
+    copy = F.when((F.size(taken) > 0) & (F.size("_words") > 0), F.sha2("text", 256))
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *["text"] * keep_text, *PATTERNS, "_words", copy.alias("_copy")), "pii-rows")
     free = F.filter("_words", lambda w: ~F.exists(taken, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    each = rows.select("_row", F.explode(free).alias("w")).select("_row", "w.*", F.lower("w.value").alias("term"))
-    hits = each.join(terms, "term").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", "action"))).alias("terms"))
-    return rows.drop("_words").join(hits, "_row", "left").drop("_row")
+    each = rows.where("_copy is not null").select("_row", F.col("_copy").alias("copy"), F.explode(free).alias("w"))
+    each = each.select("_row", "copy", "w.*", F.lower("w.value").alias("term"))
+    hits = each.join(terms, ["copy", "term"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", "action"))).alias("terms"))
+    return rows.drop("_words", "_copy").join(hits, "_row", "left").drop("_row")
 
 
 def marked(kind: str):

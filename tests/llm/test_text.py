@@ -120,6 +120,17 @@ def test_disclosing_terms(spark):
         assert (w in terms) == full, w
 
 
+def test_strays_do_not_end_the_detection(spark):
+    """A name with one address is found although it stands once without it; that other text is left alone."""
+    texts = [f"{prose(i, 30)} ask jo@mail.com or zebulon at {prose(300 + i, 10)}" for i in range(20)]
+    texts += [f"{prose(100 + i, 60)} ask or at" for i in range(200)] + [f"{prose(400, 40)} zebulon ask", f"{prose(401, 40)} zebulon x@y.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["term"] for r in privacy.disclosing_terms(docs).collect()} == {"zebulon"}
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitised(docs).collect()}
+    assert not any("zebulon" in clean[i] for i in range(20))
+    assert all(clean[i] == texts[i] for i in range(20, 221)) and clean[221] == texts[221].replace("x@y.org", "[EMAIL]")
+
+
 def test_privacy_edges(edge_docs, make):
     rows = privacy.find(edge_docs).collect()
     assert len(rows) == edge_docs.count()

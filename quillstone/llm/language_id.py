@@ -196,10 +196,13 @@ def predicted(docs: DataFrame) -> Column:
 
 
 def identified_only(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, all columns as they are; those with `und` go."""
+    """The documents with a letter, all columns as they are: only `und` goes, and without labels to learn from no text with a letter."""
     small_batches(docs.sparkSession)
     name = free_name(docs, "_lang_pred")
-    return docs.withColumn(name, predicted(docs)["lang"]).where(F.col(name) != UNKNOWN).drop(name)
+    languages, prototypes = train(docs.where(fold(docs["doc_id"]) != 1))
+    if not languages:  # nothing to learn from: a letter is all that can be asked for
+        languages, prototypes = ["any"], np.zeros((1, prototypes.shape[1]))
+    return docs.withColumn(name, identify(docs["text"], languages, prototypes)["lang"]).where(F.col(name) != UNKNOWN).drop(name)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

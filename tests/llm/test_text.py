@@ -52,6 +52,13 @@ def test_language_pieces_of_long_texts(monkeypatch):
     assert abs(int(whole[1].sum()) - int(pieces[1].sum())) <= 2 * len(text) // 500
 
 
+def test_unlabelled_texts_stay(edge_docs, make):
+    """Without labels outside fold 1 the stage keeps every text with a letter."""
+    docs = edge_docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = language_id.identified_only(docs)
+    assert kept.columns == docs.columns and kept.count() == docs.where("text rlike '\\\\p{L}'").count() > 0
+
+
 def test_language_edges(edge_docs, make):
     languages, prototypes = language_id.train(edge_docs)
     assert languages == ["en"]

@@ -7,6 +7,7 @@ from quillstone.llm import (
     decontamination,
     exact_dedup,
     language_id,
+    lexical_search,
     license_scan,
     packing,
     privacy,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op13_ranked_search": lexical_search.op13_ranked_search,
 }
 
 #: The others have no SQL: learned models, a tokenizer, XXH64 and code-point places; tests hold them against brute force.
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_ranked_search": lexical_search.ORACLE_SQL,
 }

@@ -6,8 +6,9 @@ in the document (an integer that grows with the term's share of the document). T
 is kept as a K2-treap: a quadtree that stores, level by level, four bits for each
 non-empty cell (which quadrants are non-empty) and the largest impact below it, as the
 difference from its parent's. Children are found by counting bits; empty cells cost
-nothing. Rows are ordered by document frequency and columns by their commonest term and
-length, so that cells hold alike impacts.
+nothing. Common terms lie far apart, between rare ones, so that a common term's cells hold
+its own impacts; columns are ordered by their commonest term and length, so that ranges
+hold alike documents.
 
 A query is a set of weighted terms. Within a shard it starts with one document range,
 all columns, and the root cell for each of its terms. Expanding a range halves it: each
@@ -145,6 +146,15 @@ def unsqueezed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def far_apart(n: int) -> np.ndarray:
+    """Rows for `n` terms, commonest first: each as far as can be from those before, so that a common term's neighbours are rare."""
+    bits = max(1, (n - 1).bit_length())
+    at, turned = np.arange(1 << bits), np.zeros(1 << bits, np.int64)
+    for b in range(bits):
+        turned |= ((at >> b) & 1) << (bits - 1 - b)
+    return turned[:n]
+
+
 class Numbers(dict):
     """Numbers its keys in the order in which they are first asked for."""
 
@@ -176,10 +186,11 @@ class Grid:
         docs = np.repeat(np.arange(len(sizes)), sizes)
         df = np.bincount(rows, minlength=len(self.numbers))
         by_df = np.argsort(-df, kind="stable")
-        place = np.empty_like(by_df)
-        place[by_df] = np.arange(len(by_df))
+        rank = np.empty_like(by_df)
+        rank[by_df] = np.arange(len(by_df))
+        place = far_apart(len(df))[rank]
         lengths = np.array(self.lengths, np.int64)
-        commonest = np.array([place[r[t.argmax()]] for r, t in zip(self.rows, self.tfs, strict=True)])
+        commonest = np.array([rank[r[t.argmax()]] for r, t in zip(self.rows, self.tfs, strict=True)])
         by_kind = np.lexsort((lengths, commonest))
         column = np.empty_like(by_kind)
         column[by_kind] = np.arange(len(by_kind))
@@ -216,7 +227,8 @@ class Treap:
 
     def __init__(self, row: dict) -> None:
         self.ids, self.no_id = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["no_id"], np.uint8).astype(bool)
-        self.row_of = {t: i for i, t in enumerate(row["terms"].split(b" "))}
+        terms = row["terms"].split(b" ")
+        self.row_of = dict(zip(terms, far_apart(len(terms)).tolist(), strict=True))
         self.depth = len(row["sizes"]) - 1
         packed = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["masks"]), np.uint8)
         masks = np.stack([packed & 15, packed >> 4], axis=1).ravel()

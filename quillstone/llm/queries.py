@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from quillstone.llm import (
     chat_format,
+    conversation_repair,
     decontamination,
     exact_dedup,
+    harmonic,
     language_id,
     lexical_search,
     license_scan,
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_harmonic_packing": harmonic.op11_harmonic_packing,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_ranked_search": lexical_search.op13_ranked_search,
 }
 
@@ -35,5 +39,7 @@ ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_harmonic_packing": harmonic.op11_harmonic_packing,
+    "op12_conversation_repair": conversation_repair.ORACLE_SQL,
     "op13_ranked_search": lexical_search.ORACLE_SQL,
 }

@@ -52,7 +52,7 @@ from quillstone.session import scratch_path
 
 TOP = 50
 #: A shard is closed beyond these many documents or postings.
-DOCS, POSTINGS = 1 << 14, 1 << 21
+DOCS, POSTINGS = 1 << 13, 1 << 20
 #: Items and terms of a block of queries; ranges that are expanded at once; shards that give the floors.
 ITEMS, TERMS, BATCH, SEEDS = 256, 1 << 16, 256, 4
 SALTS = 64

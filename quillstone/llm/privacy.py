@@ -12,9 +12,11 @@ without the entity, the more of them the rarer the entity is, n(c,t) / n(t) bein
 not disclose an entity themselves, and removed otherwise, in the texts that hold an entity
 which it discloses; texts without personal data are left alone.
 
-Everything is DataFrame functions. Words are only exploded for texts with a protected
-entity; all other words pass a fixed table of BUCKETS hash buckets first, so that only
-likely terms are shuffled to be counted or looked up. No term list is broadcast.
+Everything is DataFrame functions. Spans are found once and stored. Co-occurrences are
+counted over the different texts with a protected entity, where entities and terms are
+joined by text. The rows n(t) of a term are counted over all texts: words pass a broadcast
+table of at most BUCKETS hash buckets first, so that only likely terms are shuffled. No
+term list is broadcast.
 
 Places are code points, end exclusive. Places come from the matches and the gaps between
 them; possessive quantifiers and look-behind keep the patterns linear on long runs without
@@ -151,52 +153,60 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def bucket_table(terms: DataFrame) -> bytearray | None:
-    """One byte for each bucket, 1 if a term falls into it; None if there is no term. BUCKETS rows at most reach the driver."""
-    used = [r["b"] for r in terms.select(bucket(F.col("term")).alias("b")).distinct().collect()]
-    table = bytearray(BUCKETS)
-    for b in used:
-        table[b] = 1
-    return table if used else None
+def tagged_rows(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """_row, doc_id, the spans of each kind, and of rows with a span (of all with `keep_text`) the text; _copy tells equal texts with a span."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = with_base_spans(docs.select("doc_id", text.alias("text")), "text")
+    held = F.size(F.flatten(F.array(*PATTERNS))) > 0
+    kept = F.col("text") if keep_text else F.when(held, F.col("text"))
+    return stored(rows.select(
+        F.monotonically_increasing_id().alias("_row"), "doc_id", *PATTERNS, kept.alias("text"), F.when(held, F.sha2("text", 256)).alias("_copy")), "pii-rows")
 
 
-def likely(table: bytearray | None, term: Column) -> Column:
-    if table is None:
-        return F.lit(False)
-    return F.substring(F.lit(table), bucket(term) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+def same_texts(copy: str) -> list[Column]:
+    """Aggregates that tell sets of texts apart, whatever their order and size (128 bits)."""
+    return [F.bit_xor(F.xxhash64(copy)).alias("h1"), F.bit_xor(F.xxhash64(copy, F.lit(1))).alias("h2")]
 
 
-def disclosures(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame] | None:
-    """entity, term of what discloses a protected entity; and entity, copy, terms of the texts with one. None if no term can."""
-    text = F.coalesce(docs["text"], F.lit(""))
+def disclosures(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame] | None:
+    """entity, term of what discloses a protected entity; and copy, term of the texts in which both stand. None if no term can.
+
+    Entities and terms of a text are kept apart, a row each; they only meet after terms of
+    too few or too many texts, and entities of too few, are gone. Entities that stand in
+    the same texts are one here: a list of addresses that is repeated is one entity.
+    """
     tagged = [F.transform(k, named(k)) for k in PATTERNS]
-    entities = with_base_spans(docs.select(text.alias("text")), "text").withColumn("entities", F.array_distinct(F.flatten(F.array(*tagged))))
-    entities = entities.where(F.size("entities") > 0).select(F.sha2("text", 256).alias("copy"), "entities", words_of(outside(F.col("text"))).alias("words"))
-    entities = entities.select("copy", F.explode("entities").alias("entity"), with_stems(F.col("words")).alias("terms"))
-    # one row for each entity and text, with the text's terms and how many rows have it
-    seen = stored(entities.groupBy("entity", "copy").agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n")), "entities")
-    protected = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_c")).where(F.col("texts") >= support)
-    guarded = stored(seen.join(stored(protected.drop("texts"), "protected"), "entity"), "guarded")
-    pairs = guarded.select("entity", "n_c", "n", F.explode("terms").alias("term")).groupBy("entity", "n_c", "term")
-    pairs = pairs.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_ct")).where(F.col("texts") >= support)
-    # a term's rows among those with any protected entity bound its rows from below: words that go with many entities are out
-    texts = guarded.groupBy("copy").agg(F.first("terms").alias("terms"), F.first("n").alias("n"))
-    within = texts.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n_w"))
-    n_rows = float(docs.count())
+    found = rows.where("_copy is not null").select("_copy", "text", F.array_distinct(F.flatten(F.array(*tagged))).alias("entities"))
+    texts = found.groupBy(F.col("_copy").alias("copy")).agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count(F.lit(1)).alias("n"))
+    texts = stored(texts.select("copy", "n", "entities", words_of(outside(F.col("text"))).alias("words")), "pii-texts")
+    seen = texts.select("copy", "n", F.explode("entities").alias("entity"))
+    protected = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_c"), *same_texts("copy")).where(F.col("texts") >= support)
+    protected = stored(protected.groupBy("texts", "n_c", "h1", "h2").agg(F.min("entity").alias("entity")).select("entity", "n_c"), "protected")
+    most = protected.agg(F.max("n_c")).first()[0]
+    if most is None:
+        return None
+    n_rows = float(rows.count())
+    guarded = stored(seen.join(protected, "entity"), "guarded")
+    words = texts.join(guarded.select("copy").distinct(), "copy", "left_semi").select("copy", F.explode(with_stems(F.col("words"))).alias("term"), "n")
+    # a term's rows among these texts bound its rows from below: words that go with too many are out before they are joined
+    within = words.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_w"))
+    within = within.where((F.col("texts") >= support) & (F.col("n_w") <= most ** disclosure * n_rows ** (1 - disclosure) * (1 + 1e-9)))
+    terms = stored(words.select("copy", "term").join(within.select("term", "n_w"), "term"), "pii-terms")
     content = F.log(F.lit(n_rows) / F.col("n_c"))
-    most = F.log(F.lit(n_rows) * F.col("n_ct") / (F.col("n_c") * F.col("n_w")))
-    together = pairs.join(within, "term").where((content > 0) & (most >= disclosure * content - 1e-9))
-    together = stored(together.select("entity", "n_c", "term", "n_ct"), "together")
-
-    table = bucket_table(together)
-    if table is None:
+    bound = lambda n: F.log(F.lit(n_rows) * F.col("n_ct") / (F.col("n_c") * F.col(n)))
+    pairs = guarded.join(terms, "copy").groupBy("entity", "n_c", "term", "n_w").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_ct"))
+    pairs = pairs.where((F.col("texts") >= support) & (content > 0) & (bound("n_w") >= disclosure * content - 1e-9))
+    together = stored(pairs.select("entity", "n_c", "term", "n_ct"), "together")
+    # BUCKETS rows at most: all other words of the corpus end here, before they are shuffled
+    buckets = stored(together.select(bucket(F.col("term")).alias("b")).distinct(), "term-buckets")
+    if buckets.isEmpty():
         return None
-    may = lambda w: likely(table, w) | likely(table, stem(w))
-    words = docs.select(F.explode(with_stems(F.filter(words_of(outside(text)), may))).alias("term")).where(likely(table, F.col("term")))
-    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    information = F.log(F.lit(n_rows) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    found = together.join(frequency, "term").where((information >= disclosure * content - 1e-9)).select("entity", "term")
-    return stored(found, "disclosing"), guarded.select("entity", "copy", "terms")
+    words = docs.select(F.explode(with_stems(words_of(outside(F.coalesce(docs["text"], F.lit("")))))).alias("term"))
+    likely = words.withColumn("b", bucket(F.col("term"))).join(F.broadcast(buckets), "b", "left_semi")
+    frequency = likely.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    disclosing = stored(together.join(frequency, "term").where(bound("n_t") >= disclosure * content - 1e-9).select("entity", "term"), "disclosing")
+    held = terms.select("copy", "term").join(disclosing, "term").join(guarded.select("entity", "copy"), ["entity", "copy"])
+    return disclosing, held.select("copy", "term").distinct()
 
 
 def with_actions(found: DataFrame) -> DataFrame:
@@ -211,39 +221,26 @@ def with_actions(found: DataFrame) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """term, action: the terms that disclose a protected entity, and the stem they become ('' if they are removed)."""
-    got = disclosures(docs, support, disclosure)
+    got = disclosures(docs, tagged_rows(docs), support, disclosure)
     return with_actions(got[0]) if got else docs.sparkSession.createDataFrame([], "term string, action string")
 
 
-def disclosing_texts(docs: DataFrame) -> DataFrame:
-    """copy, term, action: the disclosing terms of each different text that holds an entity which they disclose."""
-    got = disclosures(docs)
-    if got is None:
-        return docs.sparkSession.createDataFrame([], "copy string, term string, action string")
-    found, guarded = got
-    held = guarded.select("entity", "copy", F.explode("terms").alias("term")).join(found, ["entity", "term"])
-    return held.select("copy", "term").distinct().join(with_actions(found), "term").select("copy", "term", "action")
-
-
 def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, the spans of each kind, and `terms`: start, end, value and action of disclosing terms. One row for every row."""
-    terms = stored(disclosing_texts(docs), "terms")
-    table = bucket_table(terms)
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = with_base_spans(docs.select("doc_id", text.alias("text")), "text")
-    if table is None:
-        rows = rows.withColumn("_words", no_spans())
-    else:
-        has = F.exists(words_of(F.col("text")), lambda w: likely(table, w))
-        rows = with_spans(rows, "text", TERM, "_words", has, lambda value: likely(table, F.lower(value)))
+    rows = tagged_rows(docs, keep_text)
+    out = rows.select("_row", "doc_id", *["text"] * keep_text, *PATTERNS)
+    got = disclosures(docs, rows)
+    if got is None:
+        return out.withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int,value:string,action:string>>")).drop("_row")
+    disclosing, held = got
+    terms = stored(held.join(with_actions(disclosing), "term").select(F.col("copy").alias("_copy"), "term", "action"), "terms")
+    hit = rows.join(terms.select("_copy").distinct(), "_copy", "left_semi")
+    hit = with_spans(hit, "text", TERM, "_words", F.lit(True), lambda value: F.lit(True))
     taken = F.flatten(F.array(*PATTERNS))
-    copy = F.when((F.size(taken) > 0) & (F.size("_words") > 0), F.sha2("text", 256))
-    rows = stored(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *["text"] * keep_text, *PATTERNS, "_words", copy.alias("_copy")), "pii-rows")
     free = F.filter("_words", lambda w: ~F.exists(taken, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    each = rows.where("_copy is not null").select("_row", F.col("_copy").alias("copy"), F.explode(free).alias("w"))
-    each = each.select("_row", "copy", "w.*", F.lower("w.value").alias("term"))
-    hits = each.join(terms, ["copy", "term"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", "action"))).alias("terms"))
-    return rows.drop("_words", "_copy").join(hits, "_row", "left").drop("_row")
+    each = hit.select("_row", "_copy", F.explode(free).alias("w")).select("_row", "_copy", "w.*", F.lower("w.value").alias("term"))
+    marks = each.join(terms, ["_copy", "term"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", "action"))).alias("terms"))
+    return out.join(marks, "_row", "left").drop("_row")
 
 
 def marked(kind: str):
@@ -279,3 +276,63 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"),
     )
+
+
+#: The contract's patterns, as they are.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_PLACED = " UNION ALL ".join(
+    f"SELECT r, '{kind}' AS kind, {i} AS o, regexp_extract_all(text, '{p}') AS found, regexp_split_to_array(text, '{p}') AS gaps FROM docs" for i, (kind, p) in enumerate(_PLAIN.items())
+)
+_OUTSIDE = "text"
+for _p in (_PLAIN["email"], _PLAIN["ip"], r"[0-9]([\x20-]?[0-9]){15,}", _PLAIN["phone"]):
+    _OUTSIDE = f"regexp_replace({_OUTSIDE}, '{_p}', ' ', 'g')"
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+
+ORACLE_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+placed AS ({_PLACED}),
+matched AS (SELECT r, kind, o, unnest(found) AS value, unnest(gaps[1:len(found)]) AS gap, generate_subscripts(found, 1) AS i FROM placed),
+spans AS (
+    SELECT r, kind, o, value, "end" - length(value) AS start, "end", {_DIGITS} AS digits
+    FROM (SELECT *, (sum(length(gap) + length(value)) OVER (PARTITION BY r, kind ORDER BY i))::BIGINT AS "end" FROM matched)),
+base AS (
+    SELECT * FROM spans WHERE CASE kind
+        WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(right(p, 3) AS INTEGER), 0) > 255)) = 0
+        WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i:
+            CASE WHEN i % 2 = 0 THEN substr(digits, length(digits) - i, 1)::INTEGER
+                WHEN substr(digits, length(digits) - i, 1)::INTEGER > 4 THEN 2 * substr(digits, length(digits) - i, 1)::INTEGER - 9
+                ELSE 2 * substr(digits, length(digits) - i, 1)::INTEGER END)) % 10 = 0
+        WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15 ELSE true END),
+held AS (SELECT text, count(*) AS n FROM docs WHERE r IN (SELECT r FROM base) GROUP BY text),
+seen AS (SELECT DISTINCT text, n, kind || ':' || lower(value) AS entity FROM base JOIN docs USING (r) JOIN held USING (text)),
+protected AS (SELECT entity, sum(n) AS n_c FROM seen GROUP BY entity HAVING count(*) >= {SUPPORT}),
+words AS (
+    SELECT r, text, unnest(list_distinct(regexp_extract_all(lower(CASE WHEN regexp_matches(text, '[0-9@]') THEN {_OUTSIDE} ELSE text END), '[\p{{L}}\p{{N}}]+'))) AS w FROM docs),
+terms AS (SELECT DISTINCT r, text, term FROM (SELECT r, text, w AS term FROM words UNION ALL SELECT r, text, left(w, {STEM}) || '*' FROM words)),
+frequency AS (SELECT term, count(*) AS n_t FROM terms GROUP BY term),
+together AS (
+    SELECT entity, n_c, term, sum(n) AS n_ct
+    FROM protected JOIN seen USING (entity) JOIN (SELECT DISTINCT text, term FROM terms) USING (text) GROUP BY ALL HAVING count(*) >= {SUPPORT}),
+disclosing AS (
+    SELECT entity, term FROM together JOIN frequency USING (term), (SELECT count(*)::DOUBLE AS rows FROM docs)
+    WHERE ln(rows / n_c) > 0 AND ln(rows * n_ct / (n_c * n_t)) >= {DISCLOSURE} * ln(rows / n_c) - 1e-9),
+hits AS (SELECT DISTINCT text, term FROM disclosing JOIN seen USING (entity) JOIN terms USING (text, term)),
+parts AS (
+    SELECT r, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS found, regexp_split_to_array(text, '[\p{{L}}\p{{N}}]+') AS gaps, text FROM docs WHERE text IN (SELECT text FROM hits)),
+word_spans AS (
+    SELECT r, text, value, "end" - length(value) AS start, "end" FROM (
+        SELECT *, (sum(length(gap) + length(value)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS "end" FROM (
+            SELECT r, text, unnest(found) AS value, unnest(gaps[1:len(found)]) AS gap, generate_subscripts(found, 1) AS i FROM parts))),
+added AS (
+    SELECT r, start, "end" FROM word_spans AS w JOIN hits AS h ON h.text = w.text AND h.term = lower(w.value)
+    WHERE NOT EXISTS (SELECT 1 FROM base AS b WHERE b.r = w.r AND b.start < w."end" AND w.start < b."end")),
+every AS (
+    SELECT r, kind, o, start, "end" FROM base UNION ALL SELECT r, 'term', {len(_PLAIN)}, start, "end" FROM added)
+SELECT any_value(doc_id) AS doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PLAIN)},
+    sha256(coalesce(string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY o, start) FILTER (kind <> 'term'), '')) AS base_sha256,
+    coalesce(string_agg(concat_ws(':', kind, start, "end"), ',' ORDER BY o, start) FILTER (kind IS NOT NULL), '') AS spans
+FROM docs LEFT JOIN every USING (r) GROUP BY r
+"""

@@ -34,10 +34,11 @@ QUERIES = {
     "op13_ranked_search": lexical_search.op13_ranked_search,
 }
 
-#: The others have no SQL: learned models, a tokenizer, XXH64 and code-point places; tests hold them against brute force.
+#: The others have no SQL: learned models, a tokenizer, XXH64; tests hold them against brute force.
 ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
+    "op5_pii": privacy.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_harmonic_packing": harmonic.op11_harmonic_packing,
     "op12_conversation_repair": conversation_repair.ORACLE_SQL,

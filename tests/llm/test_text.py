@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from llm_checks import SF_SMALL
+from llm_checks import SF_SMALL, compare
 from pyspark.sql import functions as F
 
 from llm_rows import prose
@@ -138,6 +138,37 @@ def test_strays_do_not_end_the_detection(spark):
     assert all(clean[i] == texts[i] for i in range(20, 221)) and clean[221] == texts[221].replace("x@y.org", "[EMAIL]")
 
 
+def test_query_of_personal_data_equals_its_sql(spark, tmp_path):
+    """The driver's documents, odd texts, and names that give an address away."""
+    compare(privacy.op5_pii(spark, SF_SMALL), privacy.ORACLE_SQL)
+    texts = TRICKY + [f"{prose(i, 30)} ask jo@mail.com or Zebulon{i % 2}9 at {prose(300 + i, 10)}" for i in range(20)] + [f"{prose(100 + i, 60)} ask or at" for i in range(100)]
+    texts += [texts[-1], texts[20], f"{prose(400, 40)} zebulon19 ask"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = privacy.op5_pii(spark, str(tmp_path))
+    compare(found, privacy.ORACLE_SQL, {"documents": f"{tmp_path}/documents.parquet/*.parquet"})
+    assert found.where("spans like '%term%'").count() >= 20
+
+
+def test_lists_of_addresses_stay_linear(spark, monkeypatch):
+    """One text with 2,000 addresses, and one list of 300 that five texts repeat: no row for every pair of address and word."""
+    sizes = {}
+    real = privacy.stored
+
+    def watched(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(privacy, "stored", watched)
+    alone = " ".join(f"a{i}@x{i}.org w{i}" for i in range(2000))
+    repeated = " ".join(f"b{i}@y.org v{i}" for i in range(300))
+    texts = [alone, *(f"{repeated} {prose(i, 5)}" for i in range(5)), *(prose(50 + i, 40) for i in range(200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = {r["term"] for r in privacy.disclosing_terms(docs).collect()}
+    assert {f"v{i}" for i in range(300)} <= terms and "w7" not in terms
+    assert sizes["protected"] == 1 and sizes["guarded"] == 5 and max(sizes.values()) < 10_000
+
+
 def test_privacy_edges(edge_docs, make):
     rows = privacy.find(edge_docs).collect()
     assert len(rows) == edge_docs.count()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import SEARCH_COLUMNS, SORTABLE_COLUMNS, STAR_CREDIT_TYPE
 from ..functions.columns import avg_exact, exact_sum, money_exact, month_label, month_start, text_match
-from .rolling import rolling_rows
+from .paging import page_by_rank
+from .rolling import rolling_range, rolling_rows
 
 AMOUNT = "transaction_amount"
 DATE = "transaction_date"
@@ -35,6 +36,13 @@ def rolling_rate(fact: DataFrame, rows: int = 7, parts: int | None = None) -> Da
                     (F.lit(100.0) * F.col("_sum_credit") / F.col("_rows")).alias("fraud_rate_percent"))
 
 
+def rolling_rate_range(fact: DataFrame, days: int = 6, parts: int | None = None) -> DataFrame:
+    """A2 in event time: share (%) of ``Credit`` rows among the rows of up to ``days`` days before each row, and at its time."""
+    r = rolling_range(fact.select("transaction_id", DATE, "transaction_type"), DATE,
+                      {"credit": (F.col("transaction_type") == STAR_CREDIT_TYPE).cast("long")}, days * 86_400, parts)
+    return r.select("transaction_id", DATE, (F.lit(100.0) * F.col("_sum_credit") / F.col("_rows")).alias("rate_percent"))
+
+
 def rolling_rate_daily(fact: DataFrame, days: int = 7) -> DataFrame:
     """A3: per day, the credit share over the last ``days`` calendar days.
 
@@ -180,6 +188,16 @@ def transaction_page(fact: DataFrame, search: str = "", page: int = 1, per_page:
     return ordered.limit(per_page).select(*PAGE_COLUMNS)
 
 
+def transaction_page_deep(fact: DataFrame, search: str = "", page: int = 1, per_page: int = 15, sort_by: str = DATE,
+                          sort_dir: str = "desc", channel: str | None = None) -> DataFrame:
+    """A13 / A14 for pages of any depth: the rows of ``transaction_page``, found by counting ranks (``paging``),
+    not by an offset whose rows all go to one task."""
+    sort_by = sort_by if sort_by in SORTABLE_COLUMNS else DATE
+    per_page = min(100, max(5, int(per_page)))
+    df = _page_filter(fact, search, channel)
+    return page_by_rank(df, sort_by, "transaction_id", sort_dir != "asc", (max(1, int(page)) - 1) * per_page, per_page).select(*PAGE_COLUMNS)
+
+
 def page_info(fact: DataFrame, search: str = "", per_page: int = 15, channel: str | None = None,
               page: int = 1) -> DataFrame:
     """Total matching rows and number of pages (>= 1)."""

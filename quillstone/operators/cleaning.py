@@ -4,8 +4,8 @@ Statistics are a few numbers for each column, computed with aggregates in jobs
 that cover all columns at once, and applied as literals: no join is needed.
 
 * K1 / K2: quantiles are exact with linear interpolation (as pandas) and never
-  hold a list of values (``exact_quantiles``): a few counting passes, each over
-  all columns at once, narrow the interval of values that holds a wanted rank.
+  hold a list of values (``exact_quantiles``): a sketch of all columns in one pass
+  bounds each wanted rank by an interval of values, a second pass makes it exact.
 * K3: the mode is a distributed ``groupBy(value).count()`` followed by a
   ``min_by`` on (-count, value): the lowest value wins a tie, as in pandas.
   Its memory does not grow with the number of distinct values.
@@ -14,11 +14,15 @@ that cover all columns at once, and applied as literals: no join is needed.
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import any_of
+from ..session import scratch_path
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -30,53 +34,104 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = 4096) -> dict[str, list[float | None]]:
+#: KLL sketches: their size, and how far (of all rows) a quantile may lie from its rank; a wider miss is noticed and costs one more pass.
+SKETCH_K, SKETCH_ERROR = 2000, 0.004
+#: Value counts that are brought to the driver at once; beyond it an interval is cut further on the cluster.
+FEW = 20_000
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: int = FEW) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns (pandas ``quantile``), exact.
 
-    Each wanted rank is found by narrowing an interval of values. One job counts,
-    for all intervals at once, the values in each of ``bins`` equal parts and takes
-    each part's smallest and largest value; the part that holds the rank becomes the
-    next interval, and a part with a single distinct value is the answer. So ties
-    cost nothing, no list of values exists anywhere, and a job returns at most
-    ``bins`` rows for each interval, whatever the data. Nulls and NaN are left out.
+    One job sketches all columns (mergeable KLL sketches) and gives every wanted rank an
+    interval of values. One more counts, for all intervals at once, the rows below each
+    and its distinct values, so the answer is exact. If the intervals hold more than ``bins``
+    distinct values these are stored with their counts in ranges of the value and a third job
+    reads the range with the rank. Memory never grows with the data; ties cost nothing.
+    Nulls and NaN are left out.
     """
     if not cols:
         return {}
     x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    first = df.agg(*[f(x[c]).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    points = sorted({q for p in probs for q in (max(0.0, p - SKETCH_ERROR), min(1.0, p + SKETCH_ERROR))})
+    sketches = df.agg(*[a.alias(f"{n}{i}") for i, c in enumerate(cols) for n, a in (
+        ("n", F.count(x[c])), ("lo", F.min(x[c])), ("hi", F.max(x[c])), ("s", F.kll_sketch_agg_double(x[c], SKETCH_K)))])
+    read = [F.when(F.col(f"n{i}") > 0, F.array(*[F.kll_sketch_get_quantile_double(f"s{i}", F.lit(q)) for q in points])).alias(f"q{i}") for i in range(len(cols))]
+    first = sketches.select("*", *read).drop(*[f"s{i}" for i in range(len(cols))]).first()
     counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
-    ranks = {c: sorted({r for p in probs for r in _ranks(p, counts[c])}) for c in cols if counts[c]}
-    found: dict[tuple[str, int], float] = {}
-    # interval -> (wanted rank, rank within the interval)
-    todo = {(c, first[f"lo{i}"], first[f"hi{i}"]): [(r, r) for r in ranks[c]] for i, c in enumerate(cols) if counts[c]}
-    while todo:
-        for interval in [t for t in todo if t[1] == t[2]]:
-            found.update({(interval[0], r): interval[1] for r, _ in todo.pop(interval)})
-        if not todo:
-            break
-        intervals = list(todo)
-        parts = F.array_compact(F.array(*[
-            F.when(x[c].between(lo, hi), F.struct(F.lit(k).alias("k"), _part(x[c], lo, hi, bins).alias("part"), x[c].alias("x")))
-            for k, (c, lo, hi) in enumerate(intervals)]))
-        rows = (df.select(F.explode(parts).alias("v")).groupBy("v.k", "v.part")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v.x").alias("lo"), F.max("v.x").alias("hi")).collect())
-        rows.sort(key=lambda r: (r["k"], r["part"]))
-        after: dict[tuple[str, float, float], list[tuple[int, int]]] = {}
-        for k, interval in enumerate(intervals):
-            below = 0
-            for r in (r for r in rows if r["k"] == k):
-                inside = [(w, at - below) for w, at in todo[interval] if below <= at < below + r["n"]]
-                if inside:
-                    after[(interval[0], r["lo"], r["hi"])] = inside
-                below += r["n"]
-        todo = after
+    wanted: list[tuple[str, int, int]] = []  # column, the ranks around a quantile
+    intervals: list[tuple[str, float, float]] = []
+    for i, c in enumerate(cols):
+        for p in probs if counts[c] else []:
+            low, high = _ranks(p, counts[c])
+            lo, hi = (dict(zip(points, first[f"q{i}"]))[q] for q in (max(0.0, p - SKETCH_ERROR), min(1.0, p + SKETCH_ERROR)))
+            # few rows: the sketch is exact but for the ranks' rounding, so take its neighbours' place by the ends
+            exact_ends = counts[c] * SKETCH_ERROR < 2
+            wanted.append((c, low, high))
+            intervals.append((c, first[f"lo{i}"] if exact_ends or p <= SKETCH_ERROR else lo, first[f"hi{i}"] if exact_ends or p >= 1 - SKETCH_ERROR else hi))
+    found = _at_ranks(df, x, wanted, intervals, bins)
+    missed = [k for k, v in found.items() if v is None]
+    if missed:  # a sketch was further off than it should be: the whole range of values holds the rank
+        ends = {c: (first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
+        again = _at_ranks(df, x, [wanted[k] for k in missed], [(wanted[k][0], *ends[wanted[k][0]]) for k in missed], bins)
+        found.update({missed[j]: v for j, v in again.items()})
+    answers = iter(found[k] for k in range(len(wanted)))
     out: dict[str, list[float | None]] = {}
     for c in cols:
         n = counts[c]
-        out[c] = [None] * len(probs)
-        for j, p in enumerate(probs if n else []):
-            lo, hi = (found[(c, r)] for r in _ranks(p, n))
-            out[c][j] = _between(lo, hi, p * (n - 1) - int(p * (n - 1)))
+        out[c] = [_between(*next(answers), p * (n - 1) - int(p * (n - 1))) if n else None for p in probs]
+    return out
+
+
+def _at_ranks(df: DataFrame, x: dict[str, Column], wanted: list[tuple[str, int, int]],
+              intervals: list[tuple[str, float, float]], bins: int) -> dict[int, tuple[float, float] | None]:
+    """For each wanted (column, low rank, high rank) the values there; None if its interval does not hold both."""
+    if not wanted:
+        return {}
+    # rows below an interval are counted under a null value
+    parts = F.array_compact(F.array(*[
+        F.when(x[c] <= hi, F.struct(F.lit(k).alias("k"), F.when(x[c] >= lo, x[c]).alias("x"))) for k, (c, lo, hi) in enumerate(intervals)]))
+    per_value = df.select(F.explode(parts).alias("v")).groupBy("v.k", "v.x").agg(F.count(F.lit(1)).alias("n"))
+    few = per_value.limit(bins + 1).collect()
+    if len(few) <= bins:
+        return _picked(few, wanted)
+    spark = df.sparkSession
+    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "quillstone", f"quantiles-{uuid.uuid4().hex}")
+    per_value.repartitionByRange(parts_n, F.col("k"), F.col("x").asc_nulls_first()).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    totals: dict[int, list] = {}
+    for r in stored.groupBy("k", "part").agg(F.sum("n").alias("n")).orderBy("k", "part").collect():
+        totals.setdefault(r["k"], []).append((r["part"], r["n"]))
+    # (interval, part, rank, rank within the part)
+    places = []
+    for k, (_, low, high) in enumerate(wanted):
+        below = 0
+        for part, n in totals.get(k, []):
+            places += [(k, part, rank, rank - below) for rank in {low, high} if below <= rank < below + n]
+            below += n
+    upto = F.sum("n").over(Window.partitionBy("k", "part").orderBy(F.col("x").asc_nulls_first()))
+    hit = any_of([(F.col("k") == k) & (F.col("part") == part) for k, part, _, _ in places])
+    here = any_of([(F.col("k") == k) & (F.col("part") == part) & (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at) for k, part, _, at in places])
+    rows = stored.where(hit).withColumn("upto", upto).where(here).collect()
+    values = {(k, rank): r["x"] for k, part, rank, at in places for r in rows if (r["k"], r["part"]) == (k, part) and r["upto"] - r["n"] <= at < r["upto"]}
+    got = lambda k, rank: values.get((k, rank))
+    return {k: (got(k, low), got(k, high)) if got(k, low) is not None and got(k, high) is not None else None for k, (_, low, high) in enumerate(wanted)}
+
+
+def _picked(rows: list, wanted: list[tuple[str, int, int]]) -> dict[int, tuple[float, float] | None]:
+    by_interval: dict[int, list] = {}
+    for r in rows:
+        by_interval.setdefault(r["k"], []).append((r["x"] is not None, r["x"] if r["x"] is not None else 0.0, r["n"]))
+    out: dict[int, tuple[float, float] | None] = {}
+    for k, (_, low, high) in enumerate(wanted):
+        below, values = 0, {}
+        for known, value, n in sorted(by_interval.get(k, [])):
+            for rank in (low, high):
+                if known and below <= rank < below + n:
+                    values[rank] = value
+            below += n
+        out[k] = (values[low], values[high]) if low in values and high in values else None
     return out
 
 
@@ -91,13 +146,6 @@ def _ranks(p: float, n: int) -> tuple[int, int]:
     return low, min(low + 1, n - 1)
 
 
-def _part(x: Column, lo: float, hi: float, bins: int) -> Column:
-    """Which of the equal parts of [lo, hi] a value falls into (halved where the width would not be finite)."""
-    half = 1.0 if math.isfinite(hi - lo) else 0.5
-    share = (x * half - F.lit(lo * half)) / F.lit(hi * half - lo * half)
-    return F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))
-
-
 def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
     """The columns that hold at least one null (one small aggregate job)."""
     if not cols:

@@ -61,7 +61,7 @@ def home_states(accounts: DataFrame, customers: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- features
 
-def _bucket_roles(cfg: RuleConfig) -> tuple[Column, Column]:
+def bucket_roles(cfg: RuleConfig) -> tuple[Column, Column]:
     """(bucket, array of (bucket, role)) for a row; role R = real, N/P = ghost."""
     bucket_us = cfg.bucket_seconds * 1_000_000
     gap_us = cfg.rapid_seconds * 1_000_000
@@ -114,7 +114,7 @@ def rule_features(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
     w_in = singles.withColumns({"_n": F.lit(1).cast("long"), "_rep": F.lit(False)}) \
         .unionByName(reps, allowMissingColumns=True)
 
-    _, roles = _bucket_roles(cfg)
+    _, roles = bucket_roles(cfg)
     x = w_in.select("*", F.explode(roles).alias("_r")).select(
         "*", F.col("_r.pb").alias("_pb"), F.col("_r.role").alias("_role")).drop("_r")
     x = x.repartition("account_id", "_pb")
@@ -242,6 +242,31 @@ def independent_anomalies(raw: DataFrame, accounts: DataFrame, customers: DataFr
             .select("transaction_id", "account_id", "_h.anomaly_type", "_h.severity", "_h.description"))
 
 
+def single_rule(raw: DataFrame, accounts: DataFrame, customers: DataFrame, rule: str,
+                cfg: RuleConfig = DEFAULT_RULES) -> DataFrame:
+    """One independent rule alone: (transaction_id, account_id) of the rows that break it.
+
+    Only the rapid rule needs the ordered windows; copies need the aggregate on their key, the
+    others a filter (and the account lookup).
+    """
+    ids = ["transaction_id", "account_id"]
+    if rule == "HIGH_AMOUNT":
+        return raw.where(F.col("amount") > F.lit(cfg.high_amount)).select(*ids)
+    if rule == "NEGATIVE_BALANCE":
+        return raw.where(F.col("balance_after") < 0).select(*ids)
+    if rule == "DUPLICATE":
+        groups = (raw.groupBy(*COPY_KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("transaction_id").alias("_first_id"))
+                  .where(F.col("_n") > 1).select(*[F.col(k).alias(f"_g_{k}") for k in COPY_KEY], "_first_id"))
+        same = [raw[k].eqNullSafe(groups[f"_g_{k}"]) for k in COPY_KEY]
+        return raw.join(groups, same).where(F.col("transaction_id") != F.col("_first_id")).select(*ids)
+    if rule == "RAPID_TRANSACTIONS":
+        f = rule_features(raw, accounts, customers, cfg, copy_lag=True)
+        return f.where(F.col("_prev_ts").isNotNull() & F.col("_within")).select(*ids)
+    j = raw.join(home_states(accounts, customers), "account_id", "left")
+    broken = {"INVALID_ACCOUNT": F.col("_known").isNull(), "LOCATION_MISMATCH": _location_mismatch(strict_blank=False) & F.col("_known")}[rule]
+    return j.where(F.coalesce(broken, F.lit(False))).select(*ids)
+
+
 # ---------------------------------------------------------------- Q3 / Q4 / Q5
 
 def anomalies(tagged: DataFrame, run_ts: _dt.datetime | None = None) -> DataFrame:

@@ -73,6 +73,32 @@ def monthly_summary(tx: DataFrame) -> DataFrame:
             .orderBy("month"))
 
 
+# ---------------------------------------------------------------- V1-V6 together
+
+#: The groupings of V1 to V4 and V6, months by channel, and the total.
+SETS = [["day"], ["month"], ["branch_id"], ["segment"], ["channel"], ["month", "channel"], []]
+
+
+def grouped_summary(accounts: DataFrame, segments: DataFrame, tx: DataFrame, sets: list[list[str]] | None = None) -> DataFrame:
+    """Successful volume over several groupings at once: the ledger is summed to (account, day, channel)
+    first, and these rows are expanded once for all groupings, not aggregated once for each.
+
+    ``grouping`` has a bit for each of day, month, branch_id, segment, channel (1: summed over), so that a
+    null that is summed over differs from a null value.
+    """
+    keys = ["day", "month", "branch_id", "segment", "channel"]
+    ok = succeeded()
+    per = tx.where(ok).groupBy("account_id", day_of("transaction_timestamp").alias("day"), "channel").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("v"), F.sum(debit_amount()).alias("d"), F.sum(credit_amount()).alias("c"))
+    placed = per.join(accounts.select("account_id", "branch_id", "customer_id"), "account_id", "left") \
+        .join(segments.select("customer_id", "segment"), "customer_id", "left")
+    placed = placed.withColumn("month", F.date_format("day", "yyyy-MM"))
+    out = placed.groupingSets([[F.col(c) for c in s] for s in sets or SETS], *[F.col(c) for c in keys]).agg(
+        F.grouping_id().cast("long").alias("grouping"), F.sum("n").alias("transaction_count"), F.sum("v").alias("_v"), F.sum("d").alias("_d"), F.sum("c").alias("_c"))
+    return out.select("grouping", *keys, "transaction_count", money("_v").alias("total_value"), money("_d").alias("total_debit"),
+                      money("_c").alias("total_credit"))
+
+
 # ---------------------------------------------------------------- V3
 
 def branch_performance(branches: DataFrame, accounts: DataFrame, tx: DataFrame) -> DataFrame:

@@ -20,18 +20,23 @@ from ..operators import analytics as A
 from ..operators import constraints as CK
 from ..operators import dashboard as D
 from ..operators import joins as J
+from ..operators import partials as P
+from ..operators import postings as NG
 from ..operators import quality as Q
 from ..operators import trends as T
 from ..operators import views as V
+from ..config import RuleConfig
 from ..operators.cleaning import clip_iqr, impute_median, impute_mode
 from ..operators.segments import segment_breakdown, segment_customers
 from ..operators.star import normalise_columns
 from ..schemas import BRANCHES, TRANSACTION_COLUMNS
 from ..session import scratch_path
+from ..sinks.commits import publish, read_runs, run_log
+from ..sinks.tables import RunResult, export_csv, write_table
 from ..sources.fixtures import CLEANING_NUMERIC, CLEANING_TEXT, driver_table
 from ..sources.tables import read_csv, read_table, table_exists, to_raw_schema
 from .context import Ledger, session_ledger
-from .reports import executive_brief, report_manifest, risk_tiering
+from .reports import executive_brief, report_manifest, risk_tiering, write_reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -146,6 +151,13 @@ def _f5(spark, sf):
         "transaction_id", "location", "channel")
 
 
+@query("text_search_indexed")
+def _f5i(spark, sf):
+    fact = L(spark, sf).fact
+    root = _once(spark, sf, "postings", lambda root: NG.build(fact, "transaction_id", C.SEARCH_COLUMNS, root))
+    return NG.search(fact, "transaction_id", C.SEARCH_COLUMNS, root, "nation_1").select("transaction_id", "location", "channel")
+
+
 @query("equality_param")
 def _f6(spark, sf):
     return L(spark, sf).raw.where(X.equals("channel", "POS")).select("transaction_id", "channel", "amount")
@@ -288,6 +300,18 @@ def _q2(spark, sf):
     return L(spark, sf).tagged.select(*_ANOM_COLS)
 
 
+def _single(rule):
+    def fn(spark, sf):
+        led = L(spark, sf)
+        return Q.single_rule(led.raw, led.accounts, led.customers, rule)
+    return fn
+
+
+for _key, _rule in {"dq_high_amount": "HIGH_AMOUNT", "dq_invalid_account": "INVALID_ACCOUNT", "dq_negative_balance": "NEGATIVE_BALANCE",
+                    "dq_duplicate": "DUPLICATE", "dq_rapid": "RAPID_TRANSACTIONS", "dq_location": "LOCATION_MISMATCH"}.items():
+    query(_key)(_single(_rule))
+
+
 @query("dq_anomalies")
 def _q3(spark, sf):
     return L(spark, sf).anomalies.drop("anomaly_id")
@@ -505,6 +529,138 @@ def _v12(spark, sf):
     return V.customer_risk_summary(led.customers, led.segments, led.accounts, led.tx, led.anomalies)
 
 
+@query("v_grouping_sets")
+def _v_sets(spark, sf):
+    led = L(spark, sf)
+    return V.grouped_summary(led.accounts, led.segments, led.tx)
+
+
+def _published(spark, sf) -> str:
+    """A root with three published runs, each a third of the days, the second in place of a run that had other rows;
+    written once for each session and data directory."""
+    return _once(spark, sf, "published", lambda root: _publish_thirds(spark, L(spark, sf), root))
+
+
+def _once(spark, sf, name, write) -> str:
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    if key not in _WRITTEN:
+        root = scratch_path(spark, "quillstone", f"{name}-{uuid.uuid4().hex}")
+        write(root)
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _publish_thirds(spark, led: Ledger, root: str) -> None:
+    def result(third, run_id):
+        tx = led.tx.where(F.pmod(F.unix_date(F.to_date("transaction_timestamp")), F.lit(3)) == third)
+        found = led.anomalies.where(F.pmod("transaction_id", F.lit(3)) == third)
+        return RunResult(tx, found, led.runs.withColumn("run_id", F.lit(run_id).cast("long")))
+
+    state, version = None, 0
+    for run_id, third, replace in ((1, 0, False), (2, 2, False), (3, 2, False), (2, 1, True)):
+        done = publish(spark, result(third, run_id), root, run_id, replace, files_per_month=1)
+        P.keep_state(spark, done)
+        state = P.state_at(spark, root) if state is None else P.advanced(spark, root, state, version)
+        version = done.version
+        state.write.parquet(f"{root}/merged/version={version}")
+        state = spark.read.parquet(f"{root}/merged/version={version}")
+
+
+def _merged_state(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{_published(spark, sf)}/merged/version=4")
+
+
+@query("v_daily_incremental")
+def _v1i(spark, sf):
+    return P.daily_summary(_merged_state(spark, sf))
+
+
+@query("v_monthly_incremental")
+def _v2i(spark, sf):
+    return P.monthly_summary(_merged_state(spark, sf))
+
+
+@query("v_channel_incremental")
+def _v6i(spark, sf):
+    return P.channel_performance(_merged_state(spark, sf))
+
+
+@query("v_failed_incremental")
+def _v10i(spark, sf):
+    return P.failed_transactions_summary(_merged_state(spark, sf))
+
+
+@query("v_anomaly_incremental")
+def _v11i(spark, sf):
+    return P.anomaly_summary(spark, _published(spark, sf))
+
+
+# ============================================================ sinks (SNK): written, and read back
+
+@query("append_table")
+def _snk1(spark, sf):
+    root, raw = scratch_path(spark, "quillstone", f"append-{uuid.uuid4().hex}"), L(spark, sf).raw
+    for part in (0, 1):
+        write_table(raw.where(F.pmod("transaction_id", F.lit(2)) == part), root, "raw", "transactions")
+    return read_table(spark, root, "raw", "transactions", columns=["transaction_id", "channel", "amount"])
+
+
+@query("replace_table")
+def _snk2(spark, sf):
+    root, raw = scratch_path(spark, "quillstone", f"replace-{uuid.uuid4().hex}"), L(spark, sf).raw
+    write_table(raw.where("channel = 'ATM'"), root, "raw", "transactions", mode="overwrite")
+    write_table(raw.where("channel <> 'ATM'"), root, "raw", "transactions", mode="overwrite")
+    return read_table(spark, root, "raw", "transactions", columns=["transaction_id", "channel", "amount"])
+
+
+@query("publish_run")
+def _snk3(spark, sf):
+    return read_runs(spark, _published(spark, sf), "core/transactions").select(*TRANSACTION_COLUMNS)
+
+
+@query("append_run_log")
+def _snk4(spark, sf):
+    return run_log(spark, _published(spark, sf)).drop("run_started_at", "run_completed_at")
+
+
+@query("export_csv")
+def _snk5(spark, sf):
+    root, df = scratch_path(spark, "quillstone", f"csv-{uuid.uuid4().hex}"), L(spark, sf).customers
+    export_csv(df, root)
+    return read_csv(spark, root, schema=df.schema)
+
+
+@query("report_bundle")
+def _snk6(spark, sf):
+    return spark.read.parquet(f"{_reports(spark, sf)}/*/_manifest")
+
+
+def _reports(spark, sf) -> str:
+    """The four reports, written once for each session and data directory."""
+    return _once(spark, sf, "reports", lambda root: write_reports(spark, L(spark, sf), root))
+
+
+def _sheet(report, sheet):
+    def fn(spark, sf):
+        return spark.read.parquet(f"{_reports(spark, sf)}/{report}/{sheet.replace(' ', '_')}").drop("anomaly_id")
+    return fn
+
+
+#: Key -> report and sheet: what was written, read back.
+SHEETS = {
+    "sheet_monthly_summary": ("report_monthly", "Monthly Summary"), "sheet_channel_breakdown": ("report_monthly", "Channel Breakdown"),
+    "sheet_branch_overview": ("report_monthly", "Branch Overview"), "sheet_cohort_metrics": ("report_segments", "Cohort Metrics"),
+    "sheet_risk_tiering": ("report_segments", "Risk Tiering"), "sheet_quarantined_records": ("report_anomalies", "Quarantined Records"),
+    "sheet_summary_by_type": ("report_anomalies", "Summary by Type"), "sheet_validation_runs": ("report_data_quality", "Validation Runs"),
+    "sheet_category_integrity": ("report_data_quality", "Category Integrity"),
+}
+for _key, _place in SHEETS.items():
+    query(_key)(_sheet(*_place))
+
+
 # ============================================================ star analytics (A)
 
 def _a1(led: Ledger) -> DataFrame:
@@ -521,6 +677,11 @@ def _qa2(spark, sf):
     return A.rolling_rate(L(spark, sf).fact, 7)
 
 
+@query("rolling_rate_range")
+def _qa2r(spark, sf):
+    return A.rolling_rate_range(L(spark, sf).fact, 6)
+
+
 @query("rolling_rate_daily")
 def _qa3(spark, sf):
     return A.rolling_rate_daily(L(spark, sf).fact, 7)
@@ -582,6 +743,16 @@ def _qa13(spark, sf):
                           "account_balance": X.money_dec("account_balance")})
 
 
+@query("transaction_page_deep")
+def _qa13d(spark, sf):
+    """The page in the middle of the listing: its offset grows with the table."""
+    fact = L(spark, sf).fact
+    pages = A.page_info(fact, per_page=15).first()["total"] // 15
+    p = A.transaction_page_deep(fact, page=pages // 2 + 1, per_page=15, sort_by="transaction_amount", sort_dir="desc")
+    return p.withColumns({"transaction_amount": X.money_dec("transaction_amount"),
+                          "account_balance": X.money_dec("account_balance")})
+
+
 @query("transaction_page_info")
 def _qa13b(spark, sf):
     return A.page_info(L(spark, sf).fact, search="NATION_1", per_page=15, page=2)
@@ -727,6 +898,36 @@ def _s2(spark, sf):
     return spark.read.parquet(out)
 
 
+def _timed(spark, sf, name, landing):
+    """S2 by buckets of a day and timers, over a landing; the landed rows and the decided ones."""
+    from ..schemas import TRANSACTIONS
+    from ..streaming.rules import read_transaction_stream, run_available_now
+    from ..streaming.timers import first_match_by_timers, timer_store
+    led = L(spark, sf)
+    _, out, ck = _stream_dirs(spark, name)
+    with timer_store(spark):
+        run_available_now(first_match_by_timers(read_transaction_stream(spark, landing), led.accounts, led.customers, _DAYS), out, ck)
+    return spark.read.schema(TRANSACTIONS).parquet(landing), spark.read.parquet(out)
+
+
+_DAYS = RuleConfig(bucket_seconds=86_400)
+
+
+@query("stream_first_match_timers")
+def _s2t(spark, sf):
+    return _timed(spark, sf, "s2t", L(spark, sf).stream_landing)[1]
+
+
+@query("stream_first_match_corrected")
+def _s2c(spark, sf):
+    """Over a landing in no order of time: what the stream decides, with the corrections for rows that came too late."""
+    from ..streaming import timers
+    led = L(spark, sf)
+    landed, decided = _timed(spark, sf, "s2c", led.shuffled_landing)
+    late = timers.missing_rows(landed, decided)
+    return timers.corrected(decided, timers.corrections(landed, decided, late, led.accounts, led.customers, _DAYS))
+
+
 @query("stream_channel_volume")
 def _s3(spark, sf):
     from ..streaming.rules import channel_volume_stream, run_available_now

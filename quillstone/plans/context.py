@@ -137,6 +137,14 @@ class Ledger:
         return land_files(stored, scratch_path(self.spark, "quillstone", self._run_dir, "landing"))
 
 
+    @cached_property
+    def shuffled_landing(self) -> str:
+        """A landing folder with the stream input in no order of time, and the end-of-input row."""
+        from ..streaming.rules import land_shuffled
+        stored = self._stored("stream_input_shuffled", self.fx.stream_input(), spread=True)
+        return land_shuffled(stored, scratch_path(self.spark, "quillstone", self._run_dir, "landing-shuffled"))
+
+
 _SESSION_LEDGERS: dict[tuple[str, str], Ledger] = {}
 
 

@@ -62,8 +62,7 @@ def land_files(df: DataFrame, path: str, n_slices: int = 4, parts: int | None =
     stream has read it, the watermark has passed every row and window, so nothing stays
     undecided. The streams below give no result for that row itself.
     """
-    spark = df.sparkSession
-    parts = parts or slice_parts(spark)
+    parts = parts or slice_parts(df.sparkSession)
     us = F.unix_micros(F.col("transaction_timestamp").cast("timestamp"))
     probs = [i / n_slices for i in range(1, n_slices)]
     row = df.agg(F.percentile_approx(us, probs, 10000).alias("cuts"), F.max("transaction_timestamp").alias("last")).first()
@@ -75,11 +74,25 @@ def land_files(df: DataFrame, path: str, n_slices: int = 4, parts: int | None =
         if hi is not None:
             cond = cond & (us < F.lit(hi))
         df.where(cond).repartition(parts).write.mode("append").parquet(path)
-    if row["last"] is not None:
+    land_end(df, path, row["last"])
+    return path
+
+
+def land_end(df: DataFrame, path: str, last) -> None:
+    """The end-of-input row of a landing whose newest row is of ``last`` (none for an empty one)."""
+    if last is not None:
         end = {c: F.lit(None).cast(t) for c, t in df.dtypes}
-        end |= {"transaction_timestamp": F.timestamp_add("DAY", F.lit(END_AFTER_DAYS), F.lit(row["last"]).cast("timestamp_ntz")),
+        end |= {"transaction_timestamp": F.timestamp_add("DAY", F.lit(END_AFTER_DAYS), F.lit(last).cast("timestamp_ntz")),
                 "status": F.lit(END_OF_INPUT)}
-        spark.range(1, numPartitions=1).select(*[c.alias(n) for n, c in end.items()]).write.mode("append").parquet(path)
+        df.sparkSession.range(1, numPartitions=1).select(*[c.alias(n) for n, c in end.items()]).write.mode("append").parquet(path)
+
+
+def land_shuffled(df: DataFrame, path: str, n_slices: int = 4, parts: int | None = None) -> str:
+    """A landing whose slices each hold rows of all times: most rows of the later ones come behind the watermark."""
+    parts = parts or slice_parts(df.sparkSession)
+    for i in range(n_slices):
+        df.where(F.pmod(F.xxhash64("transaction_id"), F.lit(n_slices)) == i).repartition(parts).write.mode("append").parquet(path)
+    land_end(df, path, df.agg(F.max("transaction_timestamp")).first()[0])
     return path
 
 

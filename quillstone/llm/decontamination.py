@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words are counted over all documents.
-2. The benchmark's passages become TF-IDF rows. A randomised SVD, whose products with
-   the matrix are Spark jobs over its rows, gives a latent space for every SPACE passages,
-   of as many dimensions as passages: each keeps its whole norm, whatever the benchmark.
+2. The benchmark's passages become TF-IDF rows, dealt into spaces of about SPACE. One job
+   fits all spaces, a randomised SVD each, and keeps as few dimensions as leave every passage
+   KEPT of its norm: words that passages have together share a direction, so that a window
+   may be near a passage of whose rare words it has none.
 3. Every window of every whole document is folded into the latent spaces; windows whose
-   cosine with a benchmark passage reaches `MIN_COSINE` are candidates (the window's
-   length in the cosine is that of its full TF-IDF vector, so that words which no
-   passage has count against it; but rare words around a short or frequent passage do
-   not: no more than the passage's own length counts for the threshold). A word-for-word
-   copy stays above it: of the three windows that hold 48 words one has a third of the weight.
+   cosine with a benchmark passage reaches `MIN_COSINE`, times the share of its norm which that
+   passage has kept, are candidates (the window's length in the cosine is that of its full
+   TF-IDF vector, so that words which no passage has count against it; but rare words
+   around a short or frequent passage do not: no more than the passage's own length counts
+   for the threshold). A word-for-word copy stays above it: projections of the windows that
+   hold 48 words add up to the passage's, so one of three has a third of it.
 4. A candidate is confirmed by the longest common subsequence of words between the
    passage, and also its whole item, and the text around the window: it is a leak if it
    has `VERBATIM` of the words of either in order, or, as a paraphrase, `PARAPHRASE` of
@@ -17,9 +19,10 @@
    have no answer apart: `PARAPHRASE` of their words is enough. Passages overlap so that
    a quotation of PASSAGE words from anywhere in an item has VERBATIM of some passage.
 
-Documents are read where they are: only counts, and for each document its verdict,
-leave a task. The benchmark is the stated query set; it is searched in blocks of
-`BLOCK` passages, so that what is broadcast is bounded whatever its size.
+Documents are read where they are: only counts, and the digests of leaked texts with
+their verdicts, leave a task. The benchmark is the stated query set; it is searched in
+blocks of BLOCK passages, one pass each, so that what the driver and a task hold
+is a block, whatever its size: fitted spaces are rows of a table until then.
 
 Defined results: null, empty and wordless texts are clean; benchmark items with a null or
 wordless text match nothing; with no items every document is clean, and an empty table
@@ -46,8 +49,10 @@ from quillstone.llm.common import by_value, free_name, read, small_batches, stor
 TERMS = 1 << 16
 OVERSAMPLE = 10
 POWER_STEPS = 1
-#: Benchmark passages of one latent space, and of all those that one search holds (about: dealt by hash).
-SPACE, BLOCK = 256, 1024
+#: The least share of its norm that a passage keeps in its latent space.
+KEPT = 0.7
+#: Benchmark passages of one latent space (about: dealt by hash), and of all those that one search holds; neighbours of an item that stay together.
+SPACE, BLOCK, TOGETHER = 256, 1024, 16
 #: Words of a window and of the step between windows; benchmark passages are cut to PASSAGE words, one every STRIDE words.
 WINDOW, STEP, PASSAGE, STRIDE = 24, 12, 48, 16
 MIN_COSINE = 0.3
@@ -195,98 +200,52 @@ def passages(items: DataFrame, idf: np.ndarray) -> DataFrame:
     return known.mapInPandas(cut, "item_id long, at int, norm double, terms array<int>, values array<float>")
 
 
-def on_worker(spark: SparkSession, f, *arrays: np.ndarray) -> np.ndarray:
-    """`f` of a few small arrays, run in a task, where Spark bounds the linear algebra's threads."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = np.asarray(f(*arrays), np.float64)
-            yield pd.DataFrame({"shape": [list(out.shape)] * len(batch), "data": [out.tobytes()] * len(batch)})
-
-    row = spark.range(1, numPartitions=1).mapInPandas(work, "shape array<long>, data binary").first()
-    return np.frombuffer(row["data"], np.float64).reshape(row["shape"])
-
-
-def times(rows: DataFrame, known: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """(A right)' (A right) for the rows A, whose columns are the `known` terms: summed over tasks."""
-    width = right.shape[1]
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            y = np.array([np.asarray(v, np.float32) @ right[np.searchsorted(known, t)] for t, v in zip(batch["terms"], batch["values"], strict=True)])
-            total += y.T.astype(np.float64) @ y
-        yield pd.DataFrame({"i": np.arange(width), "x": list(total)})
-
-    got = rows.mapInPandas(gram, "i int, x array<double>").groupBy(F.col("i") % 16).applyInPandas(add_up("i"), "i int, x array<double>").collect()
-    out = np.zeros((width, width))
-    for r in got:
-        out[r["i"]] = r["x"]
-    return out
-
-
-def add_up(key: str):
-    """Sums the vectors of each key in a group of keys."""
-
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)
-        keys = group[key].to_numpy()
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return pd.DataFrame({key: keys[first], "x": list(np.add.reduceat(np.stack(group["x"].to_numpy()), first, axis=0))})
-
-    return total
-
-
-def back(rows: DataFrame, known: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A' (A right): summed over tasks by known term; at most TERMS rows of the width of `right`."""
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for t, v in zip(batch["terms"], batch["values"], strict=True):
-                t, v = np.searchsorted(known, t), np.asarray(v, np.float32)
-                y = v @ right[t]
-                for term, value in zip(t.tolist(), v, strict=True):
-                    total[term] = total.get(term, 0) + value * y
-        if total:
-            yield pd.DataFrame({"term": list(total), "x": [x.tolist() for x in total.values()]})
-
-    summed = rows.mapInPandas(part, "term int, x array<float>").groupBy(F.col("term") % 64).applyInPandas(add_up("term"), "term int, x array<float>")
-    out = np.zeros_like(right)
-    for r in summed.toLocalIterator():
-        out[r["term"]] = r["x"]
-    return out
-
-
-def orthonormal(gram: np.ndarray) -> np.ndarray:
-    """The factor that makes Y orthonormal, from Y'Y; directions without weight vanish."""
-    value, vector = np.linalg.eigh(gram)
-    live = value > max(value.max(), 0) * 1e-9
-    return vector[:, live] / np.sqrt(value[live])
-
-
-def latent_space(rows: DataFrame, dimensions: int = SPACE, power_steps: int = POWER_STEPS) -> np.ndarray:
-    """Terms by latent dimensions: the right singular vectors of the rows, by randomised SVD."""
-    spark = rows.sparkSession
-    known = np.array(sorted(r["term"] for r in rows.select(F.explode("terms").alias("term")).distinct().collect()), np.int64)
-    space = np.zeros((TERMS, 0), np.float32)
-    probe = np.random.default_rng(7).standard_normal((len(known), dimensions + OVERSAMPLE)).astype(np.float32)
-    for _ in range(power_steps + 1):
-        factor = on_worker(spark, orthonormal, times(rows, known, probe)) if len(known) else space
-        if not factor.size:
-            return space
-        probe = back(rows, known, np.einsum("ij,jk->ik", probe, factor).astype(np.float32))
-    spread = probe  # A'Q, Q orthonormal
-
-    def right_vectors(b: np.ndarray) -> np.ndarray:
-        value, vector = np.linalg.eigh(b)
-        order = np.argsort(-value)[:dimensions]
-        order = order[value[order] > max(value.max(), 0) * 1e-9]
-        return vector[:, order] / np.sqrt(value[order])
-
-    turn = on_worker(spark, right_vectors, np.einsum("ij,ik->jk", spread, spread, dtype=np.float64))
-    space = np.zeros((TERMS, turn.shape[1]), np.float32)
-    space[known] = np.einsum("ij,jk->ik", spread, turn)
+SPACES = "space long, terms binary, basis binary, dimensions int, items array<long>, at array<int>, norms binary, kept binary, latent binary"
+
+
+def right_vectors(rows: np.ndarray, power_steps: int = POWER_STEPS) -> np.ndarray:
+    """Right singular vectors of a matrix, largest first, by a randomised range finder."""
+    probe = np.random.default_rng(7).standard_normal((rows.shape[1], len(rows) + OVERSAMPLE)).astype(np.float32)
+    found = rows @ probe
+    for _ in range(power_steps):
+        found, _ = np.linalg.qr(found)
+        found = rows @ (rows.T @ found)
+    range_of, _ = np.linalg.qr(found)
+    inside = (range_of.T @ rows).astype(np.float64)
+    value, vector = np.linalg.eigh(inside @ inside.T)
+    order = np.argsort(-value)
+    order = order[value[order] > max(value.max(), 0) * 1e-9]
+    return inside.T @ (vector[:, order] / np.sqrt(value[order]))
+
+
+def fitted(rows: DataFrame, n_spaces: int, kept: float = KEPT, most: int | None = None) -> DataFrame:
+    """SPACES: the latent spaces of all passages, in one job, each of the least dimensions (`most` at most) that leave every passage `kept` of its norm."""
+
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["item_id", "at"])
+        live, place = np.unique(np.concatenate(group["terms"].tolist()), return_inverse=True)
+        matrix = np.zeros((len(group), len(live)), np.float32)
+        matrix[np.repeat(np.arange(len(group)), [len(t) for t in group["terms"]]), place] = np.concatenate(group["values"].tolist())
+        basis = right_vectors(matrix)
+        latent = matrix @ basis
+        share = np.sqrt(np.cumsum(latent * latent, axis=1))  # a passage's row has length one
+        enough = np.flatnonzero(share.min(axis=0) >= min(kept, share[:, -1].min()))
+        dimensions = min(int(enough[0]) + 1, most or len(group))
+        latent, share = latent[:, :dimensions], np.maximum(share[:, dimensions - 1], 1e-9)
+        return pd.DataFrame({
+            "space": [key[0]], "terms": [live.astype("<i4").tobytes()], "basis": [basis[:, :dimensions].astype("<f4").tobytes()], "dimensions": [dimensions],
+            "items": [group["item_id"].tolist()], "at": [group["at"].tolist()], "norms": [group["norm"].to_numpy().astype("<f4").tobytes()],
+            "kept": [share.astype("<f4").tobytes()], "latent": [(latent / share[:, None]).astype("<f4").tobytes()]})
+
+    dealt = rows.withColumn("space", F.pmod(F.xxhash64("item_id", F.floor(F.col("at") / (STRIDE * TOGETHER))), F.lit(n_spaces)))
+    return dealt.groupBy("space").applyInPandas(fit, SPACES)
+
+
+def latent_space(rows: DataFrame, dimensions: int) -> np.ndarray:
+    """Terms by latent dimensions: the first right singular vectors of the rows, as one space."""
+    row = fitted(rows, 1, 1.0, dimensions).first()
+    space = np.zeros((TERMS, row["dimensions"]), np.float32)
+    space[np.frombuffer(row["terms"], "<i4")] = np.frombuffer(row["basis"], "<f4").reshape(-1, row["dimensions"])
     return space
 
 
@@ -315,17 +274,17 @@ def confirmed(part: list[str], answer: list[str], near: list[str], around: list[
 
 
 class Folding:
-    """What folds windows into the latent space of some passages and compares them: `index` has the passages' items, first words, lengths, terms and values."""
+    """What folds windows into one latent space (a row of SPACES) and compares them with its passages."""
 
-    def __init__(self, index: list[tuple[int, int, float, list[int], list[float]]], idf: np.ndarray, space: np.ndarray):
-        live = np.flatnonzero(np.abs(space).sum(axis=1) > 0)
+    def __init__(self, row, idf: np.ndarray):
+        live = np.frombuffer(row["terms"], "<i4")
         self.used = np.zeros(TERMS, np.int32)
         self.used[live] = np.arange(1, len(live) + 1)
-        self.table = np.vstack([np.zeros((1, space.shape[1]), np.float32), space[live] * idf[live, None]]).astype(np.float32)
-        self.owners = [(i, at) for i, at, _, _, _ in index]
-        self.norms = np.array([n for _, _, n, _, _ in index], np.float32)
-        latent = np.array([np.einsum("i,ij->j", np.asarray(v, np.float32), space[np.asarray(t)]) for _, _, _, t, v in index], np.float32).reshape(len(index), -1)
-        self.latent = latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-9)
+        basis = np.frombuffer(row["basis"], "<f4").reshape(len(live), row["dimensions"])
+        self.table = np.vstack([np.zeros((1, row["dimensions"]), np.float32), basis * idf[live, None]]).astype(np.float32)
+        self.owners = list(zip(row["items"], row["at"], strict=True))
+        self.norms, self.kept = np.frombuffer(row["norms"], "<f4"), np.frombuffer(row["kept"], "<f4")
+        self.latent = np.frombuffer(row["latent"], "<f4").reshape(len(self.owners), row["dimensions"])
 
 
 def search(text: Column, block: list[tuple[int, int | None, str]], foldings: list[Folding], idf: np.ndarray) -> Column:
@@ -357,9 +316,9 @@ def search(text: Column, block: list[tuple[int, int | None, str]], foldings: lis
                 parts += f.table[place[np.where(steps + j < ends, steps + j, -1)]]  # beyond the text: the zero row
             both = parts[first] + np.where(lone[first, None], 0, parts[second])
             # a product is at most the part of the window that lies in the latent space
-            able = np.flatnonzero(np.sqrt((both * both).sum(axis=1)) >= MIN_COSINE * np.minimum(norm, f.norms.min()))
+            able = np.flatnonzero(np.sqrt((both * both).sum(axis=1)) >= MIN_COSINE * f.kept.min() * np.minimum(norm, f.norms.min()))
             product = both[able] @ f.latent.T
-            row, passage = np.nonzero(product >= MIN_COSINE * np.minimum(norm[able, None], f.norms))
+            row, passage = np.nonzero(product >= MIN_COSINE * f.kept * np.minimum(norm[able, None], f.norms))
             found.append((owner[first[able[row]]], steps[first[able[row]]], at + passage, product[row, passage] / norm[able[row]]))
             at += len(f.owners)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -408,49 +367,48 @@ def search(text: Column, block: list[tuple[int, int | None, str]], foldings: lis
     return of(text)
 
 
-def verdicts(docs: DataFrame, items: DataFrame) -> list[Column]:
-    """One search column for each block of the benchmark, over `docs`."""
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """digest (SHA-256) of each leaked text, and the item_id, cosine and lcs of its best match."""
+    spark = docs.sparkSession
     n_docs, frequency = document_frequency(docs)
     idf = weights(n_docs, frequency)
     # an item_id may be repeated or null: a row's key is its own
-    texts = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    texts = items.where("text is not null").select(F.col("item_id").try_cast("long").alias("item_id"), "text").distinct()
     texts = stored(texts.select(F.monotonically_increasing_id().alias("key"), "item_id", "text"), "items")
     rows = stored(passages(texts.select(F.col("key").alias("item_id"), "text"), idf), "passages")
-    n_blocks = max(1, -(-rows.count() // BLOCK))
-    out = []
-    for b in range(n_blocks):
-        block = [tuple(r) for r in texts.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == b).orderBy("key").collect()]
-        inside = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b)
-        n_spaces = -(-inside.count() // SPACE)
-        foldings = []
-        for k in range(n_spaces):
-            part = inside.where(F.pmod(F.xxhash64("terms", "values"), F.lit(n_spaces)) == k)
-            index = [(r["item_id"], r["at"], r["norm"], r["terms"], r["values"]) for r in part.orderBy("item_id", "at").collect()]
-            if index:
-                foldings.append(Folding(index, idf, latent_space(part, len(index))))
-        if foldings:
-            out.append(search(docs["text"], block, foldings, idf))
-    return out
+    spaces = stored(fitted(rows, max(1, -(-rows.count() // SPACE))), "spaces")
+    sizes = [(r["space"], r["n"]) for r in spaces.select("space", F.size("items").alias("n")).orderBy("space").toLocalIterator()]
+    schema = "digest string, item_id long, cosine double, lcs double"
+    found = [spark.createDataFrame([], schema)]
+    while sizes:
+        block = [sizes.pop(0)]
+        while sizes and sum(n for _, n in block) + sizes[0][1] <= BLOCK:
+            block.append(sizes.pop(0))
+        held = spaces.where(F.col("space").isin([k for k, _ in block]))
+        wanted = held.select(F.explode("items").alias("key")).distinct()
+        said = [tuple(r) for r in texts.join(wanted, "key", "left_semi").select("key", "item_id", "text").orderBy("key").collect()]
+        foldings = [Folding(r, idf) for r in held.orderBy("space").collect()]
+        hit = docs.select(docs["text"].alias("text"), search(docs["text"], said, foldings, idf).alias("m")).where("m.lcs is not null")
+        found.append(stored(hit.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("m").alias("m")).select("digest", "m.*"), "leaks"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    order = F.struct((-F.col("lcs")).alias("l"), F.col("item_id").isNull().alias("n"), F.col("item_id").alias("i"), (-F.col("cosine")).alias("c"))
+    best = every.groupBy("digest").agg(F.min(order).alias("b"))
+    return best.select("digest", F.col("b.i").alias("item_id"), (-F.col("b.c")).alias("cosine"), (-F.col("b.l")).alias("lcs"))
 
 
 def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, all columns as they are."""
-    name = free_name(docs, "_leak")
-    for column in verdicts(docs, items):
-        docs = docs.withColumn(name, column["lcs"]).where(F.col(name).isNull()).drop(name)
-    return docs
+    name = free_name(docs, "_digest")
+    leaked = leaks(docs, items).select(F.col("digest").alias(name))
+    return docs.join(leaked, F.sha2(docs["text"], 256) == leaked[name], "left_anti")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, leaked, item_id, cosine, lcs for every document."""
-    found = docs.select("doc_id", *[c.alias(f"m{i}") for i, c in enumerate(verdicts(docs, items))])
-    blocks = [c for c in found.columns if c != "doc_id"]
-    if not blocks:
-        null = F.lit(None)
-        return found.select("doc_id", F.lit(False).alias("leaked"), null.cast("long").alias("item_id"), null.cast("double").alias("cosine"), null.cast("double").alias("lcs"))
-    ranked = [F.when(F.col(f"{m}.lcs").isNotNull(), F.struct((-F.col(f"{m}.lcs")).alias("l"), F.col(f"{m}.item_id").isNull().alias("n"), F.col(f"{m}.item_id").alias("i"), F.col(f"{m}.cosine").alias("c"))) for m in blocks]
-    best = F.least(*ranked) if len(ranked) > 1 else ranked[0]
-    return found.select("doc_id", best.alias("b")).select("doc_id", F.col("b").isNotNull().alias("leaked"), F.col("b.i").alias("item_id"), F.col("b.c").alias("cosine"), (-F.col("b.l")).alias("lcs"))
+    found = docs.select("doc_id", F.sha2(docs["text"], 256).alias("digest")).join(leaks(docs, items), "digest", "left")
+    return found.select("doc_id", F.col("lcs").isNotNull().alias("leaked"), "item_id", "cosine", "lcs")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

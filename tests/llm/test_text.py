@@ -241,6 +241,59 @@ def test_latent_space_matches_a_full_svd(spark):
     assert np.linalg.norm(dense @ space) > 0.999 * np.linalg.norm(dense @ full.T)
 
 
+def test_spaces_keep_a_share_of_every_passage(spark):
+    """Fewer dimensions than passages; every passage keeps KEPT of its norm, and one dimension less would not do."""
+    items = spark.createDataFrame([(i, prose(i, 150)) for i in range(40)], "item_id long, text string")
+    rows = decontamination.passages(items, np.ones(decontamination.TERMS, np.float32)).cache()
+    for row in decontamination.fitted(rows, 3).collect():
+        n, kept = len(row["items"]), np.frombuffer(row["kept"], "<f4")
+        assert row["dimensions"] < n and kept.min() >= decontamination.KEPT - 1e-5
+        basis = np.frombuffer(row["basis"], "<f4").reshape(-1, row["dimensions"])
+        assert np.allclose(basis.T @ basis, np.eye(row["dimensions"]), atol=1e-3)
+        live = {t: i for i, t in enumerate(np.frombuffer(row["terms"], "<i4").tolist())}
+        held = {(r["item_id"], r["at"]): r for r in rows.collect()}
+        for item, at, share in zip(row["items"], row["at"], kept, strict=True):
+            r = held[item, at]
+            latent = np.asarray(r["values"]) @ basis[[live[t] for t in r["terms"]]]
+            assert abs(np.linalg.norm(latent) - share) < 1e-3
+            assert row["dimensions"] == 1 or share >= np.linalg.norm(latent[:-1]) - 1e-6
+
+
+def test_paraphrase_without_the_rare_words(spark):
+    """Rare words are replaced by others that the benchmark has beside them: no rare word is shared, so TF-IDF misses it; the latent space does not."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(12)]
+    rare, other = [f"rare{i}" for i in range(12)], [f"other{i}" for i in range(12)]
+    item = " ".join(w for i in range(12) for w in (common[i], common[(i + 5) % 12], rare[i])[: 3 if i % 2 else 2]) + " " + " ".join(rare[::2])
+    told = item.replace("rare", "other")
+    both = [(10 + k, " ".join(f"{rare[i]} {other[i]}" for i in rng.sample(range(12), 12))) for k in range(12)]
+    docs = [(0, told)] + [(1 + i, " ".join(rng.sample(common, 12) + [f"own{i}x{j}" for j in range(20)])) for i in range(200)]
+    found = decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), *both], "item_id long, text string"))
+    assert [tuple(r) for r in found.where("leaked").select("doc_id", "item_id").collect()] == [(0, 1)]
+    n, frequency = decontamination.document_frequency(spark.createDataFrame(docs, "doc_id long, text string"))
+    idf = decontamination.weights(n, frequency)
+    bag = lambda text: np.bincount(decontamination.Splitter().words([text.encode()], 0).terms, minlength=decontamination.TERMS) * idf
+    a, b = bag(item), bag(told)
+    assert a @ b / np.sqrt((a @ a) * (b @ b)) < 0.1 * decontamination.MIN_COSINE
+
+
+def test_hundreds_of_items_in_blocks(spark, monkeypatch):
+    """Several spaces and blocks: every quoted item is found, and nothing else."""
+    monkeypatch.setattr(decontamination, "SPACE", 64)
+    monkeypatch.setattr(decontamination, "BLOCK", 512)
+    say = spoken(random.Random(14))
+    items = [(i, f"{say(35)}. {say(35)}.") for i in range(400)]
+    texts = [(i, f"{say(30)} {items[i][1] if i % 3 == 0 else ''} {say(30)}") for i in range(400)]
+    found = decontamination.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.where("leaked").collect()} == {(i, i) for i in range(0, 400, 3)}
+
+
+def test_item_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([(0, f"{prose(1, 20)} {prose(31, 30)}"), (1, prose(2, 60))], "doc_id long, text string")
+    items = spark.createDataFrame([("suite-7", prose(31, 30)), ("12", prose(32, 30))], "item_id string, text string")
+    assert [(r["leaked"], r["item_id"]) for r in decontamination.matches(docs, items).orderBy("doc_id").collect()] == [(True, None), (False, None)]
+
+
 def test_leaks_and_paraphrases(spark):
     rng = random.Random(8)
     vocabulary = [f"{a}{b}{c}" for a in "brtkmls" for b in ("an", "or", "il", "et") for c in ("do", "my", "ka", "sen", "th")]

@@ -69,11 +69,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
             exact_ends = counts[c] * SKETCH_ERROR < 2
             wanted.append((c, low, high))
             intervals.append((c, first[f"lo{i}"] if exact_ends or p <= SKETCH_ERROR else lo, first[f"hi{i}"] if exact_ends or p >= 1 - SKETCH_ERROR else hi))
-    found = _at_ranks(df, x, wanted, intervals, bins)
+    found = _at_ranks(df, x, wanted, intervals, bins, sum(2 * SKETCH_ERROR * counts[c] + 2 if counts[c] * SKETCH_ERROR >= 2 else counts[c] for c, _, _ in wanted))
     missed = [k for k, v in found.items() if v is None]
     if missed:  # a sketch was further off than it should be: the whole range of values holds the rank
         ends = {c: (first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(cols)}
-        again = _at_ranks(df, x, [wanted[k] for k in missed], [(wanted[k][0], *ends[wanted[k][0]]) for k in missed], bins)
+        again = _at_ranks(df, x, [wanted[k] for k in missed], [(wanted[k][0], *ends[wanted[k][0]]) for k in missed], bins, sum(counts[wanted[k][0]] for k in missed))
         found.update({missed[j]: v for j, v in again.items()})
     answers = iter(found[k] for k in range(len(wanted)))
     out: dict[str, list[float | None]] = {}
@@ -84,22 +84,29 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], bins: in
 
 
 def _at_ranks(df: DataFrame, x: dict[str, Column], wanted: list[tuple[str, int, int]],
-              intervals: list[tuple[str, float, float]], bins: int) -> dict[int, tuple[float, float] | None]:
-    """For each wanted (column, low rank, high rank) the values there; None if its interval does not hold both."""
+              intervals: list[tuple[str, float, float]], bins: int, expected: float) -> dict[int, tuple[float, float] | None]:
+    """For each wanted (column, low rank, high rank) the values there; None if its interval does not hold both.
+
+    ``expected``: rows in all intervals; distinct values are no more, and are brought to the driver if they are at most ``bins``.
+    """
     if not wanted:
         return {}
     # rows below an interval are counted under a null value
     parts = F.array_compact(F.array(*[
         F.when(x[c] <= hi, F.struct(F.lit(k).alias("k"), F.when(x[c] >= lo, x[c]).alias("x"))) for k, (c, lo, hi) in enumerate(intervals)]))
     per_value = df.select(F.explode(parts).alias("v")).groupBy("v.k", "v.x").agg(F.count(F.lit(1)).alias("n"))
-    few = per_value.limit(bins + 1).collect()
-    if len(few) <= bins:
-        return _picked(few, wanted)
+    if expected <= bins:
+        return _picked(per_value.collect(), wanted)
     spark = df.sparkSession
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "quillstone", f"quantiles-{uuid.uuid4().hex}")
-    per_value.repartitionByRange(parts_n, F.col("k"), F.col("x").asc_nulls_first()).withColumn("part", F.spark_partition_id()).write.parquet(path)
-    stored = spark.read.parquet(path)
+    per_value.write.parquet(f"{path}/values")
+    values_of = spark.read.schema(per_value.schema).parquet(f"{path}/values")
+    if values_of.count() <= bins:
+        return _picked(values_of.collect(), wanted)
+    dealt = values_of.repartitionByRange(parts_n, F.col("k"), F.col("x").asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(f"{path}/ranges")
+    stored = spark.read.schema(dealt.schema).parquet(f"{path}/ranges")
     totals: dict[int, list] = {}
     for r in stored.groupBy("k", "part").agg(F.sum("n").alias("n")).orderBy("k", "part").collect():
         totals.setdefault(r["k"], []).append((r["part"], r["n"]))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, BOUNDARIES = 1024, 64
+SAMPLE, BOUNDARIES = 1024, 16
 
 
 class Order:
@@ -82,7 +82,7 @@ def page_by_rank(df: DataFrame, key: str, row_id: str, descending: bool, offset:
     piece, below, held = piece_with(df, order, offset, target)
     out = piece.orderBy(*order.columns())
     skip = offset - below
-    out = (out.offset(skip) if 0 < skip and held <= target else out).limit(rows)
+    out = (out.offset(skip) if 0 < skip and held <= target else out).limit(min(rows, max(held - skip, 0)))
     missing = rows - (held - skip)
     if missing <= 0 or not held:
         return out

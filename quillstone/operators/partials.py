@@ -50,8 +50,8 @@ def _state_path(run: Commit) -> str:
 
 def keep_state(spark: SparkSession, run: Commit) -> None:
     """Write the states of a published run next to its tables (the only read of them)."""
-    ledger_state(spark.read.parquet(f"{run.path}/core/transactions")).write.mode("overwrite").parquet(f"{_state_path(run)}/ledger")
-    anomaly_state(spark.read.parquet(f"{run.path}/dq/anomalies")).write.mode("overwrite").parquet(f"{_state_path(run)}/anomalies")
+    ledger_state(run.read(spark, "core/transactions")).write.mode("overwrite").parquet(f"{_state_path(run)}/ledger")
+    anomaly_state(run.read(spark, "dq/anomalies")).write.mode("overwrite").parquet(f"{_state_path(run)}/anomalies")
 
 
 def state_at(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:

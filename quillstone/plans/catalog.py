@@ -20,6 +20,7 @@ from ..operators import analytics as A
 from ..operators import constraints as CK
 from ..operators import dashboard as D
 from ..operators import joins as J
+from ..operators import key_index as KI
 from ..operators import partials as P
 from ..operators import postings as NG
 from ..operators import quality as Q
@@ -364,6 +365,27 @@ def _c1(spark, sf):
     return CK.check_unique(L(spark, sf).raw, ["account_id", "transaction_timestamp", "amount", "transaction_type"])
 
 
+def _thirds(df: DataFrame) -> list[tuple[str, DataFrame]]:
+    return [(f"b{i}", df.where(F.pmod("transaction_id", F.lit(3)) == i)) for i in range(3)]
+
+
+@query("check_unique_batches")
+def _c1b(spark, sf):
+    raw = L(spark, sf).raw
+    index = KI.KeyIndex(spark, scratch_path(spark, "quillstone", f"key-index-{uuid.uuid4().hex}"),
+                        ["account_id", "transaction_timestamp", "amount", "transaction_type"], buckets=8)
+    return KI.unique_over_batches(index, _thirds(raw))
+
+
+@query("check_foreign_key_batches")
+def _c3b(spark, sf):
+    led = L(spark, sf)
+    index = KI.KeyIndex(spark, scratch_path(spark, "quillstone", f"key-index-{uuid.uuid4().hex}"), ["account_id"], buckets=8)
+    for i in range(2):
+        index.add(led.accounts.where(F.pmod("account_id", F.lit(2)) == i), f"p{i}")
+    return index.missing(led.raw).select("transaction_id", "account_id")
+
+
 @query("check_not_null")
 def _c2(spark, sf):
     return CK.check_not_null(L(spark, sf).raw, TRANSACTION_COLUMNS)

@@ -23,7 +23,7 @@ def led(spark):
 
 
 def result(led, run_id, third):
-    tx = led.tx.where(F.pmod("transaction_id", F.lit(3)) == third).where("transaction_timestamp < '1994-01-01'")
+    tx = led.tx.where(F.pmod("transaction_id", F.lit(3)) == third).where("transaction_timestamp >= '1997-06-01'")
     found = led.anomalies.where(F.pmod("transaction_id", F.lit(3)) == third)
     return RunResult(tx, found, led.runs.withColumn("run_id", F.lit(run_id).cast("long")))
 
@@ -82,6 +82,13 @@ def test_readers_pin_a_version(spark, led):
     assert ids == {1, 2} and C.run_log(spark, root).count() == 2
 
 
+def test_an_empty_run_can_be_read(spark, led):
+    root = scratch_path(spark, "test-empty")
+    C.publish(spark, RunResult(led.tx.limit(0), led.anomalies.limit(0), led.runs), root, 1)
+    ledger = C.read_runs(spark, root, "core/transactions")
+    assert ledger.count() == 0 and ledger.columns == led.tx.columns and C.run_log(spark, root).count() == 1
+
+
 def test_a_failed_publisher_leaves_the_log_alone(spark, led):
     root = scratch_path(spark, "test-failed")
     put(spark, led, root, 1, 0)

@@ -20,8 +20,7 @@ from quillstone.session import scratch_path
 
 # deep pages
 
-@pytest.mark.parametrize("descending", [True, False])
-@pytest.mark.parametrize("kind", ["number", "text"])
+@pytest.mark.parametrize(("descending", "kind"), [(True, "number"), (False, "text")])
 def test_pages_by_rank(spark, descending, kind):
     """Ties, nulls, every place of the listing, small targets: equal to the sorted list."""
     rng = random.Random(4)
@@ -33,7 +32,7 @@ def test_pages_by_rank(spark, descending, kind):
         known = sorted(sorted(known), key=lambda r: r[1], reverse=True)
     nulls = sorted((r for r in rows if r[1] is None), key=lambda r: r[0])
     order = known + nulls if descending else nulls + known
-    for offset in (0, 333, 690, 5000):
+    for offset in (333, 690, 5000):
         got = [tuple(r) for r in paging.page_by_rank(df, "v", "id", descending, offset, 20, target=25).collect()]
         assert got == order[offset:offset + 20]
 
@@ -56,15 +55,6 @@ def test_pages_of_repeated_rows(spark):
 
 # quantiles
 
-def jobs(spark, work):
-    spark.sparkContext.setJobGroup("quantiles", "count jobs")
-    try:
-        out = work()
-        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles"))
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-
-
 @pytest.mark.parametrize("bins", [K.FEW, 50])
 def test_quantiles_are_exact(spark, bins):
     """Skewed, tied, tiny and huge values, few and many distinct ones, in two passes and in three."""
@@ -82,15 +72,21 @@ def test_quantiles_are_exact(spark, bins):
         assert got[c] == pytest.approx(expected, rel=1e-12, abs=0), c
 
 
-def test_quantiles_take_few_passes(spark):
-    df = spark.range(50_000).select(F.exp(F.randn(3) * 8).alias("x"), F.rand(4).alias("y")).cache()
-    df.count()
-    frame = df.toPandas()
-    _, few = jobs(spark, lambda: K.exact_quantiles(df, ["x", "y"], [0.25, 0.75]))
-    got, more = jobs(spark, lambda: K.exact_quantiles(df, ["x", "y"], [0.25, 0.75], bins=10))
+@pytest.mark.parametrize("bins", [K.FEW, 10])
+def test_quantiles_read_the_data_twice(spark, bins):
+    """One pass sketches, one counts, whatever the values; further steps read the counted values only."""
+    n, read = 20_000, spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    base = spark.range(n).select(F.exp(F.randn(3) * 8).alias("x"), F.rand(4).alias("y"))
+    got = K.exact_quantiles(base.mapInArrow(watched, base.schema), ["x", "y"], [0.25, 0.75], bins=bins)
+    assert read.value == 2 * n
+    frame = base.toPandas()
     assert got["x"] == pytest.approx([frame.x.quantile(p) for p in (0.25, 0.75)], rel=1e-12)
-    # adaptive execution runs a job for each shuffle stage; a pass over the data is one of them
-    assert few <= 6 and more <= 14
 
 
 def test_a_wrong_sketch_costs_a_pass_and_no_result(spark, monkeypatch):
@@ -113,7 +109,7 @@ def texts(spark):
 
 def test_search_by_trigrams_equals_the_scan(spark, texts):
     root = postings.build(texts, "id", ["p", "q"], scratch_path(spark, "test-trigrams"), buckets=8)
-    for query in ("nation_1", "NATION_10", "a", "ab", "aa", "aaa", "aaaaa", "é", "x%y", "%", "_", "zzzzz", "", "e t", "v12", "\x1f", "two"):
+    for query in ("NATION_10", "a", "aa", "aaaaa", "é", "%y_", "zzzzz", "", "e t", "\x1f"):
         got = sorted(r.id for r in postings.search(texts, "id", ["p", "q"], root, query).collect())
         assert got == sorted(r.id for r in texts.where(text_match(["p", "q"], query)).collect()), query
 
@@ -162,5 +158,5 @@ def test_grouping_sets_equal_the_views(spark):
     assert {(r.month, r.transaction_count, r.total_value) for r in got.where("grouping = 23").collect()} == months
     channels = {(r.channel, r.transaction_count, r.transaction_value) for r in V.channel_performance(led.tx).collect()}
     assert {(r.channel, r.transaction_count, r.total_value) for r in got.where("grouping = 30").collect()} == channels
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = V.grouped_summary(led.accounts, led.segments, led.tx)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Expand") == 1

@@ -32,6 +32,15 @@ def transactions(spark, rows):
     return spark.createDataFrame(made, TRANSACTIONS)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """A state store and a Python worker for each partition and batch: two are enough here."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def people(spark):
     return spark.range(0, 20).selectExpr("id account_id", "id customer_id"), spark.range(0, 20).selectExpr("id customer_id", "'S1' state")

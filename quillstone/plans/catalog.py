@@ -921,18 +921,19 @@ def _s2(spark, sf):
 
 
 def _timed(spark, sf, name, landing):
-    """S2 by buckets of a day and timers, over a landing; the landed rows and the decided ones."""
+    """S2 by buckets of thirty days and timers, over a landing; the landed rows and the decided ones."""
     from ..schemas import TRANSACTIONS
     from ..streaming.rules import read_transaction_stream, run_available_now
     from ..streaming.timers import first_match_by_timers, timer_store
     led = L(spark, sf)
     _, out, ck = _stream_dirs(spark, name)
     with timer_store(spark):
-        run_available_now(first_match_by_timers(read_transaction_stream(spark, landing), led.accounts, led.customers, _DAYS), out, ck)
+        run_available_now(first_match_by_timers(read_transaction_stream(spark, landing), led.accounts, led.customers, _MONTHS), out, ck)
     return spark.read.schema(TRANSACTIONS).parquet(landing), spark.read.parquet(out)
 
 
-_DAYS = RuleConfig(bucket_seconds=86_400)
+#: An account has a few rows a month: wide buckets, so that there are few keys.
+_MONTHS = RuleConfig(bucket_seconds=30 * 86_400)
 
 
 @query("stream_first_match_timers")
@@ -947,7 +948,7 @@ def _s2c(spark, sf):
     led = L(spark, sf)
     landed, decided = _timed(spark, sf, "s2c", led.shuffled_landing)
     late = timers.missing_rows(landed, decided)
-    return timers.corrected(decided, timers.corrections(landed, decided, late, led.accounts, led.customers, _DAYS))
+    return timers.corrected(decided, timers.corrections(landed, decided, late, led.accounts, led.customers, _MONTHS))
 
 
 @query("stream_channel_volume")

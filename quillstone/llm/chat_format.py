@@ -18,7 +18,7 @@ never its turns, so a conversation of any length needs constant memory (its dige
 chain over its turns, is one task's work by definition).
 
 Defined results: null text and roles are empty; a null part has no content, an unknown part type is an error
-text in `problems` and has no content. Turns are ordered by (turn, formatted segment), nulls first, so ties and
+text in `problems` and has no content; audio of no finite length is noted there and has no tokens. Turns are ordered by (turn, formatted segment), nulls first, so ties and
 repeated rows have a place; rows with a null conv_id are one conversation. An empty
 table gives an empty result. Columns beside conv_id, turn, role, text (and parts) are not read.
 """
@@ -89,7 +89,11 @@ class Flattener:
         self.attach(part, tiles * TILE_TOKENS)
 
     def visit_audio(self, part: dict) -> None:
-        self.attach(part, math.ceil(max(part.get("seconds") or 0, 0) * SECOND_TOKENS))
+        seconds = part.get("seconds") or 0
+        if not math.isfinite(seconds):
+            self.problems.append(f"audio of {seconds} seconds")
+            seconds = 0
+        self.attach(part, math.ceil(max(seconds, 0) * SECOND_TOKENS))
 
     def visit_document(self, part: dict) -> None:
         self.attach(part, max(part.get("pages") or 0, 0) * PAGE_TOKENS)
@@ -217,4 +221,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries(formatted(rows.unionByName(probe)))
 
 
+_CONTROLS = "|".join(re.escape(c).replace("'", "''") for c in CONTROL)
+_LENGTH = "(length({0}) + length(regexp_replace({0}, '[^\\\\]', '', 'g')) + len(regexp_extract_all({0}, '%s')))" % _CONTROLS
+
+ORACLE_SQL = f"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum({len(TURN) + len(TEXT) + len(END)} + {_LENGTH.format('role')} + {_LENGTH.format('text')})::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
 by_value(__name__)

@@ -69,14 +69,4 @@ def attach_groups(rows: DataFrame, key: str, salt: str, partial: dict[str, Colum
     return rows.join(answers, F.col(key).eqNullSafe(F.col("_slice")) & (F.col(salt) == F.col("_salt"))).drop("_slice", "_salt")
 
 
-def keep_rows(docs: DataFrame, keepers: DataFrame, on: str, ids: str) -> DataFrame:
-    """The rows of `docs` whose `on` (null-safe) is among `ids` of `keepers`, all columns as they are.
-
-    Always a sort-merge join: the ids grow with the corpus, and the plan is the same at every size.
-    """
-    name = free_name(docs, "_keep_id")
-    wanted = keepers.select(F.col(ids).alias(name)).hint("merge")
-    return docs.join(wanted, docs[on].eqNullSafe(wanted[name]), "left_semi")
-
-
 by_value(__name__)

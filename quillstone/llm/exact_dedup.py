@@ -7,7 +7,7 @@ The index is a bucketed table: the sort-merge anti-join shuffles only the batch.
 Defined results: null text counts as the empty text. Of rows with equal texts the
 largest doc_id stays (null ids are smaller than any; a group of null ids only keeps
 null). Rows that repeat both doc_id and text are one document: they share `kept`,
-and `deduplicate` returns one of them. An empty table gives an empty result. Only
+and `deduplicate` returns one of them, the same in every run. An empty table gives an empty result. Only
 `doc_id` and `text` are read; other columns may have any names.
 """
 
@@ -87,7 +87,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     fresh = stored(groups.join(index.table(), "digest", "left_anti"), "fresh")
     index.add(fresh)
     # one row of each text leaves a task, so that copies are not shuffled; ids are compared in a struct, where null is least
-    row = F.max_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(docs["doc_id"]))
+    hashed = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = F.max_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(docs["doc_id"], F.xxhash64(*hashed)))
     chosen = docs.groupBy(digest(docs["text"]).alias("digest")).agg(row.alias("row"))
     return chosen.join(fresh.select("digest"), "digest", "left_semi").select("row.*")
 

@@ -31,6 +31,8 @@ from quillstone.llm.common import by_value, free_name, read, small_batches
 
 DIMENSIONS = 1024
 GRAM = 3
+#: A text is kept from this score on (a cosine of -0.5): below, its profile points away from every learned language.
+LEAST = 0.25
 UNKNOWN = "und"
 #: Characters of a text that are turned into n-grams at once.
 PIECE = 1 << 18
@@ -195,14 +197,19 @@ def predicted(docs: DataFrame) -> Column:
     return identify(docs["text"], languages, prototypes)
 
 
-def identified_only(docs: DataFrame) -> DataFrame:
-    """The documents with a letter, all columns as they are: only `und` goes, and without labels to learn from no text with a letter."""
+def identified_only(docs: DataFrame, languages: list[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The documents whose predicted language is among `languages` (default: all learned ones) with a score of `least` or more, all columns as they are.
+
+    Null texts and texts without a letter (`und`) go. Without labels to learn from every text with a letter stays.
+    """
     small_batches(docs.sparkSession)
-    name = free_name(docs, "_lang_pred")
-    languages, prototypes = train(docs.where(fold(docs["doc_id"]) != 1))
-    if not languages:  # nothing to learn from: a letter is all that can be asked for
-        languages, prototypes = ["any"], np.zeros((1, prototypes.shape[1]))
-    return docs.withColumn(name, identify(docs["text"], languages, prototypes)["lang"]).where(F.col(name) != UNKNOWN).drop(name)
+    name = free_name(docs, "_language")
+    learned, prototypes = train(docs.where(fold(docs["doc_id"]) != 1))
+    kept = F.lit(True) if languages is None or not learned else F.col(f"{name}.lang").isin(list(languages))
+    if not learned:  # nothing to learn from: a letter is all that can be asked for
+        learned, prototypes, least = ["any"], np.zeros((1, prototypes.shape[1])), 0.0
+    found = docs.withColumn(name, identify(docs["text"], learned, prototypes))
+    return found.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= least) & kept).drop(name)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ ORACLE_SQL = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op5_pii": privacy.ORACLE_SQL,
+    "op8_chat_format": chat_format.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_harmonic_packing": harmonic.op11_harmonic_packing,
     "op12_conversation_repair": conversation_repair.ORACLE_SQL,

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillstone.llm.common import attach_groups, by_value, keep_rows, random_salt, read, small_batches, stored
+from quillstone.llm.common import attach_groups, by_value, free_name, random_salt, read, small_batches, stored
 
 WORDS = 4
 MAX_BITS = 4
@@ -244,10 +244,10 @@ def star(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp (signed 64 bits), component_id for every row of `docs`."""
+def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, **also: Column) -> DataFrame:
+    """doc_id, fp (signed 64 bits), component_id, and the columns `also`, for every row of `docs`."""
     small_batches(docs.sparkSession)
-    rows = stored(docs.select("doc_id", fingerprint(docs["text"], words).alias("fp"), random_salt(SALTS).alias("salt")), "fingerprints")
+    rows = stored(docs.select("doc_id", fingerprint(docs["text"], words).alias("fp"), random_salt(SALTS).alias("salt"), *[c.alias(n) for n, c in also.items()]), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     forests = links(classes.select("fp"), classes.count(), max_bits)
     roots_of = components(forests.select(F.col("fp").alias("u"), F.col("root").alias("v")))
@@ -255,13 +255,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     placed = stored(placed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")), "placed")
     named = attach_groups(placed, "root", "salt", {"_id": F.min("first_id")}, {"component_id": F.min("_id")}).select("fp", "component_id")
     slices = rows.select("fp", "salt").distinct().join(named, "fp")
-    return rows.join(slices, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    return rows.join(slices, ["fp", "salt"]).select("doc_id", "fp", "component_id", *also)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id, all columns as they are."""
-    found = stored(near_duplicates(docs, words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "stay")
-    return keep_rows(docs, found, "doc_id", "doc_id")
+    """The documents that stay: of each component the one with the smallest doc_id, all columns as they are.
+
+    A row is told by its doc_id and its text: of different texts that share a doc_id only those stay whose own component has that id.
+    """
+    digest = lambda: F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    found = near_duplicates(docs, words, max_bits, _digest=digest()).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = stored(found.select(F.col("doc_id").alias("_keep_id"), F.col("_digest").alias("_keep_digest")).distinct(), "stay")
+    ids, digests = free_name(docs, "_keep_id"), free_name(docs, "_keep_digest")
+    found = found.select(F.col("_keep_id").alias(ids), F.col("_keep_digest").alias(digests)).hint("merge")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[ids]) & (digest() == found[digests]), "left_semi")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import xxhash
 
 from quillstone.llm import exact_dedup, license_scan, sharding, simhash
 from llm_checks import SF_SMALL, compare
+from llm_rows import prose
+from pyspark.sql import functions as F
 
 
 def test_exact_dedup_matches_sql(spark):
@@ -168,3 +170,16 @@ def test_sharding_edges(edge_docs, make):
     placed = sharding.place(edge_docs, edge_docs["doc_id"], names)
     assert placed.count() == edge_docs.count() and placed.where("shard is null").count() == 0
     assert placed.where("doc_id = 0").select("shard").distinct().count() == 1
+
+
+def test_near_copies_that_share_an_id(spark):
+    """Different texts of one doc_id: the row that its own component drops goes, although the id is another component's smallest."""
+    a, b = prose(901, 200), prose(902, 200)
+    docs = spark.createDataFrame([(5, a), (9, a + " end"), (5, b), (3, b), (None, prose(903, 100))], "doc_id long, text string")
+    assert sorted(simhash.one_of_each(docs).collect(), key=str) == sorted(docs.where(F.col("doc_id").isNull() | (F.col("doc_id") == 3) | ((F.col("doc_id") == 5) & (F.col("text") == a))).collect(), key=str)
+
+
+def test_the_same_row_of_repeated_ids_stays(spark):
+    rows = [(1, "same", f"s{i}", {"k": i}) for i in range(40)]
+    kept = [exact_dedup.deduplicate(spark.createDataFrame(r, "doc_id long, text string, source string, m map<string,int>").repartition(n)).collect() for r, n in ((rows, 3), (rows[::-1], 7))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1

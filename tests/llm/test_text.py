@@ -72,6 +72,15 @@ def test_language_edges(edge_docs, make):
     assert language_id.identified_only(make([])).count() == 0
 
 
+def test_kept_languages_and_least_score(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    every = language_id.identified_only(docs).count()
+    english = language_id.identified_only(docs, ["en"])
+    assert 0 < english.count() < every == docs.where("text rlike '\\\\p{L}'").count()
+    assert english.where("lang <> 'en'").count() <= 0.05 * english.count()
+    assert language_id.identified_only(docs, least=0.9).count() < every and language_id.identified_only(docs, ["xx"]).count() == 0
+
+
 # personal data
 
 def luhn(digits):
@@ -536,6 +545,20 @@ def test_conversations_read_back(spark):
         assert got[conv]["loss_chars"] == len(loss) and got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_query_of_chat_equals_its_sql(spark, tmp_path):
+    compare(chat_format.op8_chat_format(spark, SF_SMALL), chat_format.ORACLE_SQL)
+    rng = random.Random(2)
+    bits = [*chat_format.CONTROL, "\\", "a", "é", "\n", "<"]
+    rows = [(c, t, rng.choice(["user", "assistant", None, "<s>"]), "".join(rng.choice(bits) for _ in range(6)) if rng.random() < 0.9 else None) for c in range(40) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    compare(chat_format.op8_chat_format(spark, str(tmp_path)), chat_format.ORACLE_SQL, {"conversations": f"{tmp_path}/conversations.parquet/*.parquet"})
+
+
+def test_audio_without_a_finite_length():
+    made = chat_format.segment_of("user", [{"type": "audio", "ref": "x", "seconds": s} for s in (float("nan"), float("inf"), -3.0, None)])
+    assert made["expanded_tokens"] == 0 and made["problems"].count("audio") == 2 and len(made["attachments"]) == 4
+
+
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string, segment string"
     rows = [(None, None, None, None, "x"), (None, 1, "user", "a", None), (1, 0, "user", "b", None), (1, 0, "user", "b", None), (1, None, "assistant", "y" * 300_000, None)]

@@ -153,10 +153,10 @@ def test_no_window_over_all_rows(spark):
 
 def test_grouping_sets_equal_the_views(spark):
     led = Ledger(spark, SF_SMALL, materialize=True)
-    got = V.grouped_summary(led.accounts, led.segments, led.tx).cache()
+    got = V.grouped_summary(led.accounts, led.segments, led.tx)
     months = {(r.month, r.transaction_count, r.total_value) for r in V.monthly_summary(led.tx).collect()}
     assert {(r.month, r.transaction_count, r.total_value) for r in got.where("grouping = 23").collect()} == months
     channels = {(r.channel, r.transaction_count, r.transaction_value) for r in V.channel_performance(led.tx).collect()}
     assert {(r.channel, r.transaction_count, r.total_value) for r in got.where("grouping = 30").collect()} == channels
-    plan = V.grouped_summary(led.accounts, led.segments, led.tx)._jdf.queryExecution().optimizedPlan().toString()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Expand") == 1

@@ -1,10 +1,11 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. A text
-block is BLOCK consecutive words, one beginning every BLOCK / 2 words, so that any
-template of at most BLOCK / 2 words that stands in a text lies in one block whole. A
-block matches a template if it has at least CONTAINMENT of the template's distinct
-words. The join finds every such pair:
+Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters. Templates
+have any length: they are dealt into classes of at most `half` words (SHORT and its
+doubles), and a class has text blocks of its own, 2 * half consecutive words, one beginning every
+half words, so that any of its templates that stands in a text lies in one block whole. A
+block matches a template of its class if it has at least CONTAINMENT of the template's
+distinct words. The join finds every such pair:
 
 * the templates' words are ordered by their document frequency over all documents,
   rarest first, and blocks and templates are sorted in that order;
@@ -15,12 +16,12 @@ words. The join finds every such pair:
   1 + min(n - i - 1, m - j - 1) shared words from there on;
 * the pairs that remain are verified by the size of their intersection.
 
-Words outside all templates cannot be shared and are left out of the blocks. The
-index of template prefixes is broadcast; it has at most MAX_TEMPLATES templates of
-BLOCK / 2 words. Everything is DataFrame functions; the words of a text stay in its row.
+Words outside a class's templates cannot be shared and are left out of its blocks. The
+index of template prefixes is broadcast while it has at most MAX_INDEX entries, else Spark
+joins it by the word. Everything is DataFrame functions; the words of a text stay in its row.
 
-A template whose shared words are all among those of another one that, in the same block
-or one beside it, is contained as well or better, and shares more, gives no label (a GPL line
+A template whose shared words are all among those of another one of its class that, in the same
+block or one beside it, is contained as well or better, and shares more, gives no label (a GPL line
 is also mostly a line of another GPL version). Phrases, searched over the whole text, give the base columns.
 
 Defined results: null and empty texts have no words, no labels and score 0. Repeated
@@ -47,7 +48,7 @@ PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-#: (label, template): how licenses are usually stated, in at most BLOCK / 2 words.
+#: (label, template): how licenses are usually stated, and whole texts of short ones. Fixed values.
 TEMPLATES = [
     ("agpl-3", "licensed under the gnu affero general public license version 3"),
     ("apache-2", "licensed under the apache license version 2 0"),
@@ -69,11 +70,35 @@ TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+        the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
+        the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the software the software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders
+        be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in
+        connection with the software or the use or other dealings in the software"""),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that
+        the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all
+        warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be
+        liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of
+        this software"""),
+    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions
+        are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+        documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors
+        as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
+        particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental
+        special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or
+        profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including
+        negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""),
 ]
 
 CONTAINMENT = 0.8
-BLOCK = 48
-MAX_TEMPLATES = 2000
+#: Words of the templates of the first class; each further one has twice as many.
+SHORT = 24
+MAX_INDEX = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -94,17 +119,23 @@ def places(clean: Column, words: Column, phrase: str) -> Column:
     return F.when(F.contains(clean, F.lit(f" {phrase} ")), here).otherwise(F.array().cast("array<int>"))
 
 
-def template_sets(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, list[str], int]]:
-    """(number, label, distinct words, how many of them a block needs)."""
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+def half_of(n: int) -> int:
+    """The class of a template of n words."""
+    half = SHORT
+    while half < n:
+        half *= 2
+    return half
+
+
+def template_sets(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, list[str], int, int]]:
+    """(number, label, distinct words, how many of them a block needs, class)."""
     out = []
     for number, (label, text) in enumerate(templates):
         words = text.split()
-        if not 0 < len(words) <= BLOCK // 2:
-            raise ValueError(f"a template has 1 to {BLOCK // 2} words: {text!r}")
+        if not words:
+            raise ValueError(f"template {number} has no word")
         distinct = list(dict.fromkeys(words))
-        out.append((number, label, distinct, math.ceil(threshold * len(distinct) - 1e-9)))
+        out.append((number, label, distinct, math.ceil(threshold * len(distinct) - 1e-9), half_of(len(words))))
     return out
 
 
@@ -119,52 +150,60 @@ def global_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = CONTAINMENT) -> tuple[DataFrame, DataFrame]:
     """(rows, matches): every row of `docs` with its base columns and a row number; every (row, block, template) of the join."""
     sets = template_sets(templates, threshold)
-    order = global_order(docs, sorted({w for _, _, words, _ in sets for w in words}))
+    order = global_order(docs, sorted({w for _, _, words, _, _ in sets for w in words}))
     rank = {w: i for i, w in enumerate(order)}
-    sorted_sets = [(n, label, sorted(words, key=rank.get), need) for n, label, words, need in sets]
-    prefixes = sorted({w for _, _, words, need in sorted_sets for w in words[:len(words) - need + 1]}, key=rank.get)
-    least = min(need for *_, need in sorted_sets)
+    sorted_sets = [(n, label, sorted(words, key=rank.get), need, half) for n, label, words, need, half in sets]
 
     words = F.col("_words")
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(BLOCK // 2))
-    blocks = F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_intersect(F.lit(order), F.slice(words, s + 1, BLOCK)).alias("words")))
-    likely = F.when(F.arrays_overlap(words, F.lit(prefixes)), F.filter(blocks, lambda b: F.size(b["words"]) >= least))
+
+    def likely(half: int) -> Column:
+        """The blocks of a class that may match: of texts with a prefix word, those with enough of its words."""
+        mine = [t for t in sorted_sets if t[4] == half]
+        own = sorted({w for _, _, t, _, _ in mine for w in t}, key=rank.get)
+        prefixes = sorted({w for _, _, t, need, _ in mine for w in t[:len(t) - need + 1]}, key=rank.get)
+        least = min(need for *_, need, _ in mine)
+        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(half))
+        blocks = F.transform(starts, lambda s: F.struct(F.lit(half).alias("half"), s.alias("start"), F.array_intersect(F.lit(own), F.slice(words, s + 1, 2 * half)).alias("words")))
+        return F.when(F.arrays_overlap(words, F.lit(prefixes)), F.filter(blocks, lambda b: F.size(b["words"]) >= least))
+
+    none = F.array().cast("array<struct<half:int,start:int,words:array<string>>>")
+    every = F.concat(*[F.coalesce(likely(half), none) for half in sorted({t[4] for t in sorted_sets})])
     phrase_places = {label: places(F.col("_clean"), words, phrase) for phrase, label in PHRASES}
     rows = (
         docs.select("doc_id", normalised(docs["text"]).alias("_clean"))
         .withColumn("_words", split_words(F.col("_clean")))
         .select(
             F.monotonically_increasing_id().alias("_row"), "doc_id", F.size(words).cast("long").alias("n_words"),
-            *[c.alias(f"_at_{label}") for label, c in phrase_places.items()], likely.alias("_blocks"),
+            *[c.alias(f"_at_{label}") for label, c in phrase_places.items()], every.alias("_blocks"),
         )
     )
     rows = stored(rows, "license-rows")
 
-    index = [
-        (n, label, words, need, i, w) for n, label, words, need in sorted_sets for i, w in enumerate(words[:len(words) - need + 1])
+    entries = [
+        (n, label, t, need, half, i, w) for n, label, t, need, half in sorted_sets for i, w in enumerate(t[:len(t) - need + 1])
     ]
-    schema = "template int, label string, t_words array<string>, need int, i int, word string"
-    index = F.broadcast(docs.sparkSession.createDataFrame(index, schema))
-    blocks = rows.select("_row", F.explode("_blocks").alias("b")).select("_row", "b.start", F.col("b.words").alias("b_words"))
-    probes = blocks.select("_row", "start", "b_words", F.posexplode("b_words").alias("j", "word"))
+    schema = "template int, label string, t_words array<string>, need int, half int, i int, word string"
+    index = docs.sparkSession.createDataFrame(entries, schema)
+    index = F.broadcast(index) if len(entries) <= MAX_INDEX else index
+    blocks = rows.select("_row", F.explode("_blocks").alias("b")).select("_row", "b.half", "b.start", F.col("b.words").alias("b_words"))
+    probes = blocks.select("_row", "half", "start", "b_words", F.posexplode("b_words").alias("j", "word"))
     left = 1 + F.least(F.size("t_words") - F.col("i") - 1, F.size("b_words") - F.col("j") - 1)
     pairs = (
-        probes.join(index, "word")
+        probes.join(index, ["word", "half"])
         .where((F.size("b_words") >= F.col("need")) & (F.col("j") <= F.size("b_words") - F.col("need")) & (left >= F.col("need")))
         .dropDuplicates(["_row", "start", "template"])
     )
     shared = pairs.withColumn("shared", F.array_intersect("t_words", "b_words"))
     matches = shared.where(F.size("shared") >= F.col("need")).select(
-        "_row", "start", "template", "label", "shared", (F.size("shared") / F.size("t_words")).alias("containment")
+        "_row", "half", "start", "template", "label", "shared", (F.size("shared") / F.size("t_words")).alias("containment")
     )
     return rows, matches
 
 
 def labelled(matches: DataFrame) -> DataFrame:
     """For each row its labels and its best containment; a block and its neighbours have at most three matches a template."""
-    half = BLOCK // 2
-    near = matches.withColumn("at", F.explode(F.array(F.col("start") - half, F.col("start"), F.col("start") + half)))
-    block = near.groupBy("_row", "at").agg(F.collect_list(F.struct("label", "shared", "containment", (F.col("at") == F.col("start")).alias("own"))).alias("m"))
+    near = matches.withColumn("at", F.explode(F.array(F.col("start") - F.col("half"), F.col("start"), F.col("start") + F.col("half"))))
+    block = near.groupBy("_row", "half", "at").agg(F.collect_list(F.struct("label", "shared", "containment", (F.col("at") == F.col("start")).alias("own"))).alias("m"))
     beaten = lambda a: F.exists("m", lambda b: (b["containment"] >= a["containment"]) & (F.size(b["shared"]) > F.size(a["shared"])) & (F.size(F.array_except(a["shared"], b["shared"])) == 0))
     best = block.select("_row", F.explode(F.filter("m", lambda a: a["own"] & ~beaten(a))).alias("a"))
     return best.groupBy("_row").agg(F.collect_set("a.label").alias("_labels"), F.max("a.containment").alias("_best"))
@@ -190,7 +229,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"({n}, '{label}', {words!r})" for n, label, words, _ in template_sets(TEMPLATES, CONTAINMENT))
+    values = ", ".join(f"({n}, '{label}', {words!r}, {half})" for n, label, words, _, half in template_sets(TEMPLATES, CONTAINMENT))
     at = "\n".join(
         f", list_filter(range(0, len(words) - {len(p.split()) - 1}), lambda i: list_slice(words, i + 1, i + {len(p.split())}) = {p.split()!r}) AS at_{k}"
         for k, (p, _) in enumerate(PHRASES)
@@ -198,20 +237,22 @@ def _sql() -> str:
     base = ", ".join(f"CASE WHEN len(at_{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(PHRASES))
     every = " || ".join(f"at_{k}" for k in range(len(PHRASES)))
     return f"""
-WITH templates(template, label, t_words) AS (VALUES {values}),
+WITH templates(template, label, t_words, half) AS (VALUES {values}),
 texts AS (
   SELECT row_number() OVER () AS r, doc_id,
          regexp_extract_all(translate(COALESCE(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
   FROM documents),
 based AS (SELECT r, doc_id, words {at} FROM texts),
-blocks AS (SELECT r, s, list_slice(words, s + 1, s + {BLOCK}) AS b_words FROM texts, unnest(range(0, len(words), {BLOCK // 2})) AS u(s)),
+blocks AS (
+  SELECT r, s, half, list_slice(words, s + 1, s + 2 * half) AS b_words
+  FROM texts, (SELECT DISTINCT half FROM templates), unnest(range(0, len(words), half)) AS u(s)),
 pairs AS (
-  SELECT r, s, label, list_filter(t_words, lambda w: list_contains(b_words, w)) AS shared, len(t_words) AS n
-  FROM blocks, templates
+  SELECT r, s, half, label, list_filter(t_words, lambda w: list_contains(b_words, w)) AS shared, len(t_words) AS n
+  FROM blocks JOIN templates USING (half)
   WHERE len(list_filter(t_words, lambda w: list_contains(b_words, w))) >= {CONTAINMENT} * len(t_words) - 1e-9),
 best AS (
   SELECT * FROM pairs a WHERE NOT EXISTS (
-    SELECT 1 FROM pairs b WHERE b.r = a.r AND abs(b.s - a.s) <= {BLOCK // 2} AND len(b.shared) / b.n >= len(a.shared) / a.n
+    SELECT 1 FROM pairs b WHERE b.r = a.r AND b.half = a.half AND abs(b.s - a.s) <= a.half AND len(b.shared) / b.n >= len(a.shared) / a.n
       AND len(b.shared) > len(a.shared) AND len(list_filter(a.shared, lambda w: NOT list_contains(b.shared, w))) = 0)),
 found AS (SELECT r, list(DISTINCT label) AS labels, max(len(shared) / n) AS best FROM best GROUP BY r),
 named AS (SELECT *, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM based LEFT JOIN found USING (r))

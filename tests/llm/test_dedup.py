@@ -141,6 +141,31 @@ def test_license_scan_of_planted_lines(spark, tmp_path):
     assert labels[0] == labels[1] == "lgpl-3" and labels[2] == "mit" and labels[3] == "apache-2,cc-by-nc" and labels[10] == labels[11] == "" and labels[12] == "mit"
 
 
+def test_whole_license_texts(spark, tmp_path):
+    """Full texts, changed here and there, anywhere in a text: found as a whole, wherever a block begins."""
+    whole = {label: text.split() for label, text in license_scan.TEMPLATES if len(text.split()) > license_scan.SHORT}
+    assert set(whole) == {"mit", "isc", "bsd"} and all(len(w) > 100 for w in whole.values())
+    rng, rows, expected = random.Random(4), [], {}
+    for i in range(24):
+        label = rng.choice(sorted(whole))
+        words = [w if rng.random() > 0.05 else f"other{i}" for w in whole[label]][8:]  # its first line is gone
+        rows.append((i, f"{prose(i, rng.randrange(500))} {' '.join(words)} {prose(i + 50, rng.randrange(500))}"))
+        expected[i] = label
+    rows += [(100 + i, f"{prose(i, 300)} {' '.join(whole['mit'][:60])}") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = license_scan.op1_license_scan(spark, str(tmp_path))
+    compare(got, license_scan.ORACLE_SQL, {"documents": f"{tmp_path}/documents.parquet/*.parquet"})
+    labels = {r["doc_id"]: r["labels"].split(",") for r in got.collect()}
+    assert all(label in labels[i] for i, label in expected.items())
+    _, matches = license_scan.scan(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert matches.where("half > 100").select("_row").distinct().count() == 24  # a third of a text is no match
+
+
+def test_templates_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "MAX_INDEX", 1)
+    compare(license_scan.op1_license_scan(spark, SF_SMALL), license_scan.ORACLE_SQL)
+
+
 def test_sharding_matches_sql(spark):
     compare(sharding.op4_sharding(spark, SF_SMALL), sharding.ORACLE_SQL)
 

@@ -10,23 +10,26 @@ Two rule variants exist and both are offered:
 
 Physical design (both variants share it, see ``rule_features``):
 
-1. the account lookup (account -> home state) is an equi join on
-   ``account_id``; Spark chooses broadcast or sort-merge from the measured
-   size and AQE splits a skewed account on the sort-merge path;
+1. the account lookup (account -> home state) is made for the distinct
+   (account, state) pairs, and only what differs goes back to the rows; Spark
+   chooses broadcast or sort-merge from the measured size and AQE splits a
+   skewed account on the sort-merge path;
 2. the ordered rules need, per account, the previous and next row by
    (timestamp, id). Instead of one window partition per account (a hot
    account would be one task) rows are partitioned by
    ``(account_id, time bucket)``. A row within ``rapid_seconds`` of a bucket
    edge is also copied into the neighbour bucket as a *ghost*, so lag/lead
    at the edges see the true neighbour. Ghosts are dropped afterwards;
-3. copy groups (duplicates) are pre-aggregated on their key before any
-   shuffle of rows; only one representative per group enters the windows, so
-   a group holding a large share of all rows never lands in one task.
+3. rows are aggregated on their copy key before any shuffle and only these
+   narrow keys enter the windows, one for a copy group, so a group holding a
+   large share of all rows never lands in one task, and whole rows are not
+   moved as long as few keys have something to tell.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +48,14 @@ def _epoch() -> Column:
 TS = "transaction_timestamp"
 
 
+#: What becomes of a named intermediate result: a caller may store it and give back the stored rows.
+Keep = Callable[[str, DataFrame], DataFrame]
+
+
+def as_is(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
 # ---------------------------------------------------------------- lookup
 
 def home_states(accounts: DataFrame, customers: DataFrame) -> DataFrame:
@@ -59,6 +70,24 @@ def home_states(accounts: DataFrame, customers: DataFrame) -> DataFrame:
             .withColumn("_known", F.lit(True)))
 
 
+def with_home_states(rows: DataFrame, raw: DataFrame, accounts: DataFrame, customers: DataFrame, keep: Keep) -> DataFrame:
+    """``rows`` (of ``raw``, with its account_id and state) with ``home_state`` and ``_known`` (true, or null for an unknown account).
+
+    The lookup is made for the distinct (account, state) pairs, which are aggregated map-side:
+    a hot account is a few pairs. Only pairs of unknown accounts or of another home state go
+    back to the rows; all other rows are at home, so their home state is their own.
+    """
+    pairs = raw.select("account_id", "state").distinct().join(home_states(accounts, customers), "account_id", "left")
+    away = F.col("_known").isNull() | ~F.col("state").eqNullSafe(F.col("home_state"))
+    marks = keep("account_marks", pairs.where(away).select(
+        F.col("account_id").alias("_a_account"), F.col("state").alias("_a_state"), F.col("home_state").alias("_a_home"),
+        F.col("_known").alias("_a_known"), F.lit(True).alias("_away")))
+    j = rows.join(marks, rows["account_id"].eqNullSafe(marks["_a_account"]) & rows["state"].eqNullSafe(marks["_a_state"]), "left")
+    return j.withColumns({"home_state": F.when(F.col("_away"), F.col("_a_home")).otherwise(F.col("state")),
+                          "_known": F.when(F.col("_away"), F.col("_a_known")).otherwise(F.lit(True))}) \
+        .drop("_a_account", "_a_state", "_a_home", "_a_known", "_away")
+
+
 # ---------------------------------------------------------------- features
 
 def bucket_roles(cfg: RuleConfig) -> tuple[Column, Column]:
@@ -82,76 +111,60 @@ COPY_KEY = ["account_id", TS, "amount", "transaction_type"]
 
 
 def rule_features(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
-                  cfg: RuleConfig = DEFAULT_RULES, copy_lag: bool = False) -> DataFrame:
+                  cfg: RuleConfig = DEFAULT_RULES, copy_lag: bool = False, keep: Keep = as_is) -> DataFrame:
     """Per raw row: duplicate group size/rank, previous timestamp, lookup columns
     and the first-match tag of rules 1-4 plus the rapid flag.
 
-    1. Copy groups (same account, timestamp, amount, type; nulls equal) are
-       found with an aggregate over the four key columns; the partial step
-       collapses a group map-side, so a group holding a large share of all rows
-       costs one row after the combine. Usually few groups have copies.
-    2. Rows outside copy groups, plus one representative per copy group, go
-       through the ordered windows on one exchange by (account, time bucket)
-       and one sort (order: ts, amount, type, id - equal timestamps are ordered
-       by amount, type and id, a deterministic tie-break). A copy row is always
-       tagged DUPLICATE or by an earlier rule, so for its neighbours only its
-       timestamp matters, which the representative carries.
-    3. Copy rows get their group size from the aggregate through a join on the
-       copy key (broadcast when small, else sort-merge that AQE can split), with
-       no window over the group. Only the independent variant needs the
-       previous timestamp of a group's first row (``copy_lag=True``); it then
-       reads it from the representative, a second (narrow) consumer of the
-       window stage.
-    4. The account lookup is joined last: whether an account is known is the
-       same for every row of a window partition, so
+    1. The four columns of the copy key (account, timestamp, amount, type; nulls equal)
+       are aggregated to one row for each key; the partial step collapses a copy
+       group map-side, so a group holding a large share of all rows costs one row
+       after the combine.
+    2. These narrow rows go through the ordered windows on one exchange by
+       (account, time bucket) and one sort (order: ts, amount, type, a deterministic
+       order of distinct keys). A copy row is always tagged DUPLICATE or by an earlier
+       rule, so for its neighbours only its timestamp matters, which its key carries.
+    3. Only keys with something to tell are kept: copies, and rows near a neighbour in
+       time. They go back to the raw rows by a join on the copy key (broadcast when
+       small, else sort-merge that AQE can split); ``keep`` may store them, so that
+       Spark knows their size before it moves raw rows. Only the independent variant
+       needs a group's first id and the previous timestamp of its rows (``copy_lag=True``).
+    4. The account lookup comes last (``with_home_states``): whether an account is
+       known is the same for every row of a window partition, so
        ``hit = known AND hit_without_lookup`` and likewise for ``lead(hit)``.
     """
-    groups = (raw.groupBy(*COPY_KEY).agg(F.count(F.lit(1)).alias("_n"), F.min("transaction_id").alias("_first_id"))
-              .where(F.col("_n") > 1))
-    gkeys = groups.select(*[F.col(k).alias(f"_g_{k}") for k in COPY_KEY])
-    singles = raw.join(gkeys, [raw[k].eqNullSafe(gkeys[f"_g_{k}"]) for k in COPY_KEY], "left_anti")
-    reps = groups.select(*COPY_KEY, F.col("_first_id").alias("transaction_id"), "_n", F.lit(True).alias("_rep"))
-    w_in = singles.withColumns({"_n": F.lit(1).cast("long"), "_rep": F.lit(False)}) \
-        .unionByName(reps, allowMissingColumns=True)
+    clean_so_far = ~F.coalesce(F.col("amount") > F.lit(cfg.high_amount), F.lit(False)) & \
+        ~F.coalesce(F.col("balance_after") < 0, F.lit(False))
+    first_id = [F.min("transaction_id").alias("_first_id")] if copy_lag else []
+    x = raw.groupBy(*COPY_KEY).agg(F.count(F.lit(1)).alias("_n"), F.bool_and(clean_so_far).alias("_ok"), *first_id)
 
     _, roles = bucket_roles(cfg)
-    x = w_in.select("*", F.explode(roles).alias("_r")).select(
+    x = x.select("*", F.explode(roles).alias("_r")).select(
         "*", F.col("_r.pb").alias("_pb"), F.col("_r.role").alias("_role")).drop("_r")
     x = x.repartition("account_id", "_pb")
-    seq = Window.partitionBy("account_id", "_pb").orderBy(
-        F.col(TS), F.col("amount"), F.col("transaction_type"), F.col("transaction_id"))
+    seq = Window.partitionBy("account_id", "_pb").orderBy(F.col(TS), F.col("amount"), F.col("transaction_type"))
     x = x.withColumn("_prev_ts", F.lag(TS).over(seq))
-    row_ok = ~F.coalesce(F.col("amount") > F.lit(cfg.high_amount), F.lit(False)) & \
-        ~F.coalesce(F.col("balance_after") < 0, F.lit(False)) & ~F.col("_rep")
     within = F.col(TS) <= F.timestamp_add("SECOND", F.lit(cfg.rapid_seconds), F.col("_prev_ts"))
-    hit = F.coalesce(row_ok & (F.col(TS) > F.col("_prev_ts")) & within, F.lit(False))
+    hit = F.coalesce(F.col("_ok") & (F.col("_n") == 1) & (F.col(TS) > F.col("_prev_ts")) & within, F.lit(False))
     x = x.withColumn("_hit0", hit).withColumn("_within", F.coalesce(within, F.lit(False)))
     x = x.withColumn("_next_hit0", F.coalesce(F.lead("_hit0").over(seq), F.lit(False)))
-    x = x.where(F.col("_role") == "R").drop("_role", "_pb")
+    x = x.where(F.col("_role") == "R")
 
-    base_cols = raw.columns
-    single_out = x.where(~F.col("_rep")).select(
-        *base_cols, "_prev_ts", "_within", "_hit0", "_next_hit0",
-        F.lit(1).cast("long").alias("_dup_n"), F.lit(1).alias("_dup_rank"))
+    near = (F.col("_within") if copy_lag else F.col("_hit0")) | F.col("_next_hit0")
+    told = ["_n", "_hit0", "_next_hit0"] + (["_first_id", "_prev_ts", "_within"] if copy_lag else [])
+    marks = keep("rule_marks", x.where((F.col("_n") > 1) | near).select(*[F.col(k).alias(f"_g_{k}") for k in COPY_KEY], *told))
+    x = raw.join(marks, [raw[k].eqNullSafe(marks[f"_g_{k}"]) for k in COPY_KEY], "left").select(*raw.columns, *told)
+
+    copied = F.coalesce(F.col("_n") > 1, F.lit(False))
+    x = x.withColumns({"_dup_n": F.coalesce("_n", F.lit(1).cast("long")),
+                       "_hit0": F.coalesce("_hit0", F.lit(False)) & ~copied, "_next_hit0": F.coalesce("_next_hit0", F.lit(False)) & ~copied})
     if copy_lag:
-        grp = x.where(F.col("_rep")).select(*[F.col(k).alias(f"_g_{k}") for k in COPY_KEY],
-                                            F.col("_n").alias("_g_n"), F.col("transaction_id").alias("_g_first"),
-                                            F.col("_prev_ts").alias("_g_prev"), F.col("_within").alias("_g_within"))
-    else:
-        grp = groups.select(*[F.col(k).alias(f"_g_{k}") for k in COPY_KEY], F.col("_n").alias("_g_n"),
-                            F.col("_first_id").alias("_g_first"), F.lit(None).cast("timestamp_ntz").alias("_g_prev"),
-                            F.lit(False).alias("_g_within"))
-    first = F.col("transaction_id") == F.col("_g_first")
-    copy_out = raw.join(grp, [raw[k].eqNullSafe(grp[f"_g_{k}"]) for k in COPY_KEY], "inner").select(
-        *base_cols,
-        F.when(first, F.col("_g_prev")).otherwise(F.col(TS)).alias("_prev_ts"),
-        F.when(first, F.col("_g_within")).otherwise(F.lit(True)).alias("_within"),
-        F.lit(False).alias("_hit0"), F.lit(False).alias("_next_hit0"),
-        F.col("_g_n").alias("_dup_n"), F.when(first, 1).otherwise(2).alias("_dup_rank"))
-    x = single_out.unionByName(copy_out)
-
-    # account lookup after the windows (broadcast when small, else sort-merge with AQE skew split)
-    x = x.join(home_states(accounts, customers), "account_id", "left")
+        # each copy but the first follows one of its own time
+        first = ~copied | F.coalesce(F.col("transaction_id") == F.col("_first_id"), F.lit(False))
+        x = x.withColumns({"_dup_rank": F.when(first, 1).otherwise(2), "_prev_ts": F.when(first, F.col("_prev_ts")).otherwise(F.col(TS)),
+                           "_within": F.when(first, F.coalesce("_within", F.lit(False))).otherwise(F.lit(True))}).drop("_first_id")
+    x = x.drop("_n")
+
+    x = with_home_states(x, raw, accounts, customers, keep)
     known = F.coalesce(F.col("_known"), F.lit(False))
     t4 = (F.when(F.col("amount") > F.lit(cfg.high_amount), "HIGH_AMOUNT")
           .when(~known, "INVALID_ACCOUNT")
@@ -201,9 +214,9 @@ def _severity(tag: Column) -> Column:
 
 
 def tag_first_match(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
-                    cfg: RuleConfig = DEFAULT_RULES) -> DataFrame:
+                    cfg: RuleConfig = DEFAULT_RULES, keep: Keep = as_is) -> DataFrame:
     """Q2: every raw row with ``anomaly_type``/``severity``/``description`` (null when clean)."""
-    f = rule_features(raw, accounts, customers, cfg)
+    f = rule_features(raw, accounts, customers, cfg, keep=keep)
     tag = F.coalesce(F.col("_t4"),
                      F.when(F.col("_rapid"), F.lit("RAPID_TRANSACTIONS")),
                      F.when(_location_mismatch(strict_blank=True), F.lit("LOCATION_MISMATCH")))
@@ -216,9 +229,9 @@ def tag_first_match(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
 # ---------------------------------------------------------------- Q1 independent
 
 def independent_anomalies(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
-                          cfg: RuleConfig = DEFAULT_RULES) -> DataFrame:
+                          cfg: RuleConfig = DEFAULT_RULES, keep: Keep = as_is) -> DataFrame:
     """Q1: union of the six independent rules, read in one pass (array of hits + explode)."""
-    f = rule_features(raw, accounts, customers, cfg, copy_lag=True)
+    f = rule_features(raw, accounts, customers, cfg, copy_lag=True, keep=keep)
 
     def hit(cond: Column, name: str, desc: Column) -> Column:
         return F.when(F.coalesce(cond, F.lit(False)), F.struct(
@@ -243,7 +256,7 @@ def independent_anomalies(raw: DataFrame, accounts: DataFrame, customers: DataFr
 
 
 def single_rule(raw: DataFrame, accounts: DataFrame, customers: DataFrame, rule: str,
-                cfg: RuleConfig = DEFAULT_RULES) -> DataFrame:
+                cfg: RuleConfig = DEFAULT_RULES, keep: Keep = as_is) -> DataFrame:
     """One independent rule alone: (transaction_id, account_id) of the rows that break it.
 
     Only the rapid rule needs the ordered windows; copies need the aggregate on their key, the
@@ -260,9 +273,9 @@ def single_rule(raw: DataFrame, accounts: DataFrame, customers: DataFrame, rule:
         same = [raw[k].eqNullSafe(groups[f"_g_{k}"]) for k in COPY_KEY]
         return raw.join(groups, same).where(F.col("transaction_id") != F.col("_first_id")).select(*ids)
     if rule == "RAPID_TRANSACTIONS":
-        f = rule_features(raw, accounts, customers, cfg, copy_lag=True)
+        f = rule_features(raw, accounts, customers, cfg, copy_lag=True, keep=keep)
         return f.where(F.col("_prev_ts").isNotNull() & F.col("_within")).select(*ids)
-    j = raw.join(home_states(accounts, customers), "account_id", "left")
+    j = with_home_states(raw, raw, accounts, customers, keep)
     broken = {"INVALID_ACCOUNT": F.col("_known").isNull(), "LOCATION_MISMATCH": _location_mismatch(strict_blank=False) & F.col("_known")}[rule]
     return j.where(F.coalesce(broken, F.lit(False))).select(*ids)
 

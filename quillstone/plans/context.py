@@ -58,8 +58,12 @@ class Ledger:
         path = scratch_path(self.spark, "quillstone", self._run_dir, name)
         if spread and self.spread:
             df = df.repartition(self.spread)
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def stored_new(self, name: str, df: DataFrame) -> DataFrame:
+        """``_stored`` under a name of its own: for results that several queries make each for itself."""
+        return self._stored(f"{name}-{uuid.uuid4().hex}", df)
 
     # masters
     @cached_property
@@ -86,7 +90,7 @@ class Ledger:
     # quality
     @cached_property
     def tagged(self) -> DataFrame:
-        return self._stored("tagged", Q.tag_first_match(self.raw, self.accounts, self.customers, self.cfg))
+        return self._stored("tagged", Q.tag_first_match(self.raw, self.accounts, self.customers, self.cfg, keep=self._stored))
 
     @cached_property
     def anomalies(self) -> DataFrame:

@@ -24,9 +24,12 @@ def run_ledger(spark: SparkSession, raw: DataFrame, accounts: DataFrame, custome
     """Returns the run record as a dict (None values when the raw table is empty)."""
     started = now or _dt.datetime.now().replace(microsecond=0)
     base = f"{root.rstrip('/')}/runs/run_id={run_id}"
-    tagged_path = f"{base}/_work/tagged"
-    Q.tag_first_match(raw, accounts, customers, cfg).write.mode("overwrite").parquet(tagged_path)
-    tagged = spark.read.parquet(tagged_path)
+
+    def work(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/_work/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/_work/{name}")
+
+    tagged = work("tagged", Q.tag_first_match(raw, accounts, customers, cfg, keep=work))
     ledger = Q.clean(tagged, ids_unique=ids_unique)
     anomalies = Q.anomalies(tagged, started)
     completed = _dt.datetime.now().replace(microsecond=0) if now is None else now

@@ -292,18 +292,21 @@ def anomalies(tagged: DataFrame, run_ts: _dt.datetime | None = None) -> DataFram
         detected.alias("detected_at"), "description")
 
 
-def clean(tagged: DataFrame, ids_unique: bool = False) -> DataFrame:
+def clean(tagged: DataFrame, ids_unique: bool = False, keep: Keep = as_is) -> DataFrame:
     """Q4: the clean ledger (14 columns).
 
     A transaction id tagged on any row removes all rows with that id. When
     ids are known to be unique (C1) the row filter alone is exact; otherwise
-    the (small) set of tagged ids is anti-joined, which Spark broadcasts when
-    its measured size allows.
+    the tagged ids that untagged rows have too are anti-joined. They are found on
+    the id alone and are few, as most tagged ids are on tagged rows only; ``keep``
+    may store both sets of ids, so that Spark broadcasts what is small by its
+    measured size and whole rows are not moved.
     """
     ok = tagged.where(F.col("anomaly_type").isNull())
     if not ids_unique:
-        bad = tagged.where(F.col("anomaly_type").isNotNull()).select("transaction_id").distinct()
-        ok = ok.join(bad, "transaction_id", "left_anti")
+        bad = keep("tagged_ids", tagged.where(F.col("anomaly_type").isNotNull()).select("transaction_id").distinct())
+        mixed = keep("mixed_ids", ok.select("transaction_id").join(bad, "transaction_id", "left_semi").distinct())
+        ok = ok.join(mixed, "transaction_id", "left_anti")
     return ok.select(*TRANSACTION_COLUMNS)
 
 

@@ -99,7 +99,7 @@ class Ledger:
     @cached_property
     def tx(self) -> DataFrame:
         """The clean ledger."""
-        return Q.clean(self.tagged)
+        return Q.clean(self.tagged, keep=self._stored)
 
     @cached_property
     def runs(self) -> DataFrame:

@@ -30,7 +30,7 @@ def run_ledger(spark: SparkSession, raw: DataFrame, accounts: DataFrame, custome
         return spark.read.schema(df.schema).parquet(f"{base}/_work/{name}")
 
     tagged = work("tagged", Q.tag_first_match(raw, accounts, customers, cfg, keep=work))
-    ledger = Q.clean(tagged, ids_unique=ids_unique)
+    ledger = Q.clean(tagged, ids_unique=ids_unique, keep=work)
     anomalies = Q.anomalies(tagged, started)
     completed = _dt.datetime.now().replace(microsecond=0) if now is None else now
     record = Q.run_metrics(tagged, ledger, started, completed, run_id)

@@ -68,3 +68,15 @@ def test_tags_and_home_states_of_odd_rows(spark, store):
         (1, "S1", "RAPID_TRANSACTIONS"), (2, "S1", "RAPID_TRANSACTIONS"), (3, "S1", "LOCATION_MISMATCH"), (4, None, "INVALID_ACCOUNT"), (5, None, "INVALID_ACCOUNT"),
         (6, None, "INVALID_ACCOUNT"), (7, "S2", "NEGATIVE_BALANCE"), (8, "S2", "RAPID_TRANSACTIONS"), (9, "S2", "DUPLICATE"), (10, "S2", "NEGATIVE_BALANCE"),
         (11, "S2", "RAPID_TRANSACTIONS"), (12, None, None), (13, None, None), (None, "S1", None), (14, "S2", "DUPLICATE"), (14, "S2", "DUPLICATE")], key=str)
+
+
+def test_the_clean_ledger_moves_no_whole_rows(seen):
+    assert "SortMergeJoin" not in plan(seen.tx)
+    assert seen.tx.count() == Q.clean(seen.tagged).count()
+
+
+def test_ids_on_tagged_and_untagged_rows(spark):
+    raw, people = odd_rows(spark)
+    again = raw.unionByName(raw.where("transaction_id = 12").withColumn("amount", F.lit(900000).cast("decimal(14,2)")))
+    clean = Q.clean(Q.tag_first_match(again, *people))
+    assert sorted((r.transaction_id for r in clean.collect()), key=str) == [13, None]

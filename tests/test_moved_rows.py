@@ -80,3 +80,9 @@ def test_ids_on_tagged_and_untagged_rows(spark):
     again = raw.unionByName(raw.where("transaction_id = 12").withColumn("amount", F.lit(900000).cast("decimal(14,2)")))
     clean = Q.clean(Q.tag_first_match(again, *people))
     assert sorted((r.transaction_id for r in clean.collect()), key=str) == [13, None]
+
+
+def test_merchant_categories_move_no_whole_rows(seen):
+    from quillstone.operators import dashboard as D
+    from quillstone.operators import views as V
+    assert "SortMergeJoin" not in plan(D.top_merchant_categories(V.merchant_category_performance(seen.merchants, seen.tx), 8))

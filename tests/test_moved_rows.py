@@ -86,3 +86,9 @@ def test_merchant_categories_move_no_whole_rows(seen):
     from quillstone.operators import dashboard as D
     from quillstone.operators import views as V
     assert "SortMergeJoin" not in plan(D.top_merchant_categories(V.merchant_category_performance(seen.merchants, seen.tx), 8))
+
+
+def test_the_manifest_reads_the_clean_ledger_without_moving_its_ids(seen):
+    from quillstone.plans.reports import report_manifest
+    text = plan(report_manifest(seen))
+    assert not [line for line in text.splitlines() if "hashpartitioning(transaction_id" in line]

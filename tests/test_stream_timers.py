@@ -149,3 +149,14 @@ def test_tags_of_a_bucket():
     assert tags([row(1, 0), row(2, 0), row(3, 1, own=False)]) == {1: "DUPLICATE", 2: "DUPLICATE"}
     assert tags([row(1, 0, tag="HIGH_AMOUNT"), row(2, 3)]) == {1: "HIGH_AMOUNT", 2: "RAPID_TRANSACTIONS"}
     assert tags([row(1, 0, far=True), row(2, 9)]) == {1: "LOCATION_MISMATCH", 2: None}
+
+
+def test_a_slot_keeps_its_accounts_apart():
+    """Equal times and near ones of different accounts, of a null and of account 0, are no copies and not rapid."""
+    import pandas as pd
+    rows = [(True, False, 1, False, 0, 0, 1.0, "=D", 0, False), (True, False, 2, True, 0, 0, 1.0, "=D", 0, False), (True, False, 3, False, 8, 2_000_000, 1.0, "=D", 0, True),
+            (True, False, 4, False, 8, 9_000_000, float("-inf"), "", 0, False), (True, True, 0, False, 8, 9_000_000, float("-inf"), "", 2, False)]
+    frame = pd.DataFrame(rows, columns=timers.ROW)
+    order, tags = timers.slot_tags(frame, 5_000_000)
+    got = {(frame["transaction_id"][i], bool(frame["no_account"][i])): timers.TAGS[t] for i, t in zip(order, tags)}
+    assert got == {(1, False): None, (2, True): None, (3, False): "LOCATION_MISMATCH", (4, False): "DUPLICATE", (0, False): "INVALID_ACCOUNT"}

@@ -948,7 +948,7 @@ def _s2c(spark, sf):
     led = L(spark, sf)
     landed, decided = _timed(spark, sf, "s2c", led.shuffled_landing)
     late = timers.missing_rows(landed, decided)
-    return timers.corrected(decided, timers.corrections(landed, decided, late, led.accounts, led.customers, _MONTHS))
+    return timers.corrected(decided, timers.corrections(landed, decided, late, led.accounts, led.customers, _MONTHS, led.stored_new))
 
 
 @query("stream_channel_volume")

@@ -160,3 +160,19 @@ def test_a_slot_keeps_its_accounts_apart():
     order, tags = timers.slot_tags(frame, 5_000_000)
     got = {(frame["transaction_id"][i], bool(frame["no_account"][i])): timers.TAGS[t] for i, t in zip(order, tags)}
     assert got == {(1, False): None, (2, True): None, (3, False): "LOCATION_MISMATCH", (4, False): "DUPLICATE", (0, False): "INVALID_ACCOUNT"}
+
+
+def test_rows_of_touched_pairs_are_read_once(spark, people):
+    raw = transactions(spark, burst(3, 200))
+    decided = tag_first_match(raw.where("transaction_id % 3 > 0"), *people, CFG)
+    kept = {}
+
+    def keep(name, df):
+        path = scratch_path(spark, "test-timers-kept", name)
+        df.write.mode("overwrite").parquet(path)
+        kept[name] = spark.read.parquet(path)
+        return kept[name]
+
+    changes = timers.corrections(raw, decided, raw.where("transaction_id % 3 = 0"), *people, CFG, keep)
+    assert {"touched_pairs", "touched_rows", "rule_marks", "account_marks"} == set(kept)
+    assert keys(timers.corrected(decided, changes)) == keys(tag_first_match(raw, *people, CFG))

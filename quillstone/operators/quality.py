@@ -56,6 +56,15 @@ def as_is(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
+#: Stored marks of up to so many rows are broadcast whatever the session's limit (about 150 bytes a row in memory).
+BROADCAST_MARKS = 1_000_000
+
+
+def broadcast_few(stored: DataFrame, most: int = BROADCAST_MARKS) -> DataFrame:
+    """A stored result, with a broadcast hint if it is known to have ``most`` rows or fewer; above, Spark decides by its size."""
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 # ---------------------------------------------------------------- lookup
 
 def home_states(accounts: DataFrame, customers: DataFrame) -> DataFrame:
@@ -125,8 +134,8 @@ def rule_features(raw: DataFrame, accounts: DataFrame, customers: DataFrame,
        rule, so for its neighbours only its timestamp matters, which its key carries.
     3. Only keys with something to tell are kept: copies, and rows near a neighbour in
        time. They go back to the raw rows by a join on the copy key (broadcast when
-       small, else sort-merge that AQE can split); ``keep`` may store them, so that
-       Spark knows their size before it moves raw rows. Only the independent variant
+       few, else sort-merge that AQE can split); ``keep`` may store them, so that
+       their size is known before raw rows are moved (``broadcast_few``). Only the independent variant
        needs a group's first id and the previous timestamp of its rows (``copy_lag=True``).
     4. The account lookup comes last (``with_home_states``): whether an account is
        known is the same for every row of a window partition, so
@@ -299,8 +308,8 @@ def clean(tagged: DataFrame, ids_unique: bool = False, keep: Keep = as_is) -> Da
     ids are known to be unique (C1) the row filter alone is exact; otherwise
     the tagged ids that untagged rows have too are anti-joined. They are found on
     the id alone and are few, as most tagged ids are on tagged rows only; ``keep``
-    may store both sets of ids, so that Spark broadcasts what is small by its
-    measured size and whole rows are not moved.
+    may store both sets of ids, so that what is few is broadcast (``broadcast_few``)
+    and whole rows are not moved.
     """
     ok = tagged.where(F.col("anomaly_type").isNull())
     if not ids_unique:

@@ -293,7 +293,7 @@ _ANOM_COLS = ["transaction_id", "account_id", "anomaly_type", "severity", "descr
 @query("dq_all_rules")
 def _q1(spark, sf):
     led = L(spark, sf)
-    return Q.independent_anomalies(led.raw, led.accounts, led.customers, keep=led.stored_new)
+    return Q.independent_anomalies(led.raw, led.accounts, led.customers, keep=led.marks_new)
 
 
 @query("dq_first_match")
@@ -304,7 +304,7 @@ def _q2(spark, sf):
 def _single(rule):
     def fn(spark, sf):
         led = L(spark, sf)
-        return Q.single_rule(led.raw, led.accounts, led.customers, rule, keep=led.stored_new)
+        return Q.single_rule(led.raw, led.accounts, led.customers, rule, keep=led.marks_new)
     return fn
 
 

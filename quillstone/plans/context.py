@@ -61,6 +61,15 @@ class Ledger:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _marks(self, name: str, df: DataFrame) -> DataFrame:
+        """``_stored`` for what goes back to whole rows: broadcast when it has few rows."""
+        stored = self._stored(name, df)
+        return Q.broadcast_few(stored) if self.materialize else stored
+
+    def marks_new(self, name: str, df: DataFrame) -> DataFrame:
+        """``_marks`` under a name of its own: for marks that several queries make each for itself."""
+        return self._marks(f"{name}-{uuid.uuid4().hex}", df)
+
     def stored_new(self, name: str, df: DataFrame) -> DataFrame:
         """``_stored`` under a name of its own: for results that several queries make each for itself."""
         return self._stored(f"{name}-{uuid.uuid4().hex}", df)
@@ -90,7 +99,7 @@ class Ledger:
     # quality
     @cached_property
     def tagged(self) -> DataFrame:
-        return self._stored("tagged", Q.tag_first_match(self.raw, self.accounts, self.customers, self.cfg, keep=self._stored))
+        return self._stored("tagged", Q.tag_first_match(self.raw, self.accounts, self.customers, self.cfg, keep=self._marks))
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -99,7 +108,7 @@ class Ledger:
     @cached_property
     def tx(self) -> DataFrame:
         """The clean ledger."""
-        return Q.clean(self.tagged, keep=self._stored)
+        return Q.clean(self.tagged, keep=self._marks)
 
     @cached_property
     def runs(self) -> DataFrame:

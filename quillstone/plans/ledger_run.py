@@ -29,8 +29,11 @@ def run_ledger(spark: SparkSession, raw: DataFrame, accounts: DataFrame, custome
         df.write.mode("overwrite").parquet(f"{base}/_work/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/_work/{name}")
 
-    tagged = work("tagged", Q.tag_first_match(raw, accounts, customers, cfg, keep=work))
-    ledger = Q.clean(tagged, ids_unique=ids_unique, keep=work)
+    def marks(name: str, df: DataFrame) -> DataFrame:
+        return Q.broadcast_few(work(name, df))
+
+    tagged = work("tagged", Q.tag_first_match(raw, accounts, customers, cfg, keep=marks))
+    ledger = Q.clean(tagged, ids_unique=ids_unique, keep=marks)
     anomalies = Q.anomalies(tagged, started)
     completed = _dt.datetime.now().replace(microsecond=0) if now is None else now
     record = Q.run_metrics(tagged, ledger, started, completed, run_id)

@@ -92,3 +92,24 @@ def test_the_manifest_reads_the_clean_ledger_without_moving_its_ids(seen):
     from quillstone.plans.reports import report_manifest
     text = plan(report_manifest(seen))
     assert not [line for line in text.splitlines() if "hashpartitioning(transaction_id" in line]
+
+
+@pytest.fixture(scope="module")
+def seen_below(spark):
+    """Marks are above the limit of a broadcast too."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    yield Seen(spark, SF, materialize=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_manifest_moves_no_whole_rows_when_marks_pass_the_limit(seen_below):
+    from quillstone.plans.reports import report_manifest
+    report_manifest(seen_below)
+    assert "SortMergeJoin" not in seen_below.plans["tagged"] and "SortMergeJoin" not in plan(seen_below.tx)
+
+
+def test_only_few_marks_are_broadcast(spark):
+    few = spark.range(5)
+    assert "ResolvedHint" in Q.broadcast_few(few, 5)._jdf.queryExecution().analyzed().toString()
+    assert Q.broadcast_few(few, 4) is few

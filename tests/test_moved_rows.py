@@ -109,6 +109,15 @@ def test_the_manifest_moves_no_whole_rows_when_marks_pass_the_limit(seen_below):
     assert "SortMergeJoin" not in seen_below.plans["tagged"] and "SortMergeJoin" not in plan(seen_below.tx)
 
 
+def test_merchant_categories_join_sums_only_when_marks_pass_the_limit(seen_below):
+    """The one sort-merge join is of the merchants with their sums; the clean ledger is made without any."""
+    from quillstone.operators import dashboard as D
+    from quillstone.operators import views as V
+    text = plan(D.top_merchant_categories(V.merchant_category_performance(seen_below.merchants, seen_below.tx), 8))
+    assert text.count("SortMergeJoin") == 1
+    assert "SortMergeJoin" not in seen_below.plans["mixed_ids"]
+
+
 def test_only_few_marks_are_broadcast(spark):
     few = spark.range(5)
     assert "ResolvedHint" in Q.broadcast_few(few, 5)._jdf.queryExecution().analyzed().toString()
